@@ -40,30 +40,32 @@ def assemble_features_keep(df: DataFrame, columns: Sequence[str], output: str =
     return vectors.select("_inputs.*", output)
 
 
-def indexers(columns: Sequence[str]) -> list[StringIndexer]:
-    """Most frequent category first, equals in text order; unseen and null last."""
-    return [
-        StringIndexer(inputCol=c, outputCol=c + INDEX, handleInvalid="keep",
-                      stringOrderType="frequencyDesc")
-        for c in columns
-    ]
+def indexer(columns: Sequence[str]) -> StringIndexer:
+    """Most frequent category first, equals in text order; unseen and null last. All
+    columns are counted in one job."""
+    return StringIndexer(
+        inputCols=list(columns), outputCols=[c + INDEX for c in columns],
+        handleInvalid="keep", stringOrderType="frequencyDesc",
+    )
 
 
-def encoders(columns: Sequence[str]) -> list[OneHotEncoder]:
-    return [OneHotEncoder(inputCol=c + INDEX, outputCol=c + ENCODED) for c in columns]
+def encoder(columns: Sequence[str]) -> OneHotEncoder:
+    return OneHotEncoder(
+        inputCols=[c + INDEX for c in columns], outputCols=[c + ENCODED for c in columns]
+    )
 
 
 def string_index(df: DataFrame, column: str) -> DataFrame:
-    return indexers([column])[0].fit(df).transform(df)
+    return indexer([column]).fit(df).transform(df)
 
 
 def one_hot(df: DataFrame, column: str) -> DataFrame:
-    return encoders([column])[0].fit(df).transform(df)
+    return encoder([column]).fit(df).transform(df)
 
 
 def fit_encoding(df: DataFrame, columns: Sequence[str]) -> PipelineModel:
     """Index and one-hot stages, fitted together."""
-    return Pipeline(stages=[*indexers(columns), *encoders(columns)]).fit(df)
+    return Pipeline(stages=[indexer(columns), encoder(columns)]).fit(df)
 
 
 def slot_names(df: DataFrame, column: str = "features") -> list[str]:

@@ -9,6 +9,7 @@ from operator import or_
 
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _keys(on: str | Sequence[str]) -> list[str]:
@@ -56,7 +57,11 @@ def hot_keys(df: DataFrame, on: str | Sequence[str], parts: int) -> list[Row]:
 
 
 def spread_join(
-    left: DataFrame, right: DataFrame, on: str | Sequence[str], how: str = "inner"
+    left: DataFrame,
+    right: DataFrame,
+    on: str | Sequence[str],
+    how: str = "inner",
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """Equi join whose left side may be skewed.
 
@@ -64,18 +69,21 @@ def spread_join(
     join. Otherwise the rows of a hot key are dealt over salts, as many as the shuffle
     partitions its share would fill, and the matching right rows are repeated once per
     salt. Null keys match nothing and are dealt over all salts. The salt comes from the
-    row and from the partition it was read in, so that equal rows are spread as well."""
+    row and from the partition it was read in, so that equal rows are spread as well.
+
+    ``counted`` is a frame to count the keys in, where that is cheaper than in ``left``;
+    it only steers the spreading."""
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"cannot spread a {how} join")
     keys = _keys(on)
     spark = left.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = hot_keys(left, keys, parts)
+    found = hot_keys(left if counted is None else counted, keys, parts)
     if not found:
         return left.join(right, keys, how)
-    schema = left.select(*keys).schema.add("_salts", "int")
+    schema = left.select(*keys).schema.add("_salts", T.IntegerType())
     hot = F.broadcast(spark.createDataFrame(found, schema))
-    number = F.pmod(F.xxhash64(*left.columns) + F.spark_partition_id(), F.lit(1 << 30))
+    number = F.pmod(F.xxhash64(*left.columns), F.lit(1 << 30)) + F.spark_partition_id()
     any_null = reduce(or_, [F.col(k).isNull() for k in keys])
     salts = F.when(any_null, F.lit(parts)).otherwise(F.coalesce("_salts", F.lit(1)))
     dealt = left.join(hot, keys, "left").select(

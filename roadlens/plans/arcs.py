@@ -15,7 +15,6 @@ from roadlens.models.features import fit_encoding
 from roadlens.operators.joins import key_counts
 from roadlens.operators.projection import cast_columns, impute_median, ratio_columns
 from roadlens.operators.ranking import dedupe_by_key
-from roadlens.operators.sets import except_keys_fill
 from roadlens.session import materialize
 
 # fixed values: the six named event types
@@ -99,22 +98,41 @@ def arc_features(
     return filled.withColumn("crashes_aadt", F.lit(0.0))
 
 
-def event_mix(
-    events: DataFrame, types: Sequence[str] = EVENT_TYPES, key: str = "arc",
+def column_name(text: str) -> str:
+    return text.lower().replace(" ", "_")
+
+
+def type_counts(
+    events: DataFrame, keys: Sequence[str], types: Sequence[str] = EVENT_TYPES,
     category: str = "event_type",
 ) -> DataFrame:
-    """Events per type, in total and as ratios, one row per arc. The total counts
-    events of any type, those without a type under ``unknown``."""
-    counted = events.where(F.col(key).isNotNull()).groupBy(key).agg(
+    """Events per named type, without a type (``unknown``) and in total, per key. A type
+    that is not named counts in the total only."""
+    return events.groupBy(*keys).agg(
         *[F.count_if(F.col(category) == t).alias(column_name(t)) for t in types],
         F.count_if(F.col(category).isNull()).alias("unknown"),
         F.count(F.lit(1)).alias("total_events"),
     )
+
+
+def event_mix(
+    events: DataFrame, types: Sequence[str] = EVENT_TYPES, key: str = "arc",
+    category: str = "event_type",
+) -> DataFrame:
+    """Events per type, in total and as ratios, one row per arc."""
+    counted = type_counts(events.where(F.col(key).isNotNull()), [key], types, category)
     return ratio_columns(counted, [column_name(t) for t in types], "total_events")
 
 
-def column_name(text: str) -> str:
-    return text.lower().replace(" ", "_")
+def with_crash_label(
+    arcs: DataFrame, crashes: DataFrame, total: str, key: str = "arc", numerator: str = "crash"
+) -> DataFrame:
+    """Add count, crash and crash_per_event to a table with one row per arc. Arcs
+    without crashes get zeros; crashes elsewhere are left out."""
+    counted = arcs.join(key_counts(crashes, key), key, "left").na.fill(0, ["count"])
+    return counted.withColumn("crash", positive_flag("count")).withColumn(
+        "crash_per_event", safe_ratio(numerator, total)
+    )
 
 
 def crash_labels(
@@ -125,32 +143,52 @@ def crash_labels(
     The rate divides the 0/1 crash flag by the arc's events; ``numerator="count"``
     divides the number of crashes."""
     totals = key_counts(events, key, "_total").where(F.col(key).isNotNull())
-    counted = key_counts(crashes, key).withColumn("crash", positive_flag("count"))
-    every = except_keys_fill(counted, totals, key, {"count": 0, "crash": 0})
-    joined = every.join(totals, key)
-    return joined.select(
-        key, "count", "crash", safe_ratio(numerator, "_total").alias("crash_per_event")
-    )
+    return with_crash_label(totals, crashes, "_total", key, numerator).drop("_total")
 
 
-def risk_features(
-    events: DataFrame,
+def typed_attributes(
+    arcs: DataFrame,
     attributes: Sequence[str],
     categories: Sequence[str] = ("interaction_poi", "circulation_poi"),
     medians: Sequence[str] = ("road_lanes", "speed_limit"),
     flags: Sequence[str] = ("tunnel", "bridge"),
     exact_medians: bool = False,
-    key: str = "arc",
 ) -> DataFrame:
-    """One typed row per arc: missing categories become ``None``, missing lanes and
-    limits the median, numbers are truncated to long and flags become 0/1."""
-    rows = dedupe_by_key(events.select(key, *attributes), key)
-    named = rows.withColumns({c: null_to(c, "None") for c in categories})
-    filled = impute_median(materialize(named), medians, exact_medians)
+    """Missing categories become ``None``, missing lanes and limits the median, numbers
+    are truncated to long and flags become 0/1."""
+    named = arcs.withColumns({c: null_to(c, "None") for c in categories})
+    filled = impute_median(named, medians, exact_medians)
     numbers = [a for a in attributes if a not in {*categories, *flags}]
-    return cast_columns(
-        filled, {n: "bigint" for n in numbers} | {f: "int" for f in flags}
+    return cast_columns(filled, {n: "bigint" for n in numbers} | {f: "int" for f in flags})
+
+
+def risk_features(
+    events: DataFrame, attributes: Sequence[str], key: str = "arc", **options
+) -> DataFrame:
+    """One typed row per arc with events; ``options`` are those of ``typed_attributes``."""
+    rows = dedupe_by_key(events.select(key, *attributes), key)
+    return typed_attributes(materialize(rows), attributes, **options)
+
+
+def arc_risk_rows(
+    events: DataFrame, crashes: DataFrame, attributes: Sequence[str], key: str = "arc", **options
+) -> DataFrame:
+    """Typed attributes, event mix and crash labels of every arc with events.
+
+    The same rows as joining ``risk_features``, ``event_mix`` and ``crash_labels``, but
+    the events are read once: they collapse to counts per (arc, attributes), and those
+    to one row per arc."""
+    names = [column_name(t) for t in EVENT_TYPES]
+    grouped = type_counts(events.where(F.col(key).isNotNull()), [key, *attributes])
+    counts = [*names, "unknown", "total_events"]
+    merged = grouped.groupBy(key).agg(
+        F.min(F.struct(*attributes)).alias("_row"), *[F.sum(c).alias(c) for c in counts]
+    )
+    labelled = with_crash_label(
+        merged.select(key, "_row.*", *counts), crashes, "total_events", key
     )
+    typed = typed_attributes(materialize(labelled), attributes, **options)
+    return ratio_columns(typed, names, "total_events")
 
 
 def encode_categories(df: DataFrame, columns: Sequence[str]) -> DataFrame:

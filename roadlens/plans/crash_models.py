@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml import PipelineModel
 from pyspark.ml.feature import StringIndexerModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,12 +17,13 @@ from roadlens.operators.sampling import split_train_test
 from roadlens.session import materialize
 
 
-def event_crash_counts(events: DataFrame, crashes: DataFrame, key: str = "arc") -> DataFrame:
+def event_crash_counts(
+    events: DataFrame, crashes: DataFrame, key: str = "arc", counted: DataFrame | None = None
+) -> DataFrame:
     """Every event with its arc's crash count, 0 where there is none. Arcs with most of
-    the events are spread over many tasks."""
-    return spread_join(events, key_counts(crashes, key, "count"), key, "left").na.fill(
-        0, ["count"]
-    )
+    the events are spread over many tasks; ``counted`` is as in ``spread_join``."""
+    counts = key_counts(crashes, key, "count")
+    return spread_join(events, counts, key, "left", counted).na.fill(0, ["count"])
 
 
 def crash_count_regression(
@@ -44,7 +44,7 @@ def crash_count_regression(
     )
     columns = [*numeric, *flags]
     complete = typed.na.drop(subset=columns)
-    rows = assemble_features(event_crash_counts(complete, crashes, key), columns)
+    rows = assemble_features(event_crash_counts(complete, crashes, key, events), columns)
     train, test = split_train_test(
         materialize(rows.select(*split_keys, "features", "count")), split_keys, 80, seed
     )
@@ -73,7 +73,7 @@ def category_crash_rows(
 
 def fit_crash_pair(
     events: DataFrame, crashes: DataFrame, categories: Sequence[str], key: str = "arc"
-) -> tuple[ZeroInflatedPair, PipelineModel, DataFrame]:
+) -> tuple[ZeroInflatedPair, StringIndexerModel, DataFrame]:
     """The count and crash models over indexed categories, the indexing that feeds them
     and the weighted rows they were fitted on.
 
@@ -86,21 +86,21 @@ def fit_crash_pair(
     return pair, weighted, ready
 
 
-def _frequency_index(rows: DataFrame, categories: Sequence[str]) -> PipelineModel:
-    """Indexers whose labels are ordered by the summed weight of each category."""
-    stages = []
-    for c in categories:
-        labels = [
-            r[0] for r in rows.where(F.col(c).isNotNull()).groupBy(F.col(c).cast("string"))
-            .agg(F.sum("weight").alias("w")).orderBy(F.col("w").desc(), F.col(c).cast("string"))
-            .collect()
-        ]
-        stages.append(
-            StringIndexerModel.from_labels(
-                labels, inputCol=c, outputCol=c + INDEX, handleInvalid="keep"
-            )
-        )
-    return PipelineModel(stages)
+def _frequency_index(rows: DataFrame, categories: Sequence[str]) -> StringIndexerModel:
+    """An indexer whose labels are ordered by the summed weight of each category, as
+    event rows would order them. The driver gets the category names, as from any
+    string indexer."""
+    texts = rows.select("weight", *[F.col(c).cast("string").alias(c) for c in categories])
+    long = texts.unpivot(["weight"], list(categories), "name", "value")
+    ranked = (
+        long.where("value IS NOT NULL").groupBy("name", "value")
+        .agg(F.sum("weight").alias("weight")).orderBy(F.col("weight").desc(), "value").collect()
+    )
+    return StringIndexerModel.from_arrays_of_labels(
+        [[r["value"] for r in ranked if r["name"] == c] for c in categories],
+        inputCols=list(categories), outputCols=[c + INDEX for c in categories],
+        handleInvalid="keep",
+    )
 
 
 def crash_count_glm(

@@ -17,9 +17,7 @@ from roadlens.models.learners import (
 from roadlens.models.metrics import METRICS, feature_importance, metrics_by_split
 from roadlens.operators.projection import cast_by_type, impute_mean
 from roadlens.operators.sampling import limit_ratio, with_split
-from roadlens.plans.arcs import (
-    EVENT_TYPES, column_name, crash_labels, encode_categories, event_mix, risk_features,
-)
+from roadlens.plans.arcs import EVENT_TYPES, arc_risk_rows, column_name, encode_categories
 from roadlens.session import materialize
 
 LABEL, CRASH = "crash_per_event", "crash"
@@ -32,6 +30,7 @@ ENCODED = tuple(f"{c}_encoded" for c in CATEGORIES)
 ROAD = ("speed_limit", "road_lanes")
 BASIC = ("road_priority", "tunnel", "bridge", "excessive_speeding", "phone_handling_event")
 FULL = (*RATIOS, *GEOMETRY, *ENCODED, *ROAD)
+NUMERIC = (*RATIOS, *GEOMETRY, *ROAD, *BASIC)
 SLIM_WITHOUT = ("potential_collision_event_ratio", "speeding_event_ratio", "curve_max_angle")
 
 
@@ -77,15 +76,11 @@ def model_specs(
 
 
 def risk_table(
-    events: DataFrame, crashes: DataFrame, attributes: Sequence[str], key: str = "arc",
-    exact_medians: bool = False,
+    events: DataFrame, crashes: DataFrame, attributes: Sequence[str], key: str = "arc", **options
 ) -> DataFrame:
     """One row per arc: typed attributes, encoded categories, event mix and labels."""
-    features = risk_features(events, attributes, exact_medians=exact_medians, key=key)
-    return (
-        encode_categories(features, CATEGORIES)
-        .join(event_mix(events, key=key), key, "left")
-        .join(crash_labels(events, crashes, key), key, "left")
+    return encode_categories(
+        arc_risk_rows(events, crashes, attributes, key, **options), CATEGORIES
     )
 
 
@@ -99,12 +94,12 @@ def balanced_sample(
 
 
 def model_sample(table: DataFrame, ratio: int, key: str = "arc") -> DataFrame:
-    """The balanced rows ready for a learner: numbers as double, missing values filled
+    """The balanced rows ready for a learner: numbers as double, missing features filled
     with the sample's mean, train or test marked."""
-    sample = cast_by_type(balanced_sample(table, CRASH, ratio, [key]).withColumn(
-        "_key", F.col(key).cast("string")))
-    numeric = [n for n, t in sample.dtypes if t == "double" and n not in (key, LABEL, CRASH)]
-    return with_split(impute_mean(sample, numeric).where(F.col(LABEL).isNotNull()), ["_key"])
+    named = table.withColumn("_key", F.col(key).cast("string"))
+    sample = materialize(balanced_sample(named, CRASH, ratio, ["_key"]))
+    labelled = cast_by_type(sample.where(F.col(LABEL).isNotNull()))
+    return with_split(impute_mean(labelled, NUMERIC), ["_key"])
 
 
 def fit_spec(spec: ModelSpec, sample: DataFrame) -> tuple[Model, DataFrame, list[str]]:

@@ -35,7 +35,7 @@ def visited_ranges(
     """(trip, segment, lo, hi): first and last position each trip visits on a segment."""
     visits = routes.select(trip, key).distinct()
     places = placed_segments(segments, segment, position).select(key, segment, position)
-    return group_min_max(spread_join(visits, places, key), [trip, segment], position)
+    return group_min_max(spread_join(visits, places, key, counted=routes), [trip, segment], position)
 
 
 def expand_routes(
