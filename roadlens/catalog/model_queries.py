@@ -233,7 +233,7 @@ STATISTICS = GROUPS + """,
     UNION ALL SELECT 'intercept', round(ln(y0), 3), round(sqrt(1 / s0), 3) FROM g""")
 def glm_diagnostics(t):
     model = L.poisson("y").fit(_crashed(t))
-    report = E.glm_report(t.spark, {"count": model}, ["x"]).drop("model")
+    report = E.glm_report(t.spark, {"count": (model, E.glm_statistics(model))}, ["x"]).drop("model")
     return rounded(report.where(~F.col("name").isin("aic", "bic", "log_likelihood")), 3)
 
 

@@ -110,11 +110,9 @@ class ZeroInflatedPair:
         return scored.withColumn("expected", F.col("p_crash") * F.col("lambda"))
 
 
-def zero_inflated_pair(
-    df: DataFrame, count: str, crash: str, weight: str | None = None
-) -> ZeroInflatedPair:
+def zero_inflated_pair(df: DataFrame, count: str, crash: str) -> ZeroInflatedPair:
     """Fit both models on the same assembled rows, those without crashes included."""
-    return ZeroInflatedPair(binomial(crash, weight).fit(df), poisson(count, weight).fit(df))
+    return ZeroInflatedPair(binomial(crash).fit(df), poisson(count).fit(df))
 
 
 def branch_model(

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.ml.regression import GeneralizedLinearRegressionModel
 from pyspark.sql import DataFrame, SparkSession
@@ -89,20 +89,53 @@ def glm_statistics(
     }
 
 
+def bernoulli_statistics(
+    scored: DataFrame, rate: str, weight: str, prediction: str, rank: int
+) -> dict[str, float]:
+    """The statistics of ``glm_statistics`` for a 0/1 outcome given as grouped rows: the
+    rate of ones and the number of observations behind it."""
+    y, w, p = F.col(rate), F.col(weight), F.col(prediction)
+
+    def terms(expected):
+        """Log-likelihood of the group at an expected rate; 0 log 0 counts as 0."""
+        ones = F.when(y > 0, y * F.log(expected)).otherwise(0.0)
+        zeros = F.when(y < 1, (1 - y) * F.log(1 - expected)).otherwise(0.0)
+        return F.sum(w * (ones + zeros))
+
+    sums = scored.agg(
+        F.sum(w).alias("n"), F.sum(w * y).alias("ones"), terms(p).alias("log_likelihood")
+    ).first()
+    rows, ones = sums["n"], sums["ones"]
+    mean = ones / rows
+    null = (ones * math.log(mean) if ones else 0.0) + (
+        (rows - ones) * math.log(1 - mean) if ones < rows else 0.0
+    )
+    log_likelihood = sums["log_likelihood"]
+    return {
+        "deviance": -2 * log_likelihood,
+        "null_deviance": -2 * null,
+        "explained_deviance": 2 * (log_likelihood - null),
+        "degrees_of_freedom": float(rows - rank),
+        "log_likelihood": log_likelihood,
+        "aic": 2 * rank - 2 * log_likelihood,
+        "bic": rank * math.log(rows) - 2 * log_likelihood,
+    }
+
+
 def glm_report(
     spark: SparkSession,
-    models: dict[str, GeneralizedLinearRegressionModel],
+    models: Mapping[str, tuple[GeneralizedLinearRegressionModel, Mapping[str, float]]],
     names: Sequence[str],
-    n_rows: int | None = None,
 ) -> DataFrame:
-    """(model, name, value, std_error): coefficients, intercept and statistics."""
+    """(model, name, value, std_error): coefficients, intercept and the statistics
+    given with each model."""
     rows = []
-    for title, model in models.items():
+    for title, (model, statistics) in models.items():
         values = [*model.coefficients.toArray(), model.intercept]
         errors = standard_errors(model, len(values))
         for name, value, error in zip([*names, "intercept"], values, errors, strict=True):
             rows.append((title, name, float(value), error))
-        for name, value in glm_statistics(model, n_rows).items():
+        for name, value in statistics.items():
             rows.append((title, name, float(value), None))
     return spark.createDataFrame(
         rows, "model string, name string, value double, std_error double"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.ml.feature import StringIndexerModel
 from pyspark.sql import DataFrame
@@ -10,8 +11,10 @@ from pyspark.sql import functions as F
 
 from roadlens.functions.columns import bool_to_double, positive_flag
 from roadlens.models.features import INDEX, assemble_features, assembler
-from roadlens.models.learners import ZeroInflatedPair, linear, zero_inflated_pair
-from roadlens.models.metrics import glm_report, named_coefficients, regression_metrics
+from roadlens.models.learners import ZeroInflatedPair, binomial, linear, poisson
+from roadlens.models.metrics import (
+    bernoulli_statistics, glm_report, glm_statistics, named_coefficients, regression_metrics,
+)
 from roadlens.operators.joins import key_counts, spread_join
 from roadlens.operators.sampling import split_train_test
 from roadlens.session import materialize
@@ -71,19 +74,38 @@ def category_crash_rows(
     )
 
 
+@dataclass(frozen=True)
+class CrashPair:
+    """Both models over indexed categories, the indexing that feeds them, and the
+    weighted rows each was fitted on."""
+
+    models: ZeroInflatedPair
+    indexing: StringIndexerModel
+    counts: DataFrame
+    rates: DataFrame
+
+
 def fit_crash_pair(
     events: DataFrame, crashes: DataFrame, categories: Sequence[str], key: str = "arc"
-) -> tuple[ZeroInflatedPair, StringIndexerModel, DataFrame]:
-    """The count and crash models over indexed categories, the indexing that feeds them
-    and the weighted rows they were fitted on.
-
-    Categories are ranked by events, not by weighted rows."""
+) -> CrashPair:
+    """The count model sees distinct (categories, count) rows, the crash model the share
+    of events on crash arcs per combination of categories: Spark starts a binomial fit
+    from the labels, and heavy 0/1 rows would start it too far out."""
     rows = materialize(category_crash_rows(events, crashes, categories, key))
-    weighted = _frequency_index(rows, categories)
-    vectors = assembler([c + INDEX for c in categories])
-    ready = materialize(vectors.transform(weighted.transform(rows)))
-    pair = zero_inflated_pair(ready, "count", "crash", "weight")
-    return pair, weighted, ready
+    indexing = _frequency_index(rows, categories)
+    indexes = [c + INDEX for c in categories]
+    vectors = assembler(indexes)
+    indexed = indexing.transform(rows)
+    counts = materialize(vectors.transform(indexed).select("features", "count", "weight"))
+    shares = indexed.groupBy(*indexes).agg(
+        (F.sum(F.col("weight") * F.col("crash")) / F.sum("weight")).alias("crash"),
+        F.sum("weight").alias("weight"),
+    )
+    rates = materialize(vectors.transform(shares).select("features", "crash", "weight"))
+    models = ZeroInflatedPair(
+        binomial("crash", "weight").fit(rates), poisson("count", "weight").fit(counts)
+    )
+    return CrashPair(models, indexing, counts, rates)
 
 
 def _frequency_index(rows: DataFrame, categories: Sequence[str]) -> StringIndexerModel:
@@ -107,9 +129,14 @@ def crash_count_glm(
     events: DataFrame, crashes: DataFrame, categories: Sequence[str], key: str = "arc"
 ) -> DataFrame:
     """(model, name, value, std_error) of the Poisson count and binomial crash models."""
-    pair, _, ready = fit_crash_pair(events, crashes, categories, key)
-    n_rows = int(ready.agg(F.sum("weight")).first()[0])
+    pair = fit_crash_pair(events, crashes, categories, key)
+    count, crash = pair.models.count, pair.models.crash
+    n_rows = int(pair.counts.agg(F.sum("weight")).first()[0])
+    crash_statistics = bernoulli_statistics(
+        crash.transform(pair.rates), "crash", "weight", "prediction", crash.summary.rank
+    )
     return glm_report(
-        events.sparkSession, {"count": pair.count, "crash": pair.crash},
-        [c + INDEX for c in categories], n_rows,
+        events.sparkSession,
+        {"count": (count, glm_statistics(count, n_rows)), "crash": (crash, crash_statistics)},
+        [c + INDEX for c in categories],
     )

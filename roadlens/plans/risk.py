@@ -112,7 +112,9 @@ def fit_spec(spec: ModelSpec, sample: DataFrame) -> tuple[Model, DataFrame, list
             spec.top, spec.trees,
         )
         scored = model.transform(sample)
-        return model.stages[-1], scored, slot_names(scored)
+        names = [n.removeprefix("numeric_features_").removeprefix("selected_categorical_features_")
+                 for n in slot_names(scored)]
+        return model.stages[-1], scored, names
     rows = assemble_features(sample, spec.features)
     train = rows.where("split = 'train'")
     if spec.algorithm == "decision_tree":

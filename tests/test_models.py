@@ -130,23 +130,27 @@ def test_branch_model_uses_numeric_and_five_selected_slots(sample):
     assert {"slope", "tri", "road_lanes"} <= set(names) and "speed_limit" not in names
 
 
-def test_weighted_glm_equals_the_event_level_fit(spark, tables):
+def test_weighted_glms_equal_the_event_level_fits(spark, tables):
     events, crashes = tables["fx_event_rows"], tables["fx_crashes"]
     categories = ("weather", "event_type", "road_cycle")
-    pair, index, ready = crash_models.fit_crash_pair(events, crashes, categories)
+    report = {
+        (r["model"], r["name"]): (r["value"], r["std_error"])
+        for r in crash_models.crash_count_glm(events, crashes, categories).collect()
+    }
     joined = crash_models.event_crash_counts(events.select("arc", *categories), crashes)
     labelled = joined.withColumn("crash", F.expr("CAST(count > 0 AS INT)"))
     indexed = X.indexer(categories).fit(labelled).transform(labelled)
     vectors = X.assembler([c + X.INDEX for c in categories]).transform(indexed)
-    assert ready.agg(F.sum("weight")).first()[0] == vectors.count()
-    for weighted, plain in ((pair.count, L.poisson("count")), (pair.crash, L.binomial("crash"))):
-        other = plain.fit(vectors)
-        assert list(weighted.coefficients) == pytest.approx(list(other.coefficients), abs=1e-6)
-        assert weighted.intercept == pytest.approx(other.intercept, abs=1e-6)
-        a = E.glm_statistics(weighted, vectors.count())
-        b = E.glm_statistics(other)
-        for name in a:
-            assert a[name] == pytest.approx(b[name], rel=1e-6), name
+    assert joined.count() == events.count()
+    for title, learner in (("count", L.poisson("count")), ("crash", L.binomial("crash"))):
+        plain = learner.setTol(1e-9).fit(vectors)
+        names = [c + X.INDEX for c in categories] + ["intercept"]
+        errors = E.standard_errors(plain, 4)
+        for name, value, error in zip(names, [*plain.coefficients, plain.intercept], errors):
+            assert report[(title, name)][0] == pytest.approx(value, abs=1e-5), (title, name)
+            assert report[(title, name)][1] == pytest.approx(error, rel=1e-3), (title, name)
+        for name, value in E.glm_statistics(plain).items():
+            assert report[(title, name)][0] == pytest.approx(value, rel=1e-6), (title, name)
 
 
 def test_impute_target_keeps_known_and_predicts_the_rest(tables):
