@@ -65,11 +65,14 @@ FIXTURES = {
        -5 + (l_suppkey % 5) / CAST(1000 AS DOUBLE) AS end_lng FROM {{lineitem}}""",
     "fx_text_crashes": f"""SELECT {_arc_text("l_partkey")} AS arc FROM {{lineitem}}
        WHERE {CRASH_ROWS}""",
-    "fx_text_poi": f"""SELECT {_arc_text("p_partkey")} AS arc,
+    # distances of arcs from 20 up, so that some arcs with events have none
+    "fx_text_poi": f"""SELECT {_arc_text("p_partkey + 20")} AS arc,
        CASE WHEN p_partkey % 7 = 0 THEN -1 ELSE p_size * 40 END AS school,
        CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE p_size * 55 END AS hospital
-       FROM {{part}} WHERE p_partkey % 12 <> 5""",
+       FROM {{part}}""",
     "fx_crashes": f"SELECT l_partkey AS arc FROM {{lineitem}} WHERE {CRASH_ROWS}",
+    # some of these arcs lie beyond the last arc with events
+    "fx_crashes_beyond": f"SELECT l_partkey + 60 AS arc FROM {{lineitem}} WHERE {CRASH_ROWS}",
     "fx_aadt": """SELECT p_partkey AS arc,
        CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE p_retailprice * 10 + p_size END AS aadt
        FROM {part}""",
@@ -91,8 +94,8 @@ FIXTURES = {
        WHERE o_orderpriority = '1-URGENT'""",
     "fx_scores": """SELECT l_partkey AS arc, l_tax * l_quantity AS prediction FROM {lineitem}
        WHERE l_linenumber = 1""",
-    "fx_scores_b": """SELECT l_partkey AS arc, l_discount * l_quantity AS prediction
-       FROM {lineitem} WHERE l_linenumber = 2""",
+    "fx_scores_b": """SELECT l_partkey AS arc, l_linenumber * l_quantity AS prediction
+       FROM {lineitem}""",
     "fx_trips": """SELECT l_orderkey AS trip_id, l_linenumber AS point_no, l_partkey AS arc,
        CAST(l_shipdate AS DATE) AS trip_date, n_name AS county,
        48 + (l_partkey % 1000) / CAST(1000 AS DOUBLE) AS lat,

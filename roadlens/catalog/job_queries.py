@@ -136,11 +136,11 @@ def trip_points(t):
 
 NEAR = """CASE WHEN (school < 300 AND school > -1) OR (hospital < 300 AND hospital > -1)
                OR (park < 300 AND park > -1) THEN 1 ELSE 0 END"""
-# every second arc has no events here, so that some arcs are known from crashes only
+# some arcs are known from crashes only
 FEATURES = f"""
     WITH e AS (SELECT arc, {', '.join(EVENT_ATTRIBUTES)}, count(*) AS events_count
-               FROM fx_event_rows WHERE arc % 2 = 0 GROUP BY ALL),
-         c AS (SELECT arc, count(*) AS crashes_count FROM fx_crashes GROUP BY arc),
+               FROM fx_event_rows GROUP BY ALL),
+         c AS (SELECT arc, count(*) AS crashes_count FROM fx_crashes_beyond GROUP BY arc),
          j AS (SELECT coalesce(e.arc, c.arc) AS arc, e.* EXCLUDE (arc), crashes_count
                FROM e FULL JOIN c ON e.arc = c.arc),
          m AS (SELECT median(road_lanes) AS lanes, median(speed_limit) AS speed FROM j)
@@ -154,17 +154,19 @@ FEATURES = f"""
     FROM j CROSS JOIN m LEFT JOIN fx_aadt a ON a.arc = j.arc LEFT JOIN fx_poi p ON p.arc = j.arc"""
 
 
-def feature_rows(t, exact=False, every_arc=True):
-    events = t["fx_event_rows"] if every_arc else t["fx_event_rows"].where("arc % 2 = 0")
+@query("arc_features", FEATURES)
+def arc_features(t):
     return arcs.arc_features(
-        events, t["fx_crashes"], t["fx_aadt_nan"] if every_arc else t["fx_aadt"], t["fx_poi"],
-        EVENT_ATTRIBUTES, exact_medians=exact,
+        t["fx_event_rows"], t["fx_crashes_beyond"], t["fx_aadt"], t["fx_poi"], EVENT_ATTRIBUTES,
+        exact_medians=True,
     )
 
 
-@query("arc_features", FEATURES)
-def arc_features(t):
-    return feature_rows(t, exact=True, every_arc=False)
+def feature_rows(t):
+    """Feature rows whose volume is null or NaN for some arcs."""
+    return arcs.arc_features(
+        t["fx_event_rows"], t["fx_crashes"], t["fx_aadt_nan"], t["fx_poi"], EVENT_ATTRIBUTES
+    )
 
 
 NAMES = {e: arcs.column_name(e) for e in arcs.EVENT_TYPES}

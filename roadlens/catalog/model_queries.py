@@ -279,7 +279,7 @@ def _risk_table(t):
 
 
 def _sample(t, ratio=4):
-    return materialize(risk.model_sample(materialize(_risk_table(t)), ratio))
+    return risk.model_sample(_risk_table(t), ratio)
 
 
 def _one_model(t, algorithm, features, **options):

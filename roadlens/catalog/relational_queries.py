@@ -272,15 +272,13 @@ def join_left(t):
 
 
 @query("join_full_outer", """
-    WITH a AS (SELECT arc, events_count FROM (
-                 SELECT arc, count(*) AS events_count FROM fx_events GROUP BY arc)
-               WHERE arc % 3 <> 0),
-         c AS (SELECT arc, count(*) AS crashes_count FROM fx_crashes GROUP BY arc)
+    WITH a AS (SELECT arc, count(*) AS events_count FROM fx_events GROUP BY arc),
+         c AS (SELECT arc, count(*) AS crashes_count FROM fx_crashes_beyond GROUP BY arc)
     SELECT coalesce(a.arc, c.arc) AS arc, events_count, crashes_count
     FROM a FULL JOIN c ON a.arc = c.arc""")
 def join_full_outer(t):
-    events, crashes = _counts(t)
-    return J.join_full(events.where("arc % 3 <> 0"), crashes, "arc")
+    crashes = J.key_counts(t["fx_crashes_beyond"], "arc", "crashes_count")
+    return J.join_full(J.key_counts(t["fx_events"], "arc", "events_count"), crashes, "arc")
 
 
 @query("join_fold_scores", """

@@ -41,12 +41,19 @@ def key_counts(df: DataFrame, on: str | Sequence[str], name: str = "count") -> D
     return df.groupBy(*_keys(on)).agg(F.count(F.lit(1)).alias(name))
 
 
-def hot_keys(df: DataFrame, on: str | Sequence[str], parts: int) -> list[Row]:
-    """Keys with more rows than an even share of ``parts`` partitions, each with the
-    number of such shares it fills.
+def shuffle_partitions(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def hot_keys(
+    df: DataFrame, on: str | Sequence[str], parts: int | None = None
+) -> list[Row]:
+    """Keys with more rows than an even share of ``parts`` partitions (the shuffle
+    partitions by default), each with the number of such shares it fills.
 
     Fewer than ``parts`` keys can pass that test, whatever the size of ``df``, so the
     list may be read by the driver."""
+    parts = shuffle_partitions(df) if parts is None else parts
     counts = key_counts(df, on, "_rows")
     total = counts.agg(F.sum("_rows").alias("t"))
     shares = F.col("_rows") * F.lit(parts) / total.scalar()
@@ -61,7 +68,7 @@ def spread_join(
     right: DataFrame,
     on: str | Sequence[str],
     how: str = "inner",
-    counted: DataFrame | None = None,
+    hot: list[Row] | None = None,
 ) -> DataFrame:
     """Equi join whose left side may be skewed.
 
@@ -71,26 +78,25 @@ def spread_join(
     salt. Null keys match nothing and are dealt over all salts. The salt comes from the
     row and from the partition it was read in, so that equal rows are spread as well.
 
-    ``counted`` is a frame to count the keys in, where that is cheaper than in ``left``;
-    it only steers the spreading."""
+    ``hot`` is a list of hot keys already found, perhaps in a frame that is cheaper to
+    read than ``left``; it steers the spreading and never the result."""
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"cannot spread a {how} join")
     keys = _keys(on)
-    spark = left.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = hot_keys(left if counted is None else counted, keys, parts)
+    found = hot_keys(left, keys) if hot is None else hot
     if not found:
         return left.join(right, keys, how)
+    parts = shuffle_partitions(left)
     schema = left.select(*keys).schema.add("_salts", T.IntegerType())
-    hot = F.broadcast(spark.createDataFrame(found, schema))
+    salted = F.broadcast(left.sparkSession.createDataFrame(found, schema))
     number = F.pmod(F.xxhash64(*left.columns), F.lit(1 << 30)) + F.spark_partition_id()
     any_null = reduce(or_, [F.col(k).isNull() for k in keys])
     salts = F.when(any_null, F.lit(parts)).otherwise(F.coalesce("_salts", F.lit(1)))
-    dealt = left.join(hot, keys, "left").select(
+    dealt = left.join(salted, keys, "left").select(
         *[F.col(c) for c in left.columns], F.pmod(number, salts).cast("int").alias("_salt")
     )
     copies = F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)
-    repeated = right.join(hot, keys, "left").select(
+    repeated = right.join(salted, keys, "left").select(
         *[F.col(c) for c in right.columns], F.explode(copies).alias("_salt")
     )
     return dealt.join(repeated, [*keys, "_salt"], how).drop("_salt")

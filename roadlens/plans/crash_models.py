@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.ml.feature import StringIndexerModel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from roadlens.functions.columns import bool_to_double, positive_flag
@@ -15,18 +15,18 @@ from roadlens.models.learners import ZeroInflatedPair, binomial, linear, poisson
 from roadlens.models.metrics import (
     bernoulli_statistics, glm_report, glm_statistics, named_coefficients, regression_metrics,
 )
-from roadlens.operators.joins import key_counts, spread_join
-from roadlens.operators.sampling import split_train_test
+from roadlens.operators.joins import hot_keys, key_counts, spread_join
+from roadlens.operators.sampling import with_split
 from roadlens.session import materialize
 
 
 def event_crash_counts(
-    events: DataFrame, crashes: DataFrame, key: str = "arc", counted: DataFrame | None = None
+    events: DataFrame, crashes: DataFrame, key: str = "arc", hot: list[Row] | None = None
 ) -> DataFrame:
     """Every event with its arc's crash count, 0 where there is none. Arcs with most of
-    the events are spread over many tasks; ``counted`` is as in ``spread_join``."""
+    the events are spread over many tasks; ``hot`` is as in ``spread_join``."""
     counts = key_counts(crashes, key, "count")
-    return spread_join(events, counts, key, "left", counted).na.fill(0, ["count"])
+    return spread_join(events, counts, key, "left", hot).na.fill(0, ["count"])
 
 
 def crash_count_regression(
@@ -47,11 +47,11 @@ def crash_count_regression(
     )
     columns = [*numeric, *flags]
     complete = typed.na.drop(subset=columns)
-    rows = assemble_features(event_crash_counts(complete, crashes, key, events), columns)
-    train, test = split_train_test(
-        materialize(rows.select(*split_keys, "features", "count")), split_keys, 80, seed
-    )
-    model = linear("count").fit(train)
+    counted = event_crash_counts(complete, crashes, key, hot_keys(events, key))
+    marked = with_split(assemble_features(counted, columns), split_keys, 80, seed)
+    rows = materialize(marked.select("features", "count", "split"))
+    model = linear("count").fit(rows.where("split = 'train'"))
+    test = rows.where("split = 'test'")
     metrics = regression_metrics(model.transform(test), "count")
     measured = metrics.unpivot([], ["rmse", "mse", "mae", "r2"], "name", "value")
     return named_coefficients(events.sparkSession, model, columns).unionByName(measured)

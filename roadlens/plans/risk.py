@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Model
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -131,26 +133,32 @@ def fit_spec(spec: ModelSpec, sample: DataFrame) -> tuple[Model, DataFrame, list
 
 def samples_for(table: DataFrame, specs: Sequence[ModelSpec], key: str) -> dict[int, DataFrame]:
     """One materialized sample per class ratio, shared by the models that use it."""
-    rows = materialize(table)
-    return {r: materialize(model_sample(rows, r, key)) for r in sorted({s.ratio for s in specs})}
+    return {r: materialize(model_sample(table, r, key)) for r in sorted({s.ratio for s in specs})}
 
 
 def model_comparison(
-    table: DataFrame, specs: Sequence[ModelSpec] | None = None, key: str = "arc"
+    table: DataFrame, specs: Sequence[ModelSpec] | None = None, key: str = "arc",
+    parallelism: int = 4,
 ) -> DataFrame:
-    """(model, algorithm, ratio, leaky, split, n_rows, rmse, mse, mae, r2)."""
+    """(model, algorithm, ratio, leaky, split, n_rows, rmse, mse, mae, r2).
+
+    A fit on a balanced sample is a chain of short jobs, so ``parallelism`` models are
+    fitted at a time."""
     specs = model_specs() if specs is None else specs
     samples = samples_for(table, specs, key)
-    parts = []
-    for spec in specs:
+
+    def measured(spec: ModelSpec) -> DataFrame:
         _, scored, _ = fit_spec(spec, samples[spec.ratio])
-        parts.append(
-            metrics_by_split(scored, LABEL).select(
-                F.lit(spec.name).alias("model"), F.lit(spec.algorithm).alias("algorithm"),
-                F.lit(spec.ratio).alias("ratio"), F.lit(spec.leaky).alias("leaky"),
-                "split", "n_rows", *METRICS,
-            )
+        return metrics_by_split(scored, LABEL).select(
+            F.lit(spec.name).alias("model"), F.lit(spec.algorithm).alias("algorithm"),
+            F.lit(spec.ratio).alias("ratio"), F.lit(spec.leaky).alias("leaky"),
+            "split", "n_rows", *METRICS,
         )
+
+    spark = table.sparkSession
+    with ThreadPoolExecutor(parallelism) as pool:
+        # each thread inherits the session's job properties
+        parts = list(pool.map(inheritable_thread_target(spark)(measured), specs))
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -28,39 +28,50 @@ def placed_segments(
     return segments.where(F.col(segment).isNotNull() & F.col(position).isNotNull())
 
 
-def visited_ranges(
+def place_points(
     routes: DataFrame, segments: DataFrame, trip: str = "trip_id", key: str = "arc",
     segment: str = "segment_id", position: str = "seq",
 ) -> DataFrame:
-    """(trip, segment, lo, hi): first and last position each trip visits on a segment."""
-    visits = routes.select(trip, key).distinct()
+    """Every route point with its place; points on arcs the segment table does not know
+    have none. Arcs that most trips use are spread over many tasks."""
     places = placed_segments(segments, segment, position).select(key, segment, position)
-    return group_min_max(spread_join(visits, places, key, counted=routes), [trip, segment], position)
+    return spread_join(routes.select(trip, key), places, key, "left")
 
 
-def expand_routes(
-    routes: DataFrame,
-    segments: DataFrame,
-    trip: str = "trip_id",
-    key: str = "arc",
-    segment: str = "segment_id",
-    position: str = "seq",
-    ranges: DataFrame | None = None,
+def visited_ranges(
+    points: DataFrame, trip: str = "trip_id", segment: str = "segment_id", position: str = "seq"
 ) -> DataFrame:
-    """Every arc between the first and last visited position of each segment, once per
-    trip, and each route point on an arc the segment table does not know.
+    """(trip, segment, lo, hi): first and last position each trip visits on a segment."""
+    return group_min_max(points.where(F.col(segment).isNotNull()), [trip, segment], position)
 
-    All trips are expanded in one plan."""
+
+def fill_points(
+    points: DataFrame, segments: DataFrame, trip: str = "trip_id", key: str = "arc",
+    segment: str = "segment_id", position: str = "seq",
+) -> DataFrame:
+    """Placed points filled up to whole ranges, and the points without a place."""
     known = placed_segments(segments, segment, position)
-    if ranges is None:
-        ranges = materialize(visited_ranges(routes, segments, trip, key, segment, position))
+    ranges = visited_ranges(points, trip, segment, position)
     filled = join_range(ranges, known, segment, position).drop("lo", "hi")
-    unknown = spread_join(routes.select(trip, key), known.select(key).distinct(), key, "left_anti")
+    unknown = points.where(F.col(segment).isNull()).select(trip, key)
     return union_missing(
         filled.withColumn("is_known", F.lit(True)), unknown.withColumn("is_known", F.lit(False))
     ).select(trip, *segments.columns, "is_known")
 
 
+def expand_routes(
+    routes: DataFrame, segments: DataFrame, trip: str = "trip_id", key: str = "arc",
+    segment: str = "segment_id", position: str = "seq",
+) -> DataFrame:
+    """Every arc between the first and last visited position of each segment, once per
+    trip, and each route point on an arc the segment table does not know.
+
+    All trips are expanded in one plan; the placed points are materialized, as both the
+    ranges and the unknown points come from them."""
+    points = materialize(place_points(routes, segments, trip, key, segment, position))
+    return fill_points(points, segments, trip, key, segment, position)
+
+
 def itinerary_risk(
     routes: DataFrame,
     segments: DataFrame,
@@ -73,10 +84,11 @@ def itinerary_risk(
 ) -> DataFrame:
     """One row per itinerary: arcs before and after filling, the summed measures
     (``{output name: segment column}``) and the arcs its ranges span."""
-    ranges = materialize(visited_ranges(routes, segments, trip, key, segment, position))
-    expanded = expand_routes(routes, segments, trip, key, segment, position, ranges)
+    points = materialize(place_points(routes, segments, trip, key, segment, position))
+    expanded = fill_points(points, segments, trip, key, segment, position)
     named = expanded.select(trip, *[F.col(c).alias(n) for n, c in measures.items()])
     sums = group_sums(named, [trip], list(measures)).withColumnRenamed("rows", "num_expanded")
+    ranges = visited_ranges(points, trip, segment, position)
     lengths = range_length_sum(ranges, [trip], name="range_arcs")
     given = routes.groupBy(*itinerary, trip).agg(F.count(F.lit(1)).alias("num_arcs"))
     return (
