@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from roadlens.functions.columns import hash_number, hash_percent
 
 BUCKET_BITS = 16
+REPEAT_STEP = 10_000
 
 
 def with_split(
@@ -30,13 +31,28 @@ def split_train_test(
     return df.where(is_train), df.where(~is_train)
 
 
+def repeat_rows(df: DataFrame, times: str) -> DataFrame:
+    """Each row as often as the column ``times`` says. Long repeats grow in two steps,
+    so that no array has more than ``REPEAT_STEP`` entries."""
+    steps = F.sequence(F.lit(0), F.floor((F.col(times) - 1) / REPEAT_STEP))
+    left = F.col(times) - F.col("_step") * REPEAT_STEP
+    return (
+        df.where(F.col(times) > 0)
+        .withColumn("_step", F.explode(steps))
+        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.least(left, F.lit(REPEAT_STEP)))))
+        .select(*df.columns)
+    )
+
+
 def take_by_hash(
     df: DataFrame, size: Column, keys: Sequence[str], seed: int = 42
 ) -> DataFrame:
-    """The first ``size`` rows in order of the hash of ``keys``, which tell rows apart.
+    """The first ``size`` rows in order of the hash of ``keys``, which tell rows apart:
+    rows with equal keys are copies of each other.
 
     A count per hash bucket (65,536 of them at most) shows which buckets are taken
-    whole; only the bucket where the limit falls is ranked row by row."""
+    whole. Only the bucket where the limit falls is ranked, after its copies have been
+    counted together."""
     number = hash_number(seed, *keys)
     hashed = df.withColumns(
         {"_hash": number, "_bucket": F.shiftright(number, 32 - BUCKET_BITS)}
@@ -51,11 +67,14 @@ def take_by_hash(
     placed = hashed.join(F.broadcast(plan), "_bucket")
     whole = placed.where("_rows <= _wanted")
     order = W.partitionBy("_bucket").orderBy("_hash", *keys)
-    cut = (
+    copies = (
         placed.where("_rows > _wanted")
-        .withColumn("_rank", F.row_number().over(order))
-        .where("_rank <= _wanted")
+        .groupBy("_bucket", "_hash", "_wanted", *df.columns)
+        .agg(F.count(F.lit(1)).alias("_copies"))
+        .withColumn("_before", F.sum("_copies").over(order) - F.col("_copies"))
+        .withColumn("_taken", F.least("_copies", F.col("_wanted") - F.col("_before")))
     )
+    cut = repeat_rows(copies.where("_taken > 0"), "_taken")
     return whole.select(*df.columns).unionByName(cut.select(*df.columns))
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from conftest import rows
 from roadlens.operators import joins as J
 from roadlens.operators.quantiles import exact_quantiles
-from roadlens.operators.sampling import take_by_hash, with_split
+from roadlens.operators.sampling import repeat_rows, take_by_hash, with_split
 
 
 @pytest.fixture(scope="module")
@@ -88,6 +88,23 @@ def test_take_by_hash_with_crowded_buckets(spark, monkeypatch):
     assert narrow == {r["arc"] for r in take_by_hash(df, F.lit(333), ["arc"]).collect()}
 
 
+@pytest.mark.parametrize("size", [1, 400, 25_000, 60_000])
+def test_take_by_hash_counts_copies(spark, size):
+    """Two rows in three are copies of one row."""
+    df = spark.range(30_000).select(F.when(F.col("id") < 20_000, 7).otherwise(F.col("id"))
+                                    .alias("arc"), F.lit("x").alias("s"))
+    got = take_by_hash(df, F.lit(size), ["arc"]).groupBy("arc").count().collect()
+    assert sum(r["count"] for r in got) == min(size, 30_000)
+    found = {r["arc"]: r["count"] for r in got}
+    assert found.pop(7, 0) <= 20_000 and set(found.values()) <= {1}
+
+
+def test_repeat_rows(spark):
+    df = spark.createDataFrame([("a", 0), ("b", 1), ("c", 10_000), ("d", 25_001)], "k string, n int")
+    got = {r["k"]: r["count"] for r in repeat_rows(df, "n").groupBy("k").count().collect()}
+    assert got == {"b": 1, "c": 10_000, "d": 25_001}
+
+
 def test_split_does_not_depend_on_partitioning(spark):
     df = spark.range(5000).withColumnRenamed("id", "arc")
     a, b = with_split(df, ["arc"]), with_split(df.repartition(7), ["arc"])
