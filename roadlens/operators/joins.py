@@ -3,13 +3,17 @@ hold a hot key spread that key over many tasks."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+# frequent-key sketch: items tracked per partition, and Spark's limit on them
+SKETCH_ITEMS = 16
+SKETCH_LIMIT = 1_000_000
 
 
 def _keys(on: str | Sequence[str]) -> list[str]:
@@ -47,20 +51,22 @@ def shuffle_partitions(df: DataFrame) -> int:
 
 def hot_keys(
     df: DataFrame, on: str | Sequence[str], parts: int | None = None
-) -> list[Row]:
-    """Keys with more rows than an even share of ``parts`` partitions (the shuffle
-    partitions by default), each with the number of such shares it fills.
+) -> list[tuple[int, int]]:
+    """Hashes of keys with more rows than an even share of ``parts`` partitions (the
+    shuffle partitions by default), each with the number of such shares it fills.
 
-    Fewer than ``parts`` keys can pass that test, whatever the size of ``df``, so the
-    list may be read by the driver."""
+    One pass keeps a sketch of frequent keys whose size depends on ``parts`` only, and
+    nothing is shuffled but the sketches. It cannot miss a key that large, and fewer
+    than ``parts`` keys can be."""
     parts = shuffle_partitions(df) if parts is None else parts
-    counts = key_counts(df, on, "_rows")
-    total = counts.agg(F.sum("_rows").alias("t"))
-    shares = F.col("_rows") * F.lit(parts) / total.scalar()
-    return (
-        counts.select(*_keys(on), F.ceil(shares).cast("int").alias("_salts"))
-        .where("_salts > 1").collect()
-    )
+    tracked = min(SKETCH_ITEMS * parts, SKETCH_LIMIT)
+    hashed = df.select(F.xxhash64(*_keys(on)).alias("_key"))
+    found = hashed.agg(
+        F.expr(f"approx_top_k(_key, {min(parts, tracked)}, {tracked})").alias("top"),
+        F.count(F.lit(1)).alias("rows"),
+    ).first()
+    shares = [(item["item"], item["count"] * parts / found["rows"]) for item in found["top"]]
+    return [(key, math.ceil(share)) for key, share in shares if share > 1]
 
 
 def spread_join(
@@ -68,15 +74,16 @@ def spread_join(
     right: DataFrame,
     on: str | Sequence[str],
     how: str = "inner",
-    hot: list[Row] | None = None,
+    hot: list[tuple[int, int]] | None = None,
 ) -> DataFrame:
     """Equi join whose left side may be skewed.
 
-    A count per key of the left side shows the hot keys. Without any, this is a plain
-    join. Otherwise the rows of a hot key are dealt over salts, as many as the shuffle
-    partitions its share would fill, and the matching right rows are repeated once per
-    salt. Null keys match nothing and are dealt over all salts. The salt comes from the
-    row and from the partition it was read in, so that equal rows are spread as well.
+    A pass over the keys of the left side finds the hot ones. Without any, this is a
+    plain join. Otherwise the rows of a hot key are dealt over salts, as many as the
+    shuffle partitions its share would fill, and the matching right rows are repeated
+    once per salt. Null keys match nothing and are dealt over all salts. The salt comes
+    from the row and from the partition it was read in, so that equal rows are spread
+    as well.
 
     ``hot`` is a list of hot keys already found, perhaps in a frame that is cheaper to
     read than ``left``; it steers the spreading and never the result."""
@@ -87,17 +94,21 @@ def spread_join(
     if not found:
         return left.join(right, keys, how)
     parts = shuffle_partitions(left)
-    schema = left.select(*keys).schema.add("_salts", T.IntegerType())
-    salted = F.broadcast(left.sparkSession.createDataFrame(found, schema))
-    number = F.pmod(F.xxhash64(*left.columns), F.lit(1 << 30)) + F.spark_partition_id()
+    salted = F.broadcast(left.sparkSession.createDataFrame(found, "_key bigint, _salts int"))
+    salts = F.coalesce("_salts", F.lit(1))
     any_null = reduce(or_, [F.col(k).isNull() for k in keys])
-    salts = F.when(any_null, F.lit(parts)).otherwise(F.coalesce("_salts", F.lit(1)))
-    dealt = left.join(salted, keys, "left").select(
-        *[F.col(c) for c in left.columns], F.pmod(number, salts).cast("int").alias("_salt")
+    number = F.pmod(F.xxhash64(*left.columns), F.lit(1 << 30)) + F.spark_partition_id()
+    dealt = (
+        left.withColumn("_key", F.xxhash64(*keys)).join(salted, "_key", "left")
+        .select(*[F.col(c) for c in left.columns],
+                F.pmod(number, F.when(any_null, parts).otherwise(salts)).cast("int").alias("_salt"))
     )
-    copies = F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)
-    repeated = right.join(salted, keys, "left").select(
-        *[F.col(c) for c in right.columns], F.explode(copies).alias("_salt")
+    # the right keys are hashed as the left key's type
+    typed = [F.col(k).cast(left.schema[k].dataType) for k in keys]
+    repeated = (
+        right.withColumn("_key", F.xxhash64(*typed)).join(salted, "_key", "left")
+        .select(*[F.col(c) for c in right.columns],
+                F.explode(F.sequence(F.lit(0), salts - 1)).alias("_salt"))
     )
     return dealt.join(repeated, [*keys, "_salt"], how).drop("_salt")
 

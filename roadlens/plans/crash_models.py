@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.ml.feature import StringIndexerModel
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roadlens.functions.columns import bool_to_double, positive_flag
@@ -21,7 +21,8 @@ from roadlens.session import materialize
 
 
 def event_crash_counts(
-    events: DataFrame, crashes: DataFrame, key: str = "arc", hot: list[Row] | None = None
+    events: DataFrame, crashes: DataFrame, key: str = "arc",
+    hot: list[tuple[int, int]] | None = None,
 ) -> DataFrame:
     """Every event with its arc's crash count, 0 where there is none. Arcs with most of
     the events are spread over many tasks; ``hot`` is as in ``spread_join``."""

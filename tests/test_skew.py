@@ -36,11 +36,35 @@ def test_spread_join_of_repeated_right_rows(skewed):
     assert rows(J.spread_join(left, twice, ["k"])) == rows(left.join(twice, "k"))
 
 
-def test_hot_keys_are_few_and_found(skewed):
+def test_hot_keys_are_few_and_found(spark, skewed):
     left, _ = skewed
-    found = {r["k"]: r["_salts"] for r in J.hot_keys(left, "k", 8)}
-    assert set(found) == {1, None} and found[1] == 3
+    names = {r["h"]: r["k"] for r in left.select("k", F.xxhash64("k").alias("h")).collect()}
+    assert {names[h]: n for h, n in J.hot_keys(left, "k", 8)} == {1: 3, None: 3}
     assert len(J.hot_keys(left, "k", 1000)) < 1000
+    assert J.hot_keys(left.limit(0), "k") == []
+
+
+def test_every_hot_key_is_found_among_many(spark):
+    """Forty keys just above an even share, under a million rows of other keys."""
+    hot = spark.range(40).select(F.explode(F.array_repeat(F.col("id"), 22_000)).alias("k"))
+    rest = spark.range(1_000_000).select((F.col("id") + 100).alias("k"))
+    found = J.hot_keys(hot.unionAll(rest).repartition(8), "k", 100)
+    assert len(found) == 40 and {n for _, n in found} == {2}
+
+
+def test_spread_join_across_key_types(spark):
+    left = spark.createDataFrame([(1,)] * 50 + [(2,)], "k bigint")
+    right = spark.createDataFrame([(1, "a"), (2, "b")], "k int, w string")
+    assert J.spread_join(left, right, "k").count() == 51
+    assert J.spread_join(right, left.withColumn("v", F.lit(0)), "k").count() == 51
+
+
+def test_spread_join_on_two_keys(spark):
+    left = spark.createDataFrame([(1, "x")] * 60 + [(1, "y"), (2, None)], "a int, b string")
+    right = spark.createDataFrame([(1, "x", 5), (1, "y", 6), (2, None, 7)], "a int, b string, w int")
+    for how in ("inner", "left", "left_semi", "left_anti"):
+        got = J.spread_join(left, right, ["a", "b"], how)
+        assert rows(got) == rows(left.join(right, ["a", "b"], how))
 
 
 def test_hot_key_rows_reach_several_tasks(spark, skewed):
