@@ -44,22 +44,26 @@ def arc_profile(t):
     return rounded(arcs.arc_profile(t["fx_text_events"], t["fx_text_poi"], t["fx_text_crashes"]))
 
 
-DISTRIBUTED = ("weather", "road_cycle", "event_type", "interaction_poi", "slope")
+DISTRIBUTED = ("weather", "road_cycle", "event_type", "interaction_poi", "circulation_poi", "slope")
 
 
-@query("category_distribution", " UNION ALL ".join(
-    f"SELECT '{c}' AS category, CAST({c} AS VARCHAR) AS value, count(*) AS count "
-    f"FROM fx_event_rows GROUP BY {c}" for c in DISTRIBUTED[:4]) + """
-    UNION ALL SELECT 'trip_date', CAST(trip_date AS VARCHAR), count(*) FROM fx_events
+@query("category_distribution", """
+    SELECT 'county' AS category, county AS value, count(*) AS count FROM fx_trips GROUP BY county
+    UNION ALL SELECT 'trip_date', CAST(trip_date AS VARCHAR), count(*) FROM fx_trips
     GROUP BY trip_date""")
 def category_distribution(t):
-    rows = None
-    for source, c in [("fx_event_rows", c) for c in DISTRIBUTED[:4]] + [("fx_events", "trip_date")]:
-        part = exploration.category_distribution(t[source], c).select(
-            F.lit(c).alias("category"), F.col("value").cast("string").alias("value"), "count"
-        )
-        rows = part if rows is None else rows.unionByName(part)
-    return rows
+    counties = exploration.category_distribution(t["fx_trips"], "county")
+    days = exploration.category_distribution(t["fx_trips"], "trip_date")
+    return counties.select(F.lit("county").alias("category"), "value", "count").unionByName(
+        days.select(F.lit("trip_date").alias("category"), F.col("value").cast("string"), "count")
+    )
+
+
+@query("category_distributions", " UNION ALL ".join(
+    f"SELECT '{c}' AS category, CAST({c} AS VARCHAR) AS value, count(*) AS count "
+    f"FROM fx_event_rows GROUP BY {c}" for c in DISTRIBUTED))
+def category_distributions(t):
+    return exploration.category_distributions(t["fx_event_rows"], DISTRIBUTED)
 
 
 @query("distinct_trips_by", """

@@ -3,18 +3,17 @@ computes it."""
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from roadlens.catalog.job_queries import EVENT_ATTRIBUTES, RISK_ATTRIBUTES, feature_rows, rounded
+from roadlens.catalog.job_queries import RISK_ATTRIBUTES, feature_rows, rounded
 from roadlens.catalog.registry import query
 from roadlens.models import features as X
 from roadlens.models import learners as L
 from roadlens.models import metrics as E
 from roadlens.operators import joins as J
 from roadlens.operators import sampling as M
-from roadlens.plans import arcs, crash_models, risk, volume
+from roadlens.plans import crash_models, risk, volume
 from roadlens.session import materialize
 
 # small grids for the registered queries; the library's default grids are larger
@@ -44,7 +43,12 @@ def assemble_features(t):
     return rows.select("arc", *slots("features", 3))
 
 
-@query("assemble_features_keep")
+# few enough rows for the median sketch to be exact: the lower middle value
+@query("assemble_features_keep", """
+    WITH m AS (SELECT quantile_disc(slope, 0.5) AS a, quantile_disc(speed_limit, 0.5) AS b
+               FROM fx_arcs)
+    SELECT arc, slope, speed_limit, coalesce(slope, a) AS f0,
+           CAST(coalesce(speed_limit, b) AS DOUBLE) AS f1, arc_length AS f2 FROM fx_arcs, m""")
 def assemble_features_keep(t):
     rows = X.assemble_features_keep(t["fx_arcs"], ["slope", "speed_limit", "arc_length"])
     return rows.select("arc", "slope", "speed_limit", *slots("features", 3))
@@ -137,11 +141,21 @@ def linear_regression(t):
     return rounded(E.named_coefficients(t.spark, model, ["sample_speed"]), 3)
 
 
-@query("named_coefficients")
+@query("named_coefficients", """
+    WITH c AS (SELECT covar_pop(curve_max_angle, arc_length) AS a_y,
+                      covar_pop(seq, arc_length) AS b_y, covar_pop(curve_max_angle, seq) AS a_b,
+                      var_pop(curve_max_angle) AS a_a, var_pop(seq) AS b_b,
+                      avg(arc_length) AS mean_y, avg(curve_max_angle) AS mean_a,
+                      avg(seq) AS mean_b FROM fx_arcs),
+         s AS (SELECT *, (a_y * b_b - b_y * a_b) / (a_a * b_b - a_b * a_b) AS ca,
+                      (b_y * a_a - a_y * a_b) / (a_a * b_b - a_b * a_b) AS cb FROM c)
+    SELECT 'curve_max_angle' AS name, round(ca, 5) AS value FROM s
+    UNION ALL SELECT 'seq', round(cb, 5) FROM s
+    UNION ALL SELECT 'intercept', round(mean_y - ca * mean_a - cb * mean_b, 5) FROM s""")
 def named_coefficients(t):
-    rows = X.assemble_features(t["fx_arcs"], ["curve_max_angle", "seq", "road_priority"])
+    rows = X.assemble_features(t["fx_arcs"], ["curve_max_angle", "seq"])
     model = L.linear("arc_length").fit(rows)
-    return rounded(E.named_coefficients(t.spark, model, X.slot_names(rows)), 6)
+    return rounded(E.named_coefficients(t.spark, model, X.slot_names(rows)), 5)
 
 
 @query("predict", """

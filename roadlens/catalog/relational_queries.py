@@ -434,9 +434,12 @@ def column_quantile(t):
     return t.spark.createDataFrame(rows, "column_name string, probability double, value double")
 
 
-@query("column_quantile_sketch")
+@query("column_quantile_sketch", " UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, {p}::DOUBLE AS probability, "
+    f"CAST(quantile_disc({c}, {p}) AS DOUBLE) AS value FROM fx_arcs"
+    for c in ("arc_length", "slope") for p in (0.25, 0.5, 0.75)))
 def column_quantile_sketch(t):
-    return A.column_quantiles(t["fx_events"], ["sample_speed", "speed_change"], [0.25, 0.5, 0.75])
+    return A.column_quantiles(t["fx_arcs"], ["arc_length", "slope"], [0.25, 0.5, 0.75])
 
 
 @query("corr_pair", "SELECT round(corr(sample_speed, speed_change), 6) AS r FROM fx_events")

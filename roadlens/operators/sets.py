@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Mapping
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,7 +36,3 @@ def split_rows(df: DataFrame, condition) -> tuple[DataFrame, DataFrame]:
     """Rows where the condition holds, and all the others (null counts as no)."""
     holds = F.coalesce(condition, F.lit(False))
     return df.where(holds), df.where(~holds)
-
-
-def select_in_order(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return df.select(*columns)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +21,15 @@ def category_distribution(events: DataFrame, column: str) -> DataFrame:
     )
 
 
+def category_distributions(events: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(category, value, count) of several columns from one pass over the events, with
+    values as text."""
+    texts = events.select([F.col(c).cast("string").alias(c) for c in columns])
+    return key_counts(
+        texts.unpivot([], list(columns), "category", "value"), ["category", "value"]
+    ).orderBy("category", "value")
+
+
 def distinct_trips_by(trips: DataFrame, column: str, trip: str = "trip_id") -> DataFrame:
     """(value, trips, points): distinct trips beside recorded points.
 

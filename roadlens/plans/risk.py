@@ -107,8 +107,9 @@ def model_sample(table: DataFrame, ratio: int, key: str = "arc") -> DataFrame:
 def fit_spec(spec: ModelSpec, sample: DataFrame) -> tuple[Model, DataFrame, list[str]]:
     """Fit one model on the training rows and score all rows of the sample."""
     if spec.algorithm == "branch_forest":
+        # the numeric branch of this model has no speed limit
         categorical = [f for f in spec.features if f in (*ENCODED, CRASH)]
-        numeric = [f for f in spec.features if f not in categorical and f not in ROAD[:1]]
+        numeric = [f for f in spec.features if f not in (*categorical, "speed_limit")]
         model = branch_model(
             sample.where("split = 'train'"), numeric, categorical, LABEL, CRASH,
             spec.top, spec.trees,
@@ -138,7 +139,7 @@ def samples_for(table: DataFrame, specs: Sequence[ModelSpec], key: str) -> dict[
 
 def model_comparison(
     table: DataFrame, specs: Sequence[ModelSpec] | None = None, key: str = "arc",
-    parallelism: int = 4,
+    parallelism: int = 8,
 ) -> DataFrame:
     """(model, algorithm, ratio, leaky, split, n_rows, rmse, mse, mae, r2).
 
