@@ -79,8 +79,10 @@ def pair_correlation(a: Column | str, b: Column | str) -> Column:
 
 
 def hash_number(seed: int, *columns: Column | str) -> Column:
-    """Deterministic 32-bit number from the md5 of ``seed:key``."""
-    text = F.concat(F.lit(f"{seed}:"), concat_key(*columns, sep="|"))
+    """Deterministic 32-bit number from the md5 of ``seed:key``; never null, as a null
+    key counts as empty text."""
+    parts = [F.coalesce(_col(c).cast("string"), F.lit("")) for c in columns]
+    text = F.concat(F.lit(f"{seed}:"), F.concat_ws("|", *parts))
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
 
 

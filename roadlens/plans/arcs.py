@@ -43,7 +43,7 @@ def arc_profile(
     """One row per arc with events: event count, geometry, POI distances, crash count.
 
     Arcs without crashes keep a null count unless ``zero_fill``."""
-    counted = key_counts(events, key, "events_count").where(F.col(key).isNotNull())
+    counted = key_counts(events, key, "events_count")
     profile = (
         with_geometry(counted, key)
         .join(dedupe_by_key(poi, key), key, "left")
@@ -120,7 +120,7 @@ def event_mix(
     category: str = "event_type",
 ) -> DataFrame:
     """Events per type, in total and as ratios, one row per arc."""
-    counted = type_counts(events.where(F.col(key).isNotNull()), [key], types, category)
+    counted = type_counts(events, [key], types, category)
     return ratio_columns(counted, [column_name(t) for t in types], "total_events")
 
 

@@ -156,9 +156,11 @@ def test_arc_profile_options(spark):
     events = spark.createDataFrame([(key,), (key,), (None,)], "arc string")
     poi = spark.createDataFrame([(key, 5), (key, 3)], "arc string, school int")
     none = spark.createDataFrame([], "arc string")
-    got = arcs.arc_profile(events, poi, none).collect()
-    assert len(got) == 1 and got[0]["school"] == 3 and got[0]["crashes_count"] is None
-    assert arcs.arc_profile(events, poi, none, zero_fill=True).first()["crashes_count"] == 0
+    got = {r["arc"]: r for r in arcs.arc_profile(events, poi, none).collect()}
+    assert got[key]["events_count"] == 2 and got[None]["events_count"] == 1 and len(got) == 2
+    assert got[key]["school"] == 3 and got[key]["crashes_count"] is None
+    filled = arcs.arc_profile(events, poi, none, zero_fill=True)
+    assert [r["crashes_count"] for r in filled.collect()] == [0, 0]
 
 
 def test_risk_rows_equal_their_parts(spark):

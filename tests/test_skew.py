@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from conftest import rows
 from roadlens.operators import joins as J
 from roadlens.operators.quantiles import exact_quantiles
-from roadlens.operators.sampling import repeat_rows, take_by_hash, with_split
+from roadlens.operators.sampling import (
+    repeat_rows, split_train_test, take_by_hash, with_split,
+)
 
 
 @pytest.fixture(scope="module")
@@ -123,6 +125,14 @@ def test_take_by_hash_counts_copies(spark, size):
     assert found.pop(7, 0) <= 20_000 and set(found.values()) <= {1}
 
 
+def test_null_keys_are_split_and_sampled(spark):
+    df = spark.createDataFrame([(None,)] * 5 + [(i,) for i in range(20)], "arc int")
+    train, test = split_train_test(df, ["arc"])
+    assert train.count() + test.count() == 25
+    assert take_by_hash(df, F.lit(25), ["arc"]).count() == 25
+    assert take_by_hash(df, F.lit(24), ["arc"]).count() == 24
+
+
 def test_repeat_rows(spark):
     df = spark.createDataFrame([("a", 0), ("b", 1), ("c", 10_000), ("d", 25_001)], "k string, n int")
     got = {r["k"]: r["count"] for r in repeat_rows(df, "n").groupBy("k").count().collect()}
