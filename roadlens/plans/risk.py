@@ -95,15 +95,19 @@ def balanced_sample(
     return positives.unionByName(limit_ratio(df, label, keys, ratio, seed))
 
 
-def model_sample(table: DataFrame, ratio: int, key: str = "arc") -> DataFrame:
-    """The balanced rows ready for a learner: numbers as double, missing features filled
+def prepared(sample: DataFrame) -> DataFrame:
+    """Balanced rows ready for a learner: numbers as double, missing features filled
     with the sample's mean, train or test marked."""
-    named = table.withColumn("_key", F.col(key).cast("string"))
-    sample = materialize(balanced_sample(named, CRASH, ratio, ["_key"]))
     labelled = cast_by_type(sample.where(F.col(LABEL).isNotNull()))
     return with_split(impute_mean(labelled, NUMERIC), ["_key"])
 
 
+def model_sample(table: DataFrame, ratio: int, key: str = "arc") -> DataFrame:
+    """A balanced sample of the risk table, prepared."""
+    named = table.withColumn("_key", F.col(key).cast("string"))
+    return prepared(materialize(balanced_sample(named, CRASH, ratio, ["_key"])))
+
+
 def fit_spec(spec: ModelSpec, sample: DataFrame) -> tuple[Model, DataFrame, list[str]]:
     """Fit one model on the training rows and score all rows of the sample."""
     if spec.algorithm == "branch_forest":
@@ -133,8 +137,15 @@ def fit_spec(spec: ModelSpec, sample: DataFrame) -> tuple[Model, DataFrame, list
 
 
 def samples_for(table: DataFrame, specs: Sequence[ModelSpec], key: str) -> dict[int, DataFrame]:
-    """One materialized sample per class ratio, shared by the models that use it."""
-    return {r: materialize(model_sample(table, r, key)) for r in sorted({s.ratio for s in specs})}
+    """One materialized sample per class ratio, shared by the models that use it.
+
+    A smaller sample is the head of a larger one in hash order, so only the largest is
+    drawn from the whole table."""
+    samples, rows = {}, table.withColumn("_key", F.col(key).cast("string"))
+    for ratio in sorted({s.ratio for s in specs}, reverse=True):
+        rows = materialize(balanced_sample(rows, CRASH, ratio, ["_key"]))
+        samples[ratio] = materialize(prepared(rows))
+    return samples
 
 
 def model_comparison(

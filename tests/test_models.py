@@ -47,6 +47,14 @@ def test_sample_has_no_missing_features_and_right_sizes(sample):
     assert counts[0.0] == 4 * counts[1.0]
 
 
+def test_nested_samples_equal_direct_ones(table):
+    specs = [risk.ModelSpec(str(r), "decision_tree", risk.BASIC, ratio=r) for r in (1, 4, 10)]
+    for ratio, nested in risk.samples_for(table, specs, "arc").items():
+        direct = risk.model_sample(table, ratio)
+        columns = ["_key", risk.CRASH, risk.LABEL, "split"]
+        assert rows(nested, *columns) == rows(direct, *columns)
+
+
 def test_slot_names_cover_the_vector(sample):
     assembled = X.assemble_features(sample, risk.FULL)
     names = X.slot_names(assembled)
