@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadlens.llm import rule_ledger
+from roadlens.llm import fingerprints, rule_ledger
 from roadlens.llm.registry import query, table
 
 OP10_SQL = r"""
@@ -45,3 +45,21 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         (~rule_ledger.passes(rule_ledger.BASE)).alias("base_failed"),
         rule_ledger.passes(rule_ledger.STANDARD).alias("kept"), "failures")
+
+
+@query("op4_document_fingerprints")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    docs = fingerprints.with_next(fingerprints.with_sketch(docs, "text", "sketch"), "doc_id",
+                                  {"text": "next_text", "sketch": "next_sketch"})
+    docs = docs.withColumn("edited", fingerprints.edited_text("text", "next_text"))
+    docs = fingerprints.with_sketch(docs, "edited", "edited_sketch")
+    return docs.select(
+        "doc_id", F.length("text").cast("long").alias("n_chars"),
+        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        fingerprints.as_text("sketch").alias("fingerprint"),
+        fingerprints.as_text("edited_sketch").alias("edited_fingerprint"),
+        fingerprints.resemblance("sketch", "edited_sketch").alias("near_edited"),
+        fingerprints.resemblance("sketch", "next_sketch").alias("near_next"),
+        fingerprints.containment("edited_sketch", "sketch").alias("edited_contained"),
+        fingerprints.distinct_count(F.col("sketch")).alias("n_shingles"))
