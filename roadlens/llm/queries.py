@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadlens.llm import fingerprints, rule_ledger
+from roadlens.llm import fingerprints, personal_data, rule_ledger
 from roadlens.llm.registry import query, table
 
 OP10_SQL = r"""
@@ -63,3 +63,8 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
         fingerprints.resemblance("sketch", "next_sketch").alias("near_next"),
         fingerprints.containment("edited_sketch", "sketch").alias("edited_contained"),
         fingerprints.distinct_count(F.col("sketch")).alias("n_shingles"))
+
+
+@query("op2_personal_data")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.report(table(spark, sf_dir, "documents"))
