@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadlens.llm import fingerprints, personal_data, rule_ledger
-from roadlens.llm.registry import query, table
+from roadlens.llm import cutting_stock, fingerprints, personal_data, rule_ledger
+from roadlens.llm.registry import query, table, tokenizer_path
 
 OP10_SQL = r"""
 WITH w AS (SELECT doc_id, coalesce(text, '') AS t,
@@ -68,3 +68,9 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_personal_data")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data.report(table(spark, sf_dir, "documents"))
+
+
+@query("op8_packing")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = cutting_stock.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+    return placed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
