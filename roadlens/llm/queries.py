@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadlens.llm import cutting_stock, fingerprints, personal_data, rule_ledger
+from roadlens.llm import cutting_stock, fingerprints, personal_data, piece_codec, rule_ledger
 from roadlens.llm.registry import query, table, tokenizer_path
 
 OP10_SQL = r"""
@@ -74,3 +74,8 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = cutting_stock.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
     return placed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+@query("op1_sentencepiece")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_codec.encoded(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
