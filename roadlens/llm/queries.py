@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadlens.llm import cutting_stock, fingerprints, personal_data, piece_codec, rule_ledger
+from roadlens.llm import cutting_stock, fingerprints, jaccard_join, personal_data, piece_codec, rule_ledger
 from roadlens.llm.registry import query, table, tokenizer_path
 
 OP10_SQL = r"""
@@ -79,3 +79,8 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_sentencepiece")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.encoded(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
+@query("op6_ngram_jaccard_join")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
