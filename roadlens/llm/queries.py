@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadlens.llm import cutting_stock, fingerprints, jaccard_join, personal_data, piece_codec, rule_ledger
+from roadlens.llm import (
+    cutting_stock, fingerprints, jaccard_join, longest_previous, personal_data, piece_codec,
+    rule_ledger,
+)
 from roadlens.llm.registry import query, table, tokenizer_path
 
 OP10_SQL = r"""
@@ -84,3 +87,10 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_ngram_jaccard_join")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op7_suffix_array_dedup")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return longest_previous.without_repeats(docs).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
