@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roadlens.llm import (
-    cutting_stock, fingerprints, jaccard_join, longest_previous, personal_data, piece_codec,
+    cutting_stock, fingerprints, jaccard_join, longest_previous, main_text, personal_data, piece_codec,
     rule_ledger,
 )
 from roadlens.llm.registry import query, table, tokenizer_path
@@ -94,3 +94,8 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return longest_previous.without_repeats(docs).select(
         "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op9_main_text")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
