@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roadlens.llm import (
-    cutting_stock, fingerprints, jaccard_join, longest_previous, main_text, personal_data, piece_codec,
+    cross_entropy, cutting_stock, fingerprints, jaccard_join, longest_previous, main_text, personal_data, piece_codec,
     rule_ledger,
 )
 from roadlens.llm.registry import query, table, tokenizer_path
@@ -99,3 +99,9 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_main_text")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text.main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+@query("op5_cross_entropy_difference")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cross_entropy.cross_entropy_difference(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
