@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from roadlens.llm import (
     cross_entropy, cutting_stock, fingerprints, jaccard_join, longest_previous, main_text, personal_data, piece_codec,
-    rule_ledger,
+    role_repair, rule_ledger,
 )
 from roadlens.llm.registry import query, table, tokenizer_path
 
@@ -105,3 +105,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cross_entropy.cross_entropy_difference(
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op3_role_repair")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return role_repair.repaired(table(spark, sf_dir, "conversations")).drop("place")
