@@ -347,8 +347,8 @@ def _verdicts(span: int):
     return run
 
 
-def _removed(bits: int, span: int):
-    """Block and verdicts -> its rows with the remaining bytes and counts."""
+def _removed(bits: int, span: int, as_text: bool):
+    """Block and verdicts -> its rows with the remaining bytes (or text) and counts."""
 
     def run(docs: pa.Table, said: pa.Table) -> pa.Table:
         data, offsets = ts.flat(docs.column("text"))
@@ -381,17 +381,23 @@ def _removed(bits: int, span: int):
         ends = np.concatenate([[0], np.cumsum(np.diff(offsets) - removed)])
         pieces = pa.LargeBinaryArray.from_buffers(
             pa.large_binary(), n, [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(kept)])
+        if as_text:  # a character that was cut in two goes
+            pieces = pa.array([p.decode("utf-8", "ignore") for p in pieces.to_pylist()], pa.string())
+        else:
+            pieces = pieces.cast(pa.binary())
         rest = docs.drop_columns(["block", "id", "text"])
         return pa.table({**{c: rest.column(c) for c in rest.column_names},
-                         "kept": pieces.cast(pa.binary()), "n_bytes": np.diff(offsets),
+                         "kept": pieces, "n_bytes": np.diff(offsets),
                          "n_removed": removed, "n_spans": np.bincount(text, minlength=n)})
 
     return run
 
 
-def without_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", span: int = SPAN) -> DataFrame:
-    """``df`` without its text, with ``kept`` (the remaining bytes), ``n_bytes``, ``n_removed``
-    and ``n_spans`` (maximal removed runs). Needs ``span`` of 32 bytes or more."""
+def without_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", span: int = SPAN,
+                    as_text: bool = False) -> DataFrame:
+    """``df`` without its text, with ``kept`` (the remaining bytes, or the text they make),
+    ``n_bytes``, ``n_removed`` and ``n_spans`` (maximal removed runs). Needs ``span`` of 32
+    bytes or more."""
     size = df.agg(F.sum(F.octet_length(text))).head()[0] or 0
     n_blocks = max(4, int(size // BLOCK_BYTES) + 1)
     bits = max(4, (n_blocks - 1).bit_length())
@@ -419,7 +425,7 @@ def without_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", span
                                           ("hot", "digests", "steps", "lengths", "sources")])
     fields = ", ".join(f"{n} {df.schema[c].dataType.simpleString()}" for n, c in names)
     done = blocks.cogroup(told.groupBy("block")).applyInArrow(
-        _removed(bits, span), (fields + ", " if fields else "")
-        + "kept binary, n_bytes long, n_removed long, n_spans long")
+        _removed(bits, span, as_text), (fields + ", " if fields else "")
+        + f"kept {'string' if as_text else 'binary'}, n_bytes long, n_removed long, n_spans long")
     clash = {"kept", "n_bytes", "n_removed", "n_spans"}
     return done.select(*[F.col(n).alias(c) for n, c in names if c not in clash], *sorted(clash))
