@@ -98,8 +98,8 @@ def _buckets(df: DataFrame, key: str) -> Column:
     return F.when(F.col(key).isNull(), F.lit(-1)).otherwise(first * (n + 1) + second)
 
 
-def with_next(df: DataFrame, key: str, columns: dict[str, str]) -> DataFrame:
-    """``df`` with values of the next row by descending key (after the last: the first).
+def with_next(df: DataFrame, key: str, columns: dict[str, str], derive=lambda df: df) -> DataFrame:
+    """``derive(df)`` with values of the next row by descending key (after the last: the first).
 
     Null keys come last; rows of one key follow their first listed column. Rows are dealt
     by ranges of the key, and the first row of each range is passed to the range before."""
@@ -114,6 +114,7 @@ def with_next(df: DataFrame, key: str, columns: dict[str, str]) -> DataFrame:
             last.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("_bucket"))
     top_keys = tops.select("_bucket", F.col("_top"))
     firsts = df.join(F.broadcast(top_keys), "_bucket").filter(F.col(key).eqNullSafe(F.col("_top")))
+    df, firsts = derive(df), derive(firsts)
     firsts = firsts.groupBy("_bucket").agg(F.min(F.struct(*columns)).alias("_first"))
     firsts = firsts.join(follows, "_bucket").select(F.col("_after").alias("_bucket"), "_first")
     within = Window.partitionBy("_bucket").orderBy(F.col(key).desc_nulls_last(), F.col(tie))
