@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roadlens.llm import textscan as ts
-from roadlens.llm.storage import written
+from roadlens.llm.storage import let_workers_import, written
 
 VOCABULARY, BIGRAMS = 1 << 16, 1 << 19
 PRIOR_BIGRAM, PRIOR_WORD = 40.0, 100.0
@@ -95,6 +95,7 @@ def _counted(df: DataFrame, pairs, columns: int, bits: int, least: int) -> DataF
         return pa.table({"key": keys[keep].view(np.int64),
                          **{n: c[keep] for n, c in zip(names, counts, strict=True)}})
 
+    let_workers_import(df.sparkSession)
     return df.mapInArrow(send, "part long, keys binary, counts binary").groupBy("part").applyInArrow(
         meet, "key long, " + ", ".join(f"{n} long" for n in names))
 
@@ -214,6 +215,7 @@ def scored(df: DataFrame, models: Models, key: str = "doc_id", text: str = "text
                  pa.array(mean[1] - mean[0], mask=none)],
                 names=["_key", "n_tokens", "target_loss", "background_loss", "score"])
 
+    let_workers_import(df.sparkSession)
     kind = df.schema[key].dataType.simpleString()
     return df.select(F.col(key).alias("_key"), F.col(text).alias("_text")).mapInArrow(
         run, f"_key {kind}, n_tokens long, target_loss double, background_loss double, score double"

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadlens.llm import textscan as ts
-from roadlens.llm.storage import written
+from roadlens.llm.storage import let_workers_import, written
 from roadlens.llm.word_cache import WordEncoder
 
 LENGTH = 4096
@@ -64,6 +64,7 @@ def pieces(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", le
                     pa.array(total, pa.int64()), pa.array([zlib.crc32(p) for p in parts], pa.int64()),
                     pa.array(parts, pa.binary())], names=["doc_id", "start", "length", "doc_tokens", "ids_crc32", "ids"])
 
+    let_workers_import(df.sparkSession)
     cut_up = df.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).mapInArrow(
         cut, "doc_id long, start long, length long, doc_tokens long, ids_crc32 long, ids binary")
     return cut_up.withColumn("piece", F.monotonically_increasing_id())

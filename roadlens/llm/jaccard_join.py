@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from roadlens.llm import textscan as ts
 from roadlens.llm.components import components
-from roadlens.llm.storage import written
+from roadlens.llm.storage import let_workers_import, written
 
 SHINGLE, PERCENT = 4, 85
 RANGE_BYTES = 16 << 20
@@ -66,6 +66,7 @@ def signatures(df: DataFrame, key: str, text: str, shingle: int = SHINGLE) -> Da
                 [batch.column(0), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64())],
                 names=["_key", "n_shingles", "class"])
 
+    let_workers_import(df.sparkSession)
     kind = df.schema[key].dataType.simpleString()
     return df.select(F.col(key).alias("_key"), F.col(text).alias("_text")).mapInArrow(
         run, f"_key {kind}, n_shingles long, class long")
@@ -142,6 +143,7 @@ def shared_shingles(df: DataFrame, text: str, shingle: int = SHINGLE) -> DataFra
         return pa.table({"class": names[who], "n": sizes[who].astype(np.int64),
                          "token": token[keep] | (part << 32), "df": df_[keep].astype(np.int64)})
 
+    let_workers_import(df.sparkSession)
     sent = df.select(F.col(text).alias("_text")).mapInArrow(
         send, "part long, classes binary, sizes binary, runs binary, hashes binary")
     return sent.groupBy("part").applyInArrow(meet, "class long, n long, token long, df long")

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roadlens.llm import textscan as ts
+from roadlens.llm.storage import let_workers_import
 
 SPAN = 50
 GRAM = 18
@@ -398,6 +399,7 @@ def without_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", span
     """``df`` without its text, with ``kept`` (the remaining bytes, or the text they make),
     ``n_bytes``, ``n_removed`` and ``n_spans`` (maximal removed runs). Needs ``span`` of 32
     bytes or more."""
+    let_workers_import(df.sparkSession)
     size = df.agg(F.sum(F.octet_length(text))).head()[0] or 0
     n_blocks = max(4, int(size // BLOCK_BYTES) + 1)
     bits = max(4, (n_blocks - 1).bit_length())

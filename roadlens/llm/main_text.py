@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from roadlens.llm.storage import let_workers_import
+
 # Fixed lists: elements by kind, words in class names and ids, roles.
 SKIPPED = frozenset("script style noscript template svg math head title iframe object canvas audio video".split())
 BLOCKS = frozenset(
@@ -291,6 +293,7 @@ def learned(df: DataFrame, html: str = "html") -> dict[tuple, float]:
             [*(pa.array([k[i] for k in keys], pa.int32()) for i in range(6)),
              pa.array([counts[k] for k in keys], pa.int64())], names=["a", "b", "c", "d", "e", "label", "n"])
 
+    let_workers_import(df.sparkSession)
     rows = (df.select(html).mapInArrow(run, "a int, b int, c int, d int, e int, label int, n long")
             .groupBy("a", "b", "c", "d", "e", "label").agg(F.sum("n").alias("n")).collect())
     return train(sorted((tuple(r[:5]), r[5], r[6]) for r in rows))

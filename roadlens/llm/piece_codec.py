@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roadlens.llm import textscan as ts
+from roadlens.llm.storage import let_workers_import
 
 MARK = "▁"
 UNIGRAM, BPE = 1, 2
@@ -262,6 +263,7 @@ def encoded(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") -
                     pa.array(same),
                 ], names=["_key", "n_tokens", "ids", "ids_crc32", "decoded_sha256", "round_trip", "parity"])
 
+    let_workers_import(df.sparkSession)
     kind = df.schema[key].dataType.simpleString()
     return (df.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
             .mapInArrow(run, f"_key {kind}, n_tokens long, ids array<int>, ids_crc32 long, "
@@ -281,4 +283,5 @@ def decoded(df: DataFrame, path: str, ids: str = "ids", out: str = "text") -> Da
             texts = [None if r is None else t for r, t in zip(rows, texts, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], schema.fieldNames())
 
+    let_workers_import(df.sparkSession)
     return df.drop(out).mapInArrow(run, schema)

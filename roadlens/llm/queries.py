@@ -27,6 +27,7 @@ m AS (SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words,
              coalesce(lines, 0) AS n_lines, CAST(coalesce(dups, 0) AS BIGINT) AS n_dup_lines,
              CAST(coalesce(cover.n, 0) AS BIGINT) AS n_repeat_words,
              length(regexp_replace(t, '[^A-Z]', '', 'g')) AS upper,
+             len(list_filter(generate_series(2, len(ws)), lambda i: ws[i] = ws[i - 1])) AS stutters,
              length(regexp_replace(t, '[^A-Za-z]', '', 'g')) AS letters
       FROM w LEFT JOIN cover USING (doc_id) LEFT JOIN l USING (doc_id)),
 f AS (SELECT *, CASE WHEN n_words < 20 THEN 1 ELSE 0 END
@@ -35,7 +36,8 @@ f AS (SELECT *, CASE WHEN n_words < 20 THEN 1 ELSE 0 END
         + CASE WHEN n_dup_lines >= 3 AND 10 * n_dup_lines > 3 * n_lines THEN 8 ELSE 0 END
         + CASE WHEN word_chars < 2 * n_words THEN 16 ELSE 0 END
         + CASE WHEN word_chars > 30 * n_words THEN 32 ELSE 0 END
-        + CASE WHEN letters >= 20 AND 10 * upper > 4 * letters THEN 64 ELSE 0 END AS failures FROM m)
+        + CASE WHEN letters >= 20 AND 10 * upper > 4 * letters THEN 64 ELSE 0 END
+        + CASE WHEN 10 * stutters > 3 * n_words THEN 128 ELSE 0 END AS failures FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        failures & 3 <> 0 AS base_failed, failures = 0 AS kept, CAST(failures AS BIGINT) AS failures
 FROM f"""
@@ -53,8 +55,9 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_document_fingerprints")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    docs = fingerprints.with_next(fingerprints.with_sketch(docs, "text", "sketch"), "doc_id",
-                                  {"text": "next_text", "sketch": "next_sketch"})
+    docs = fingerprints.with_next(
+        docs, "doc_id", {"text": "next_text", "sketch": "next_sketch"},
+        lambda df: fingerprints.with_sketch(df, "text", "sketch"))
     docs = docs.withColumn("edited", fingerprints.edited_text("text", "next_text"))
     docs = fingerprints.with_sketch(docs, "edited", "edited_sketch")
     return docs.select(

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadlens.llm.storage import written
+from roadlens.llm.storage import let_workers_import, written
 
 ROLES = ("system", "user", "assistant")
 START, SYSTEM, USER, ASSISTANT = range(4)  # state: role of the last turn
@@ -179,6 +179,7 @@ def repaired(df: DataFrame, conversation: str = "conv_id", turn: str = "turn", r
              text: str = "text", block_bits: int = BLOCK_BITS) -> DataFrame:
     """One row per turn: conversation, turn, ``place`` (a number that rises with the order of
     turns), new ``role``, ``action``, ``inserted``, ``cost`` and the ``rendered`` fragment."""
+    let_workers_import(df.sparkSession)
     rows = df.select(F.col(conversation).alias("conv"), F.col(turn).alias("turn"), F.col(role).alias("role"),
                      F.col(text).alias("text"))
     order = ["conv", "turn", "role", "text"]

@@ -22,10 +22,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from roadlens.llm import textscan as ts
+from roadlens.llm.storage import let_workers_import
 
 WINDOW = 8
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words",
-            "n_upper", "n_letters")
+            "n_upper", "n_letters", "n_stutters")
 
 # Rules in bit order. New rules go to the end, so that stored masks keep their meaning.
 RULES = (
@@ -36,6 +37,7 @@ RULES = (
     ("short_words", "word_chars < 2 * n_words"),
     ("long_words", "word_chars > 30 * n_words"),
     ("shouting", "n_letters >= 20 AND 10 * n_upper > 4 * n_letters"),
+    ("stutter", "10 * n_stutters > 3 * n_words"),
 )
 BITS = {name: 1 << i for i, (name, _) in enumerate(RULES)}
 
@@ -87,7 +89,9 @@ def measure(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     n = len(offsets) - 1
     starts, ends, texts = ts.words(data, offsets)
     covered = np.zeros(len(starts) + 1, np.int64)
-    places, values = ts.grams(ts.span_hashes(data, starts, ends), texts, WINDOW)
+    hashes = ts.span_hashes(data, starts, ends)
+    places, values = ts.grams(hashes, texts, WINDOW)
+    stutters = (hashes[1:] == hashes[:-1]) & (texts[1:] == texts[:-1])
     twice = places[_repeated(texts[places], values)]
     np.add.at(covered, twice, 1)
     np.add.at(covered, twice + WINDOW, -1)
@@ -109,11 +113,13 @@ def measure(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
         "n_repeat_words": np.bincount(texts[repeated], minlength=n),
         "n_upper": _sums(_UPPER[data], offsets),
         "n_letters": _sums(_LETTER[data], offsets),
+        "n_stutters": np.bincount(texts[1:][stutters], minlength=n),
     }
 
 
 def with_ledger(df: DataFrame, text: str = "text") -> DataFrame:
     """``df`` with its measurements and ``failures``, the mask of the rules that fail."""
+    let_workers_import(df.sparkSession)
     df = df.drop(*[c for c in df.columns if c in (*MEASURES, "failures") and c != text])
     schema = T.StructType([*df.schema.fields, *(T.StructField(m, T.LongType()) for m in MEASURES)])
 
