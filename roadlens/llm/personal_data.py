@@ -219,7 +219,8 @@ def decided(df: DataFrame, key: str, text: str) -> DataFrame:
     weights = train([(r[0], tuple(r[1:1 + n]), tuple(r[1 + n:-1]), r[-1]) for r in sorted(counts)])
     each = Window.partitionBy("_row", "kind").orderBy("start", "end")
     ends = F.max(F.when(F.col("base"), F.col("end"))).over(each.rowsBetween(Window.unboundedPreceding, -1))
-    starts = F.min(F.when(F.col("base"), F.col("start"))).over(each.rowsBetween(1, Window.unboundedFollowing))
+    back = Window.partitionBy("_row", "kind").orderBy(F.col("start").desc(), F.col("end").desc())
+    starts = F.min(F.when(F.col("base"), F.col("start"))).over(back.rowsBetween(Window.unboundedPreceding, -1))
     apart = (F.coalesce(ends, F.lit(-1)) <= F.col("start")) & (F.coalesce(starts, F.col("end")) >= F.col("end"))
     strict = F.array(*[F.lit(s) for _, s, *_ in PATTERNS])
     proposed = ~F.get(strict, F.col("pattern")) & F.col("valid") & (_score(weights) > math.log(0.5 / 0.5))
