@@ -174,21 +174,29 @@ def boundary(sets: DataFrame, percent: int) -> int:
 
 
 def meetings(sets: DataFrame, percent: int) -> DataFrame:
-    """``(bucket, class, n, rank)``: buckets in which any two classes that link meet at least once."""
+    """``(bucket, class, n, central, most)``: buckets in which any two classes that link meet.
+
+    ``most`` bounds what a class can share with others whose first common shingles are the
+    bucket's: those and the later ones in order. A pair that links passes it in some bucket."""
     x = boundary(sets, percent)
     base = sets.select("class", "n", "central", "shared", "first")
-    lists = base.filter(F.col("n") * 100 >= percent * x).select(
-        "class", "n", "central", F.explode(F.expr("transform(slice(shared, 1, first), s -> s.token)")).alias("bucket"))
+    lists = base.filter(F.col("n") * 100 >= percent * x).select("class", "n", "central", F.explode(F.expr(
+        "transform(slice(shared, 1, first), (s, i) -> struct(s.token AS bucket, size(shared) - i AS most))")).alias("m"))
     small = base.filter(F.col("n") < x).withColumn("head", F.expr(
         f"transform(slice(shared, 1, first + {SUBSET - 1}), s -> s.token)"))
     subsets = small.select("class", "n", "central", F.explode(F.expr(
-        """flatten(transform(head, (t, i) -> transform(slice(head, i + 2, size(head)),
-                   u -> xxhash64(least(t, u), greatest(t, u)))))""")).alias("bucket"))
-    rows = lists.unionByName(subsets).distinct()
+        """flatten(transform(head, (t, i) -> transform(slice(head, i + 2, size(head)), (u, j) -> struct(
+               xxhash64(least(t, u), greatest(t, u)) AS bucket, size(shared) - i - j AS most))))""")).alias("m"))
+    rows = lists.unionByName(subsets).select("class", "n", "central", "m.bucket", "m.most")
     common = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("_m")).filter("_m > 1").drop("_m")
     return rows.join(common, "bucket", "left_semi")
 
 
+def _can_link(a: str, b: str, percent: int) -> str:
+    """Sizes and bounds of two members of a bucket allow a link."""
+    return f"{100 + percent} * least({a}.most, {b}.most) >= {percent} * ({a}.n + {b}.n)"
+
+
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs whose sets reach the threshold."""
     tokens = sets.select("class", "n", F.expr("transform(shared, s -> s.token)").alias("tokens"))
@@ -207,12 +215,12 @@ def class_components(sets: DataFrame, percent: int) -> DataFrame | None:
     labels = None
     size = open_rows.count()
     while size:
-        member = F.struct("central", "class", "component", "n")
+        member = F.struct("central", "class", "component", "n", "most")
         centre = open_rows.groupBy("bucket").agg(
             F.max(member).alias("p"), F.min("component").alias("lo"), F.max("component").alias("hi"))
         centre = centre.filter("lo <> hi").select("bucket", "p")
-        pairs = open_rows.join(centre, "bucket").filter(
-            f"component <> p.component AND 100 * least(n, p.n) >= {percent} * greatest(n, p.n)")
+        pairs = open_rows.alias("o").join(centre, "bucket").filter(
+            f"o.component <> p.component AND {_can_link('o', 'p', percent)}")
         pairs = pairs.select(F.col("p.class").alias("a"), F.col("class").alias("b")).distinct()
         links = links.unionByName(_linked(pairs, sets, percent))
         links = written(links, "found")
@@ -224,7 +232,7 @@ def class_components(sets: DataFrame, percent: int) -> DataFrame | None:
         mixed = now.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
         now = written(now.join(mixed.filter("lo <> hi").select("bucket"), "bucket", "left_semi"), "open")
         left = now.count()
-        if left * 10 > size * 7:  # little gained: the rest have few links, compare them in full
+        if left * 10 > size * 9:  # little gained: the rest have few links, compare them in full
             links = written(links.unionByName(_rest(now, sets, percent)), "found")
             return components(links)
         open_rows, size = now, left
@@ -233,10 +241,9 @@ def class_components(sets: DataFrame, percent: int) -> DataFrame | None:
 
 def _rest(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links among members of a bucket that are in different components."""
-    a = rows.select("bucket", F.col("class").alias("a"), F.col("component").alias("c_a"), F.col("n").alias("n_a"))
-    b = rows.select("bucket", F.col("class").alias("b"), F.col("component").alias("c_b"), F.col("n").alias("n_b"))
-    pairs = a.join(b, "bucket").filter(
-        f"a < b AND c_a <> c_b AND 100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
+    pairs = rows.alias("a").join(rows.alias("b"), (F.col("a.bucket") == F.col("b.bucket")) & F.expr(
+        f"a.class < b.class AND a.component <> b.component AND {_can_link('a', 'b', percent)}"))
+    pairs = pairs.select(F.col("a.class").alias("a"), F.col("b.class").alias("b"))
     return _linked(pairs.select("a", "b").distinct(), sets, percent)
 
 
