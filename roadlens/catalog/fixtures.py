@@ -46,6 +46,9 @@ FIXTURES = {
        {EVENT_TYPE} AS event_type, CAST(l_shipdate AS DATE) AS trip_date,
        l_returnflag AS weather, l_linestatus AS road_cycle,
        l_quantity AS sample_speed, l_extendedprice AS speed_change FROM {{lineitem}}""",
+    # events of a type beside the six named ones as well
+    "fx_seven_types": f"""SELECT l_partkey AS arc, CASE WHEN l_suppkey % 5 = 0
+       THEN 'Seat Belt Event' ELSE {EVENT_TYPE} END AS event_type FROM {{lineitem}}""",
     # events that carry the attributes of their arc
     "fx_event_rows": f"""SELECT p_partkey AS arc, l_orderkey AS trip_id,
        {EVENT_TYPE} AS event_type, l_returnflag AS weather, l_linestatus AS road_cycle,
@@ -90,10 +93,10 @@ FIXTURES = {
        o_custkey % 3 AS itinerary_id,
        concat(CAST(CAST(floor(o_custkey / 3) AS BIGINT) AS STRING), '_',
               CAST(o_custkey % 3 AS STRING)) AS trip_id,
-       l_partkey AS arc FROM {orders} JOIN {lineitem} ON l_orderkey = o_orderkey
-       WHERE o_orderpriority = '1-URGENT'""",
-    "fx_scores": """SELECT l_partkey AS arc, l_tax * l_quantity AS prediction FROM {lineitem}
-       WHERE l_linenumber = 1""",
+       l_partkey AS arc FROM {orders} JOIN {lineitem} ON l_orderkey = o_orderkey""",
+    # whole numbers, so that sums do not depend on the order of rows
+    "fx_scores": """SELECT l_partkey AS arc, CAST(round(l_tax * 100) AS INT) * l_quantity AS prediction
+       FROM {lineitem}""",
     "fx_scores_b": """SELECT l_partkey AS arc, l_linenumber * l_quantity AS prediction
        FROM {lineitem}""",
     "fx_trips": """SELECT l_orderkey AS trip_id, l_linenumber AS point_no, l_partkey AS arc,

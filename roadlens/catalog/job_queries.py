@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from roadlens.catalog.registry import query
-from roadlens.catalog.relational_queries import FLAGGED, HASH, RANGES, WKT, flagged
+from roadlens.catalog.relational_queries import (
+    EVENT_HASH, EVENT_ROWS, FLAGGED, HASH, RANGES, WKT, event_rows, flagged,
+)
 from roadlens.plans import arcs, exploration, reports, risk, routes
 
 EVENT_ATTRIBUTES = (
@@ -178,11 +180,12 @@ NAMES = {e: arcs.column_name(e) for e in arcs.EVENT_TYPES}
 
 @query("event_mix", "WITH m AS (SELECT arc, " + ", ".join(
     f"count(*) FILTER (WHERE event_type = '{e}') AS {n}" for e, n in NAMES.items()) + """,
+    count(*) FILTER (WHERE event_type = 'Seat Belt Event') AS other,
     count(*) FILTER (WHERE event_type IS NULL) AS unknown, count(*) AS total_events
-    FROM fx_events GROUP BY arc) SELECT *, """ + ", ".join(
-    f"round({n} / total_events, 6) AS {n}_ratio" for n in NAMES.values()) + " FROM m")
+    FROM fx_seven_types GROUP BY arc) SELECT *, """ + ", ".join(
+    f"round({n} / total_events, 6) AS {n}_ratio" for n in (*NAMES.values(), "other")) + " FROM m")
 def event_mix(t):
-    return rounded(arcs.event_mix(t["fx_events"]))
+    return rounded(arcs.event_mix(t["fx_seven_types"]))
 
 
 @query("crash_labels", """
@@ -228,6 +231,16 @@ def balanced_sample(t):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+@query("balanced_sample_events", EVENT_ROWS + f""",
+    n AS (SELECT *, row_number() OVER (ORDER BY {HASH}, {EVENT_HASH}, arc, trip_id, event_type) AS rn
+          FROM f WHERE crash = 0),
+    p AS (SELECT count(*) AS positives FROM f WHERE crash = 1)
+    SELECT arc, trip_id, event_type, crash FROM f WHERE crash = 1
+    UNION ALL SELECT arc, trip_id, event_type, crash FROM n, p WHERE rn <= 10 * positives""")
+def balanced_sample_events(t):
+    return risk.balanced_sample(event_rows(t), "crash", 10, ["arc"])
+
+
 SCORES = """
     a AS (SELECT arc, avg(prediction) AS model_a FROM fx_scores GROUP BY arc),
     b AS (SELECT arc, avg(prediction) AS model_b FROM fx_scores_b GROUP BY arc),

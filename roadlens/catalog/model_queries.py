@@ -16,10 +16,6 @@ from roadlens.operators import sampling as M
 from roadlens.plans import crash_models, risk, volume
 from roadlens.session import materialize
 
-# small grids for the registered queries; the library's default grids are larger
-TREE_GRID = {"maxDepth": [5, 10], "maxBins": [20, 40]}
-FOREST_GRID = {"numTrees": [5, 10], "maxDepth": [5, 10]}
-FOLDS = 3
 COUNT_FEATURES = ("sample_speed", "speed_change", "arc_length", "curve_max_angle", "speed_limit",
                   "road_lanes", "road_priority", "slope", "tri")
 COUNT_FLAGS = ("roundabout", "tunnel", "bridge")
@@ -80,7 +76,7 @@ def one_hot(t):
     )
 
 
-@query("feature_stages", """
+@query("feature_pipeline", """
     WITH l AS (SELECT interaction_poi AS v,
                       row_number() OVER (ORDER BY count(*) DESC, interaction_poi) - 1 AS i
                FROM fx_arcs WHERE interaction_poi IS NOT NULL GROUP BY interaction_poi),
@@ -92,7 +88,7 @@ def one_hot(t):
            CAST(pi AS DOUBLE) AS road_priority_index, CAST(a + b AS INT) AS n_slots
     FROM fx_arcs CROSS JOIN n LEFT JOIN l ON v = interaction_poi
     JOIN p ON pv = CAST(road_priority AS VARCHAR)""")
-def feature_stages(t):
+def feature_pipeline(t):
     names = ["interaction_poi", "road_priority"]
     rows = X.fit_encoding(t["fx_arcs"], names).transform(t["fx_arcs"])
     vectors = X.assembler([n + X.ENCODED for n in names]).transform(rows)
@@ -105,8 +101,11 @@ def feature_stages(t):
 @query("vector_slice", """
     SELECT arc, curve_max_angle AS f0, CAST(seq AS DOUBLE) AS f1 FROM fx_arcs""")
 def vector_slice(t):
-    rows = X.assemble_features(t["fx_arcs"], ["arc_length", "curve_max_angle", "seq"], "raw")
-    return X.vector_slice(rows, ["curve_max_angle", "seq"], "raw", "picked").select(
+    # one input's name begins with another's
+    inputs = ["arc_length", "curve_max_angle", "curve_max_angle_wide", "seq"]
+    wide = t["fx_arcs"].withColumn("curve_max_angle_wide", F.col("curve_max_angle") * 2)
+    rows = X.assemble_features(wide, inputs, "raw")
+    return X.vector_slice(rows, ["curve_max_angle", "seq"], inputs, "raw", "picked").select(
         "arc", *slots("picked", 2)
     )
 
@@ -317,8 +316,8 @@ def gradient_boosting(t):
     return _one_model(t, "gradient_boosting", risk.FULL)
 
 
-@query("two_branch_forest")
-def two_branch_forest(t):
+@query("branch_pipeline")
+def branch_pipeline(t):
     return _one_model(t, "branch_forest", (*risk.FULL, risk.CRASH))
 
 
@@ -326,7 +325,7 @@ def two_branch_forest(t):
 def cross_validate(t):
     rows = X.assemble_features(_sample(t), risk.BASIC)
     train = rows.where("split = 'train'")
-    model = L.cross_validate(train, L.tree(risk.LABEL), TREE_GRID, risk.LABEL, ["_key"], FOLDS)
+    model = L.cross_validate(train, L.tree(risk.LABEL), L.TREE_GRID, risk.LABEL, ["_key"])
     scores = [(p["maxDepth"], p["maxBins"], s) for p, s in L.grid_scores(model)]
     return rounded(t.spark.createDataFrame(scores, "max_depth int, max_bins int, rmse double"))
 
@@ -370,8 +369,7 @@ def predict_rate_road(t):
 
 @query("model_comparison")
 def model_comparison(t):
-    specs = risk.model_specs(TREE_GRID, FOREST_GRID, FOLDS)
-    return rounded(risk.model_comparison(_risk_table(t), specs))
+    return rounded(risk.model_comparison(_risk_table(t)))
 
 
 @query("crash_count_regression")

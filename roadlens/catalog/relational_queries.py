@@ -364,10 +364,11 @@ def group_count_distinct(t):
 
 @query("pivot_count", "SELECT arc, " + ", ".join(
     f"count(*) FILTER (WHERE event_type = '{e}') AS {column_name(e)}" for e in EVENT_TYPES)
-    + ", count(*) FILTER (WHERE event_type IS NULL) AS unknown FROM fx_events GROUP BY arc")
+    + ", count(*) FILTER (WHERE event_type = 'Seat Belt Event') AS other"
+    ", count(*) FILTER (WHERE event_type IS NULL) AS unknown FROM fx_seven_types GROUP BY arc")
 def pivot_count(t):
-    rows = A.pivot_count(t["fx_events"], "arc", "event_type", EVENT_TYPES)
-    return rows.select("arc", *[F.col(e).alias(column_name(e)) for e in EVENT_TYPES], "unknown")
+    rows = A.pivot_count(t["fx_seven_types"], "arc", "event_type", EVENT_TYPES)
+    return rows.select("arc", *[F.col(e).alias(column_name(e)) for e in EVENT_TYPES], "other", "unknown")
 
 
 @query("global_mean_max", """
@@ -590,6 +591,27 @@ def limit_ratio(t):
     return M.limit_ratio(flagged(t), "crash", ["arc"], 4)
 
 
+EVENT_HASH = """('0x' || substr(md5('42:' || arc || '|' || trip_id || '|' || coalesce(event_type, '') || '|'
+    || crash), 1, 8))::UBIGINT"""
+EVENT_ROWS = """
+    WITH f AS (SELECT arc, trip_id, event_type, CASE WHEN trip_id % 50 = 0 THEN 1 ELSE 0 END AS crash
+               FROM fx_events)"""
+
+
+def event_rows(t):
+    crash = F.when(F.col("trip_id") % 50 == 0, 1).otherwise(0)
+    return t["fx_events"].select("arc", "trip_id", "event_type", crash.alias("crash"))
+
+
+@query("limit_ratio_events", EVENT_ROWS + f"""
+    SELECT arc, trip_id, event_type, crash FROM (
+      SELECT *, row_number() OVER (ORDER BY {HASH}, {EVENT_HASH}, arc, trip_id, event_type) AS rn
+      FROM f WHERE crash = 0)
+    WHERE rn <= 4 * (SELECT count(*) FROM f WHERE crash = 1)""")
+def limit_ratio_events(t):
+    return M.limit_ratio(event_rows(t), "crash", ["arc"], 4)
+
+
 # ---- sets
 
 

@@ -78,16 +78,31 @@ def slot_names(df: DataFrame, column: str = "features") -> list[str]:
     return [found.get(i) or f"{column}_{i}" for i in range(size)]
 
 
-def slots_of(names: Sequence[str], groups: Sequence[str]) -> list[str]:
-    """Slots that belong to the given input columns: the column itself, or the
-    ``<column>_<category>`` slots of an encoded one."""
-    return [n for n in names if any(n == g or n.startswith(f"{g}_") for g in groups)]
-
-
-def vector_slice(df: DataFrame, groups: Sequence[str], source: str, output: str) -> DataFrame:
-    """The slots of some input columns as a vector of their own."""
-    names = slots_of(slot_names(df, source), groups)
-    return VectorSlicer(inputCol=source, outputCol=output, names=names).transform(df)
+def slot_ranges(df: DataFrame, inputs: Sequence[str]) -> dict[str, range]:
+    """Slots of each input column of an assembled vector: one for a number, as many as its
+    metadata says for a vector."""
+    found, at = {}, 0
+    for name in inputs:
+        size = 1
+        if df.schema[name].dataType.typeName() == "vectorudt":
+            attributes = df.schema[name].metadata.get("ml_attr", {})
+            groups = attributes.get("attrs", {}).values()
+            size = attributes.get("num_attrs", sum(len(g) for g in groups))
+            if not size:
+                raise ValueError(f"the vector {name} does not say how many slots it has")
+        found[name] = range(at, at + size)
+        at += size
+    return found
+
+
+def vector_slice(
+    df: DataFrame, groups: Sequence[str], inputs: Sequence[str], source: str, output: str
+) -> DataFrame:
+    """The slots of some input columns as a vector of their own; ``inputs`` are the columns
+    that ``source`` was assembled from, in order."""
+    ranges = slot_ranges(df, inputs)
+    places = [i for g in groups for i in ranges[g]]
+    return VectorSlicer(inputCol=source, outputCol=output, indices=places).transform(df)
 
 
 def chi_square_select(

@@ -5,11 +5,14 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.ml.regression import GeneralizedLinearRegressionModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 METRICS = ("rmse", "mse", "mae", "r2")
+NO_STANDARD_ERRORS = "No Std. Error"  # how Spark says that the normal equations are singular
 
 
 def regression_metrics(
@@ -63,7 +66,9 @@ def standard_errors(model: GeneralizedLinearRegressionModel, size: int) -> list[
     the normal equations are singular."""
     try:
         found = [float(v) for v in model.summary.coefficientStandardErrors]
-    except Exception:
+    except (PySparkException, Py4JJavaError) as error:
+        if NO_STANDARD_ERRORS not in str(error):
+            raise
         return [None] * size
     return found + [None] * (size - len(found))
 

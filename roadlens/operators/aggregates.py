@@ -34,15 +34,25 @@ def pivot_count(
     category: str,
     values: Sequence[str] | None = None,
     null_name: str = "unknown",
+    other_name: str = "other",
 ) -> DataFrame:
     """One count column per category value, 0 where there is none; null has its own
-    column. With ``values`` given no extra job looks for them; without, every value
-    that occurs gets a column."""
-    named = df.select(key, F.coalesce(F.col(category), F.lit(null_name)).alias("_category"))
-    pivoted = named.groupBy(key).pivot(
-        "_category", None if values is None else [*values, null_name]
+    column, apart from a value of that text. With ``values`` given no extra job looks for
+    them, and ``other_name`` counts the rest; without, every value that occurs gets one."""
+    value = F.col(category)
+    if values is None:
+        pivoted = df.where(value.isNotNull()).groupBy(key).pivot(category).agg(_rows())
+        nulls = df.groupBy(key).agg(F.count_if(value.isNull()).alias("_nulls"))
+        same = nulls[key].eqNullSafe(pivoted[key])
+        joined = nulls.join(pivoted, same, "left").select(
+            nulls[key], *[pivoted[c] for c in pivoted.columns if c != key],
+            F.col("_nulls").alias(null_name if null_name not in pivoted.columns else f"{null_name}_null"))
+        return joined.na.fill(0, [c for c in joined.columns if c != key])
+    return df.groupBy(key).agg(
+        *[F.count_if(value == v).alias(v) for v in values],
+        F.count_if(~value.isin(*values)).alias(other_name),
+        F.count_if(value.isNull()).alias(null_name),
     )
-    return pivoted.agg(_rows()).na.fill(0)
 
 
 def global_mean_max(df: DataFrame, column: str) -> DataFrame:

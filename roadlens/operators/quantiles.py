@@ -5,14 +5,13 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roadlens.functions.columns import not_nan
 
 ACCURACY = 10000
 HISTOGRAM_BUCKETS = 4096
-DIRECT_LIMIT = 1_000_000
 
 
 def _values(df: DataFrame, column: str) -> Column:
@@ -33,80 +32,91 @@ def approx_quantiles(df: DataFrame, columns: Sequence[str], probabilities: Seque
 
 
 def exact_quantiles(
-    df: DataFrame,
-    columns: Sequence[str],
-    probabilities: Sequence[float],
-    direct_limit: int = DIRECT_LIMIT,
+    df: DataFrame, columns: Sequence[str], probabilities: Sequence[float]
 ) -> dict[str, list[float | None]]:
     """Exact interpolated quantiles of the non-null, non-NaN values per column.
 
-    One aggregate finds the count and range of every column. Columns with few values
-    go through ``percentile``, which holds them all in one buffer; the others are
-    narrowed by histograms of fixed size until few values are left around each
-    wanted rank, so no task and no collect grows with the data."""
-    stats = df.agg(
-        *[agg for i, c in enumerate(columns) for agg in (
-            F.count(_values(df, c)).alias(f"n{i}"),
-            F.min(_values(df, c)).alias(f"lo{i}"),
-            F.max(_values(df, c)).alias(f"hi{i}"))]
-    ).first()
-    out: dict[str, list[float | None]] = {c: [None] * len(probabilities) for c in columns}
-    small = [c for i, c in enumerate(columns) if 0 < stats[f"n{i}"] <= direct_limit]
-    if small:
-        row = df.agg(
-            *[F.percentile(_values(df, c), list(probabilities)).alias(f"q{i}")
-              for i, c in enumerate(small)]
-        ).first()
-        for i, c in enumerate(small):
-            out[c] = list(row[f"q{i}"])
+    One aggregate counts the infinite values of every column and finds the range of the
+    finite ones. Then each round cuts the ranges around all wanted ranks of all columns
+    into buckets of equal width and counts them in one aggregate of fixed size, until
+    a range holds a single value; so no task and no collect grows with the data."""
+    finite = {c: _finite(df, c) for c in columns}
+    stats = df.agg(*[agg for i, c in enumerate(columns) for agg in (
+        F.count(_values(df, c)).alias(f"n{i}"),
+        F.count_if(_values(df, c) == -math.inf).alias(f"under{i}"),
+        F.count_if(_values(df, c) == math.inf).alias(f"over{i}"),
+        F.min(finite[c]).alias(f"lo{i}"), F.max(finite[c]).alias(f"hi{i}"))]).first()
+    found: dict[tuple[str, int], float] = {}
+    open_ranges: dict[tuple[str, int], tuple[float, float, int]] = {}
+    places = {}
     for i, c in enumerate(columns):
-        if stats[f"n{i}"] <= direct_limit:
-            continue
-        values = df.select(_values(df, c).alias("v")).where("v IS NOT NULL")
+        n, under = stats[f"n{i}"], stats[f"under{i}"]
+        for p in probabilities if n else ():
+            position = (n - 1) * p
+            places[c, p] = (math.floor(position), math.ceil(position), position)
+            for rank in places[c, p][:2]:
+                if rank < under:
+                    found[c, rank] = -math.inf
+                elif rank >= n - stats[f"over{i}"]:
+                    found[c, rank] = math.inf
+                else:
+                    open_ranges[c, rank] = (stats[f"lo{i}"], stats[f"hi{i}"], rank - under)
+    while open_ranges:
+        for at in [k for k, (low, high, _) in open_ranges.items() if low == high]:
+            found[at] = open_ranges.pop(at)[0]
+        if open_ranges:
+            open_ranges = _narrowed(df, finite, open_ranges)
+    out: dict[str, list[float | None]] = {}
+    for c in columns:
+        out[c] = [None] * len(probabilities)
         for j, p in enumerate(probabilities):
-            position = (stats[f"n{i}"] - 1) * p
-            low, high = math.floor(position), math.ceil(position)
-            bounds = (stats[f"lo{i}"], stats[f"hi{i}"], stats[f"n{i}"])
-            a = _value_at_rank(values, low, *bounds, direct_limit)
-            b = a if high == low else _value_at_rank(values, high, *bounds, direct_limit)
-            out[c][j] = a + (b - a) * (position - low)
+            if (c, p) in places:
+                low, high, position = places[c, p]
+                a, b = found[c, low], found[c, high]
+                out[c][j] = a if a == b else a + (b - a) * (position - low)
     return out
 
 
-def _value_at_rank(
-    values: DataFrame, rank: int, low: float, high: float, count: int, direct_limit: int
-) -> float:
-    """The value at a zero-based rank, by repeated equal-width histograms."""
-    while low < high and count > direct_limit:
-        inside = values.where(F.col("v").between(low, high))
-        # halves keep the width finite for ranges near the double limits
-        width = (high / 2 - low / 2) / (HISTOGRAM_BUCKETS / 2)
-        if width <= 0 or math.isinf(width):
-            break
-        bucket = F.floor(F.col("v") / F.lit(width) - F.lit(low / width))
-        bucket = F.least(bucket, F.lit(HISTOGRAM_BUCKETS - 1))
-        rows = (
-            inside.groupBy(bucket.alias("b"))
-            .agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-            .orderBy("b")
-            .collect()
-        )
-        before = (low, high)
-        for row in rows:
+def _finite(df: DataFrame, column: str) -> Column:
+    value = _values(df, column)
+    return F.when(F.abs(value) < math.inf, value)
+
+
+def _bucket(value: Column, low: float, high: float) -> Column:
+    """Bucket of a value in a range. Halves keep the width finite near the double limits; a
+    range too narrow to cut gives its lowest value and the rest."""
+    width = (high / 2 - low / 2) / (HISTOGRAM_BUCKETS / 2)
+    if width < 1e-300 or low + width == low or high - width == high:
+        return (value > low).cast("bigint")
+    bucket = F.floor(value / F.lit(width) - F.lit(low / width)).cast("bigint")
+    return F.least(F.greatest(bucket, F.lit(0)), F.lit(HISTOGRAM_BUCKETS - 1)).cast("bigint")
+
+
+def _narrowed(df: DataFrame, finite: dict[str, Column], ranges: dict) -> dict:
+    """Every range narrowed to the bucket that holds its rank, in one aggregate."""
+    keys = list(ranges)
+    spots = F.array(*[
+        F.struct(F.lit(i).alias("at"), finite[c].alias("v"), _bucket(finite[c], low, high).alias("b"))
+        for i, (c, _) in enumerate(keys) for low, high, _ in [ranges[keys[i]]]])
+    inside = F.filter(spots, lambda s: _within(s, [ranges[k] for k in keys]))
+    rows = (
+        df.select(F.explode(inside).alias("s"))
+        .groupBy("s.at", "s.b").agg(
+            F.count(F.lit(1)).alias("n"), F.min("s.v").alias("lo"), F.max("s.v").alias("hi"))
+        .orderBy("at", "b").collect()
+    )
+    out = {}
+    for i, key in enumerate(keys):
+        rank = ranges[key][2]
+        for row in (r for r in rows if r["at"] == i):
             if rank < row["n"]:
-                low, high, count = row["lo"], row["hi"], row["n"]
+                out[key] = (row["lo"], row["hi"], rank)
                 break
             rank -= row["n"]
-        if (low, high) == before:
-            break
-    if low == high:
-        return low
-    # few rows are left, or too narrow a range to split: count the distinct values
-    counted = (
-        values.where(F.col("v").between(low, high))
-        .groupBy("v").agg(F.count(F.lit(1)).alias("n"))
-    )
-    running = F.sum("n").over(W.orderBy("v"))
-    return counted.select("v", running.alias("up_to")).where(F.col("up_to") > rank).agg(
-        F.min("v")
-    ).first()[0]
+    return out
+
+
+def _within(spot: Column, ranges: list[tuple[float, float, int]]) -> Column:
+    lows = F.array(*[F.lit(low) for low, _, _ in ranges])
+    highs = F.array(*[F.lit(high) for _, high, _ in ranges])
+    return spot["v"].between(F.get(lows, spot["at"]), F.get(highs, spot["at"]))

@@ -44,38 +44,51 @@ def repeat_rows(df: DataFrame, times: str) -> DataFrame:
     )
 
 
+def _cut(
+    rows: DataFrame, bucket: Column, size: Column | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Rows of the buckets that are taken whole, and those of the bucket where the limit falls
+    with what is still ``_wanted`` of them. There are 65,536 buckets at most. Without
+    ``size`` the rows say themselves how many are wanted."""
+    rows = rows.withColumn("_bucket", bucket)
+    limits = [] if size is not None else [F.max("_wanted").alias("_limit")]
+    counts = rows.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_rows"), *limits)
+    limit = F.col("_limit") if size is None else size
+    running = F.sum("_rows").over(W.orderBy("_bucket"))
+    plan = counts.select(
+        "_bucket", "_rows", (limit - (running - F.col("_rows"))).alias("_wanted")
+    ).where("_wanted > 0")
+    placed = rows.drop("_wanted").join(F.broadcast(plan), "_bucket").drop("_bucket")
+    return placed.where("_rows <= _wanted"), placed.where("_rows > _wanted").drop("_rows")
+
+
 def take_by_hash(
     df: DataFrame, size: Column, keys: Sequence[str], seed: int = 42
 ) -> DataFrame:
-    """The first ``size`` rows in order of the hash of ``keys``, which tell rows apart:
-    rows with equal keys are copies of each other.
-
-    A count per hash bucket (65,536 of them at most) shows which buckets are taken
-    whole. Only the bucket where the limit falls is ranked, after its copies have been
-    counted together."""
-    number = hash_number(seed, *keys)
-    hashed = df.withColumns(
-        {"_hash": number, "_bucket": F.shiftright(number, 32 - BUCKET_BITS)}
-    )
-    buckets = hashed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_rows"))
-    running = F.sum("_rows").over(W.orderBy("_bucket"))
-    plan = buckets.select(
-        "_bucket",
-        (size - (running - F.col("_rows"))).alias("_wanted"),
-        "_rows",
-    ).where("_wanted > 0")
-    placed = hashed.join(F.broadcast(plan), "_bucket")
-    whole = placed.where("_rows <= _wanted")
-    order = W.partitionBy("_bucket").orderBy("_hash", *keys)
+    """The first ``size`` rows in order of the hash of ``keys``, then of the hash of the
+    whole row and its values. Keys may repeat; equal rows are copies.
+
+    Counts per hash bucket show which buckets are taken whole; the one where the limit
+    falls is counted again by the rest of the keys' hash and then by the row's, so that a
+    key with many rows is spread as well. Only the last bucket is ranked, after its
+    copies have been counted together."""
+    low = F.lit((1 << 32 - BUCKET_BITS) - 1)
+    hashed = df.withColumns({
+        "_key_hash": hash_number(seed, *keys), "_row_hash": hash_number(seed, *df.columns)})
+    high = F.shiftright("_key_hash", 32 - BUCKET_BITS)
+    first, cut = _cut(hashed, high, size)
+    second, cut = _cut(cut, F.col("_key_hash").bitwiseAND(low))
+    third, cut = _cut(cut, F.shiftright("_row_hash", 32 - BUCKET_BITS))
+    order = W.orderBy("_row_hash", *df.columns).rowsBetween(W.unboundedPreceding, W.currentRow)
     copies = (
-        placed.where("_rows > _wanted")
-        .groupBy("_bucket", "_hash", "_wanted", *df.columns)
-        .agg(F.count(F.lit(1)).alias("_copies"))
+        cut.groupBy("_row_hash", "_wanted", *df.columns).agg(F.count(F.lit(1)).alias("_copies"))
         .withColumn("_before", F.sum("_copies").over(order) - F.col("_copies"))
         .withColumn("_taken", F.least("_copies", F.col("_wanted") - F.col("_before")))
     )
-    cut = repeat_rows(copies.where("_taken > 0"), "_taken")
-    return whole.select(*df.columns).unionByName(cut.select(*df.columns))
+    out = repeat_rows(copies.where("_taken > 0"), "_taken").select(*df.columns)
+    for part in (first, second, third):
+        out = out.unionByName(part.select(*df.columns))
+    return out
 
 
 def limit_ratio(

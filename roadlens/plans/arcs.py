@@ -57,7 +57,8 @@ def arc_attributes(events: DataFrame, attributes: Sequence[str], key: str = "arc
 
     Events collapse to distinct (arc, attributes) before anything is shuffled; of an
     arc recorded with several attribute sets the smallest is kept."""
-    grouped = key_counts(events, [key, *attributes], "_rows")
+    known = events.where(F.col(key).isNotNull())
+    grouped = key_counts(known, [key, *attributes], "_rows")
     merged = grouped.groupBy(key).agg(
         F.min(F.struct(*attributes)).alias("_row"), F.sum("_rows").alias("events_count")
     )
@@ -86,7 +87,7 @@ def arc_features(
     volumes = aadt.groupBy(key).agg(F.avg(F.col(volume).cast("double")).alias(volume))
     closeness = poi.groupBy(key).agg(F.max(near_any(poi_columns, near)).alias("near_poi"))
     joined = (
-        arcs.join(key_counts(crashes, key, "crashes_count"), key, "full")
+        arcs.join(key_counts(crashes.where(F.col(key).isNotNull()), key, "crashes_count"), key, "full")
         .join(volumes, key, "left")
         .join(closeness, key, "left")
         .na.fill(0, ["events_count", "crashes_count"])
@@ -106,10 +107,11 @@ def type_counts(
     events: DataFrame, keys: Sequence[str], types: Sequence[str] = EVENT_TYPES,
     category: str = "event_type",
 ) -> DataFrame:
-    """Events per named type, without a type (``unknown``) and in total, per key. A type
-    that is not named counts in the total only."""
+    """Events per named type, of any other type (``other``), without a type (``unknown``)
+    and in total, per key; the counts add up to the total."""
     return events.groupBy(*keys).agg(
         *[F.count_if(F.col(category) == t).alias(column_name(t)) for t in types],
+        F.count_if(~F.col(category).isin(*types)).alias("other"),
         F.count_if(F.col(category).isNull()).alias("unknown"),
         F.count(F.lit(1)).alias("total_events"),
     )
@@ -121,7 +123,7 @@ def event_mix(
 ) -> DataFrame:
     """Events per type, in total and as ratios, one row per arc."""
     counted = type_counts(events, [key], types, category)
-    return ratio_columns(counted, [column_name(t) for t in types], "total_events")
+    return ratio_columns(counted, [*map(column_name, types), "other"], "total_events")
 
 
 def with_crash_label(
@@ -180,7 +182,7 @@ def arc_risk_rows(
     to one row per arc."""
     names = [column_name(t) for t in EVENT_TYPES]
     grouped = type_counts(events.where(F.col(key).isNotNull()), [key, *attributes])
-    counts = [*names, "unknown", "total_events"]
+    counts = [*names, "other", "unknown", "total_events"]
     merged = grouped.groupBy(key).agg(
         F.min(F.struct(*attributes)).alias("_row"), *[F.sum(c).alias(c) for c in counts]
     )
@@ -188,7 +190,7 @@ def arc_risk_rows(
         merged.select(key, "_row.*", *counts), crashes, "total_events", key
     )
     typed = typed_attributes(materialize(labelled), attributes, **options)
-    return ratio_columns(typed, names, "total_events")
+    return ratio_columns(typed, [*names, "other"], "total_events")
 
 
 def encode_categories(df: DataFrame, columns: Sequence[str]) -> DataFrame:

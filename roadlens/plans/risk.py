@@ -119,7 +119,7 @@ def fit_spec(spec: ModelSpec, sample: DataFrame) -> tuple[Model, DataFrame, list
             spec.top, spec.trees,
         )
         scored = model.transform(sample)
-        names = [n.removeprefix("numeric_features_").removeprefix("selected_categorical_features_")
+        names = [n.removeprefix("numbers_").removeprefix("chosen_")
                  for n in slot_names(scored)]
         return model.stages[-1], scored, names
     rows = assemble_features(sample, spec.features)
@@ -132,7 +132,8 @@ def fit_spec(spec: ModelSpec, sample: DataFrame) -> tuple[Model, DataFrame, list
         model = boosted(LABEL).fit(train)
     else:
         base = tree(LABEL) if spec.algorithm == "decision_tree_cv" else forest(LABEL, spec.trees)
-        model = cross_validate(train, base, spec.grid, LABEL, ["_key"], spec.folds).bestModel
+        model = cross_validate(train, base, spec.grid, LABEL, ["_key"], spec.folds,
+                               parallelism=2).bestModel
     return model, model.transform(rows), slot_names(rows)
 
 
@@ -150,12 +151,12 @@ def samples_for(table: DataFrame, specs: Sequence[ModelSpec], key: str) -> dict[
 
 def model_comparison(
     table: DataFrame, specs: Sequence[ModelSpec] | None = None, key: str = "arc",
-    parallelism: int = 8,
+    parallelism: int = 4,
 ) -> DataFrame:
     """(model, algorithm, ratio, leaky, split, n_rows, rmse, mse, mae, r2).
 
     A fit on a balanced sample is a chain of short jobs, so ``parallelism`` models are
-    fitted at a time."""
+    fitted at a time; a grid search fits two more at a time."""
     specs = model_specs() if specs is None else specs
     samples = samples_for(table, specs, key)
 

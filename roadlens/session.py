@@ -2,46 +2,41 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
-def is_local(spark: SparkSession) -> bool:
-    return spark.sparkContext.master.startswith("local")
-
-
-def shared_dir(spark: SparkSession) -> str | None:
-    """Folder every executor can reach: ``spark.checkpoint.dir`` when the session
-    names one. Unset, a local session gets a temporary folder and a cluster None."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    if is_local(spark):
-        return tempfile.mkdtemp(prefix="roadlens-")
-    return None
+def shared_dir(spark: SparkSession) -> str:
+    """Folder every executor can reach: ``spark.checkpoint.dir``, or where that is unset a
+    folder of the application in the session's warehouse."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        warehouse = spark.conf.get("spark.sql.warehouse.dir", None)
+        if not warehouse:
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+        folder = f"{warehouse.rstrip('/')}/shared-{spark.sparkContext.applicationId}"
+    return folder.rstrip("/")
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    """A path under the shared folder that no earlier run has used."""
-    base = shared_dir(spark)
-    if base is None:
-        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    return f"{base}/{name}-{uuid.uuid4().hex}"
+    """A path under the shared folder that no earlier run has used. What is written there is
+    removed when the application ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(place.getParent())
+    files.mkdirs(place)
+    files.deleteOnExit(place)
+    return path
 
 
 def materialize(df: DataFrame) -> DataFrame:
     """Compute ``df`` once so that several actions can read it.
 
-    The rows go to the reliable checkpoint folder, which also cuts the lineage and
-    outlives lost executors. A cluster without such a folder gets a disk-level
-    persist, which Spark recomputes when blocks are lost."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        folder = shared_dir(spark)
-        if folder is None:
-            return df.persist(StorageLevel.DISK_ONLY)
-        spark.sparkContext.setCheckpointDir(folder)
+    The rows go to a reliable checkpoint in the shared folder, which cuts the lineage and
+    outlives lost executors."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(fresh_path(df.sparkSession, "checkpoints"))
     return df.checkpoint()

@@ -110,7 +110,11 @@ def test_pivot_and_mix_count_null_and_other_types(spark):
     pivoted = {r["arc"]: r for r in A.pivot_count(df, "arc", "event_type").collect()}
     assert pivoted[1]["unknown"] == 1 and pivoted[1]["Other"] == 1 and pivoted[2]["Other"] == 0
     mix = {r["arc"]: r for r in arcs.event_mix(df).collect()}
-    assert mix[1]["unknown"] == 1 and mix[1]["total_events"] == 3
+    assert mix[1]["unknown"] == 1 and mix[1]["total_events"] == 3 and mix[1]["other"] == 1
+    counts = [*map(arcs.column_name, TYPES), "other", "unknown"]
+    assert all(sum(r[c] for c in counts) == r["total_events"] for r in mix.values())
+    listed = {r["arc"]: r for r in A.pivot_count(df, "arc", "event_type", TYPES).collect()}
+    assert listed[1]["other"] == 1 and listed[1]["unknown"] == 1 and listed[2]["other"] == 0
     assert mix[1]["acceleration_event_ratio"] == pytest.approx(1 / 3)
     assert mix[2]["braking_event_ratio"] == 1.0
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from conftest import rows
 from roadlens.catalog.fixtures import Tables
+from roadlens.catalog.registry import ORACLE, QUERIES
 from roadlens.catalog.job_queries import RISK_ATTRIBUTES, feature_rows
 from roadlens.models import features as X
 from roadlens.models import learners as L
@@ -215,15 +216,14 @@ def test_corr_vector_equals_pairs(tables):
     assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k], abs=1e-9) for k in a)
 
 
-@pytest.mark.parametrize("name", sorted(
-    set(entry.queries()) - set(entry.oracle_sql()) - {"model_comparison"}))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE) - {"model_comparison"}))
 def test_queries_without_sql_run(spark, name):
     assert entry.queries()[name](spark, FOLDER).count() > 0
 
 
 def test_model_comparison_has_every_model_and_split(spark, table):
-    from roadlens.catalog.model_queries import FOLDS, FOREST_GRID, TREE_GRID
-    specs = risk.model_specs(TREE_GRID, FOREST_GRID, FOLDS)
+    specs = risk.model_specs(  # small grids; the registered query has the full ones
+        {"maxDepth": [5, 10], "maxBins": [20, 40]}, {"numTrees": [5, 10], "maxDepth": [5, 10]}, 3)
     got = risk.model_comparison(table, specs).collect()
     assert len(got) == 2 * len(specs) == 24
     assert {r["model"] for r in got if r["leaky"]} == {"model_7", "model_8", "model_9", "model_10"}
@@ -239,3 +239,19 @@ def test_default_grids_are_the_full_ones():
     assert by_name["model_1_cv"].grid == {"maxDepth": [5, 10, 15], "maxBins": [20, 40, 60]}
     assert by_name["model_8"].grid == {"numTrees": [5, 10, 20], "maxDepth": [5, 10, 15]}
     assert by_name["model_8"].folds == 5
+
+
+def test_slices_tell_names_apart_that_begin_alike(spark):
+    df = spark.createDataFrame([(1.0, 2.0, 3.0, "a"), (4.0, 5.0, 6.0, "b")],
+                               "speed double, speed_limit double, crash_count double, crash string")
+    encoded = X.fit_encoding(df, ["crash"]).transform(df)
+    inputs = ["speed", "speed_limit", "crash_encoded", "crash_count"]
+    built = X.assemble_features(encoded, inputs, "raw")
+
+    def sliced(*groups):
+        rows_ = X.vector_slice(built, groups, inputs, "raw", "out").orderBy("speed").collect()
+        return [list(r["out"].toArray()) for r in rows_]
+
+    assert sliced("speed") == [[1.0], [4.0]]
+    assert sliced("speed_limit", "crash_count") == [[2.0, 3.0], [5.0, 6.0]]
+    assert sliced("crash_encoded") == [[1.0, 0.0], [0.0, 1.0]]

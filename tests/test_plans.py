@@ -94,5 +94,17 @@ def test_materialize_uses_the_configured_folder(spark):
     df = spark.range(5)
     kept = materialize(df)
     assert rows(kept) == rows(df)
-    assert shared_dir(spark)
-    assert spark.sparkContext.getCheckpointDir() is not None
+    assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+    assert shared_dir(spark) in spark.sparkContext.getCheckpointDir()
+
+
+def test_storage_without_a_configured_folder():
+    from types import SimpleNamespace
+
+    from roadlens.session import shared_dir
+    settings = {"spark.sql.warehouse.dir": "hdfs://store/warehouse/"}
+    session = SimpleNamespace(conf=settings, sparkContext=SimpleNamespace(applicationId="app-1"))
+    assert shared_dir(session) == "hdfs://store/warehouse/shared-app-1"
+    settings.clear()
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(session)

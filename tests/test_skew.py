@@ -147,7 +147,7 @@ def test_split_does_not_depend_on_partitioning(spark):
     assert 0.77 < share < 0.83
 
 
-@pytest.mark.parametrize("kind", ["uniform", "lumpy", "wide", "equal"])
+@pytest.mark.parametrize("kind", ["uniform", "lumpy", "wide", "equal", "infinite", "neighbours"])
 def test_exact_quantiles_by_histogram(spark, kind):
     rng = np.random.default_rng(7)
     values = {
@@ -155,14 +155,20 @@ def test_exact_quantiles_by_histogram(spark, kind):
         "lumpy": np.concatenate([np.full(3000, 5.0), rng.normal(5, 1e-6, 1000)]),
         "wide": np.concatenate([rng.normal(0, 1, 2000), rng.normal(0, 1e12, 2000), [-1e300, 1e300]]),
         "equal": np.full(100, -3.25),
+        "infinite": np.concatenate([np.full(30, -np.inf), rng.random(50), np.full(20, np.inf)]),
+        "neighbours": np.array([1.0, np.nextafter(1.0, 2.0), np.nextafter(1.0, 2.0), 5e-324, 0.0, -5e-324]),
     }[kind]
     levels = [0.0, 0.5, 0.75]
     data = [(float(v),) for v in values] + [(None,), (float("nan"),)]
     df = spark.createDataFrame(data, "v double").cache()
-    expected = np.quantile(values, levels)
-    for limit in (50, 1_000_000):
-        got = exact_quantiles(df, ["v"], levels, direct_limit=limit)["v"]
-        assert got == pytest.approx(list(expected), rel=1e-12)
+    ordered = np.sort(values)
+    expected = []
+    for p in levels:
+        at = (len(ordered) - 1) * p
+        a, b = ordered[int(np.floor(at))], ordered[int(np.ceil(at))]
+        expected.append(float(a if a == b else a + (b - a) * (at - np.floor(at))))
+    got = exact_quantiles(df, ["v"], levels)["v"]
+    assert got == pytest.approx(expected, rel=1e-12, nan_ok=True)
     df.unpersist()
 
 
@@ -181,3 +187,16 @@ def test_join_range_against_brute_force(spark):
     for width in (16, 1000):
         got = J.join_range(left, right, "segment", "seq", width=width)
         assert sorted(tuple(r) for r in got.select("trip", "arc").collect()) == expected
+
+
+@pytest.mark.parametrize("parts", [1, 12])
+def test_samples_of_rows_whose_keys_repeat(spark, parts):
+    one = spark.createDataFrame([("k", i) for i in range(100)], "k string, v int").repartition(parts)
+    first = {r["v"] for r in take_by_hash(one, F.lit(30), ["k"]).collect()}
+    assert len(first) == 30
+    again = {r["v"] for r in take_by_hash(one.repartition(5), F.lit(30), ["k"]).collect()}
+    assert first == again
+    ten = spark.createDataFrame([(f"k{i % 10}", i // 3) for i in range(1000)], "k string, v int")
+    assert take_by_hash(ten.repartition(parts), F.lit(250), ["k"]).count() == 250
+    assert take_by_hash(ten, F.lit(5000), ["k"]).count() == 1000
+    assert take_by_hash(ten, F.lit(0), ["k"]).count() == 0
