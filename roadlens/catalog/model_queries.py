@@ -301,18 +301,92 @@ def _one_model(t, algorithm, features, **options):
     return rounded(E.metrics_by_split(scored, risk.LABEL))
 
 
-@query("decision_tree")
+# A tree that is deep enough for one feature of few values predicts the mean of each value,
+# and so do a forest without bootstrap and boosting, whose later trees have nothing left.
+GROUP_MEANS = """
+    SELECT road_priority, round(avg(curve_max_angle), 6) AS prediction FROM fx_arcs
+    GROUP BY road_priority"""
+
+
+def _one_feature(t):
+    return X.assemble_features(t["fx_arcs"], ["road_priority"])
+
+
+def _predicted(t, learner):
+    rows = _one_feature(t)
+    scored = learner.fit(rows).transform(rows)
+    return scored.groupBy("road_priority").agg(F.round(F.max("prediction"), 6).alias("prediction"))
+
+
+@query("decision_tree", GROUP_MEANS)
 def decision_tree(t):
-    return _one_model(t, "decision_tree", risk.BASIC)
+    return _predicted(t, L.tree("curve_max_angle"))
 
 
-@query("random_forest")
+@query("random_forest", GROUP_MEANS)
 def random_forest(t):
-    return _one_model(t, "random_forest", risk.FULL)
+    learner = L.forest("curve_max_angle", 5).setBootstrap(False).setFeatureSubsetStrategy("all")
+    return _predicted(t, learner)
 
 
-@query("gradient_boosting")
+@query("gradient_boosting", GROUP_MEANS)
 def gradient_boosting(t):
+    return _predicted(t, L.boosted("curve_max_angle"))
+
+
+@query("cross_validate", f"""
+    WITH f AS (SELECT road_priority, curve_max_angle AS y,
+                      ('0x' || substr(md5('{L.SEED}:' || arc), 1, 8))::UBIGINT % {L.FOLDS} AS fold FROM fx_arcs),
+         k AS (SELECT DISTINCT fold FROM f),
+         m AS (SELECT k.fold, road_priority, avg(y) AS p FROM f JOIN k ON f.fold <> k.fold GROUP BY 1, 2),
+         e AS (SELECT fold, sqrt(avg((y - p) * (y - p))) AS rmse FROM f JOIN m USING (fold, road_priority)
+               GROUP BY fold)
+    SELECT max_depth, max_bins, (SELECT round(avg(rmse), 6) FROM e) AS rmse
+    FROM (SELECT unnest({L.TREE_GRID["maxDepth"]}) AS max_depth), (SELECT unnest({L.TREE_GRID["maxBins"]}) AS max_bins)""")
+def cross_validate(t):
+    model = L.cross_validate(_one_feature(t), L.tree("curve_max_angle"), L.TREE_GRID,
+                             "curve_max_angle", ["arc"])
+    scores = [(p["maxDepth"], p["maxBins"], s) for p, s in L.grid_scores(model)]
+    return rounded(t.spark.createDataFrame(scores, "max_depth int, max_bins int, rmse double"))
+
+
+@query("chi_square_select", """
+    WITH r AS (SELECT CAST(road_priority AS VARCHAR) AS v, CASE WHEN slope > 0 THEN 1 ELSE 0 END AS y FROM fx_arcs),
+         s AS (SELECT v AS slot, h, y, count(*) AS n FROM (
+                 SELECT d.v, CASE WHEN r.v = d.v THEN 1 ELSE 0 END AS h, y FROM r, (SELECT DISTINCT v FROM r) d)
+               GROUP BY ALL),
+         m AS (SELECT *, sum(n) OVER (PARTITION BY slot, h) * sum(n) OVER (PARTITION BY slot, y)
+                         / sum(n) OVER (PARTITION BY slot) AS expected FROM s),
+         c AS (SELECT slot, sum((n - expected) * (n - expected) / expected) AS chi FROM m GROUP BY slot)
+    SELECT 'road_priority_encoded_' || slot AS feature FROM c ORDER BY chi DESC LIMIT 3""")
+def chi_square_select(t):
+    positive = F.when(F.col("slope") > 0, 1).otherwise(0)
+    labelled = t["fx_arcs"].select(F.col("road_priority").cast("string"), positive.alias("uphill"))
+    rows = X.fit_encoding(labelled, ["road_priority"]).transform(labelled)
+    vectors = X.assemble_features(rows, ["road_priority_encoded"])
+    _, names = X.chi_square_select(vectors, "features", "uphill", 3)
+    return t.spark.createDataFrame([(n,) for n in names], "feature string")
+
+
+@query("feature_importance", "SELECT 'road_priority' AS feature, 1.0::DOUBLE AS importance")
+def feature_importance(t):
+    rows = _one_feature(t)
+    model = L.tree("curve_max_angle").fit(rows)
+    return E.feature_importance(t.spark, model.featureImportances, X.slot_names(rows))
+
+
+@query("decision_tree_job")
+def decision_tree_job(t):
+    return _one_model(t, "decision_tree", risk.BASIC)
+
+
+@query("random_forest_job")
+def random_forest_job(t):
+    return _one_model(t, "random_forest", risk.FULL)
+
+
+@query("gradient_boosting_job")
+def gradient_boosting_job(t):
     return _one_model(t, "gradient_boosting", risk.FULL)
 
 
@@ -321,8 +395,8 @@ def branch_pipeline(t):
     return _one_model(t, "branch_forest", (*risk.FULL, risk.CRASH))
 
 
-@query("cross_validate")
-def cross_validate(t):
+@query("cross_validate_job")
+def cross_validate_job(t):
     rows = X.assemble_features(_sample(t), risk.BASIC)
     train = rows.where("split = 'train'")
     model = L.cross_validate(train, L.tree(risk.LABEL), L.TREE_GRID, risk.LABEL, ["_key"])
@@ -330,15 +404,15 @@ def cross_validate(t):
     return rounded(t.spark.createDataFrame(scores, "max_depth int, max_bins int, rmse double"))
 
 
-@query("chi_square_select")
-def chi_square_select(t):
+@query("chi_square_select_job")
+def chi_square_select_job(t):
     rows = X.assemble_features(_sample(t), risk.ENCODED)
     _, names = X.chi_square_select(rows, "features", risk.CRASH, 5)
     return t.spark.createDataFrame([(n,) for n in names], "feature string")
 
 
-@query("feature_importance")
-def feature_importance(t):
+@query("feature_importance_job")
+def feature_importance_job(t):
     specs = [s for s in risk.model_specs() if s.name == "model_3"]
     return rounded(risk.model_importance(_risk_table(t), specs[0]))
 
