@@ -15,6 +15,7 @@ from roadlens.functions.columns import not_nan
 from roadlens.operators.projection import impute_median
 
 INDEX, ENCODED = "_index", "_encoded"
+MAX_CATEGORIES = 100_000
 
 
 def assembler(
@@ -63,8 +64,20 @@ def one_hot(df: DataFrame, column: str) -> DataFrame:
     return encoder([column]).fit(df).transform(df)
 
 
-def fit_encoding(df: DataFrame, columns: Sequence[str]) -> PipelineModel:
-    """Index and one-hot stages, fitted together."""
+def check_vocabulary(df: DataFrame, columns: Sequence[str], limit: int = MAX_CATEGORIES) -> None:
+    """Raise where a column has clearly more than ``limit`` categories: names go to the
+    driver, and every one becomes a slot. Nothing is cut."""
+    counts = df.agg(*[F.approx_count_distinct(F.col(c).cast("string")).alias(c) for c in columns]).first()
+    large = {c: counts[c] for c in columns if counts[c] > 1.2 * limit}
+    if large:
+        raise ValueError(f"too many categories for one-hot slots (limit {limit}): {large}")
+
+
+def fit_encoding(
+    df: DataFrame, columns: Sequence[str], limit: int = MAX_CATEGORIES
+) -> PipelineModel:
+    """Index and one-hot stages, fitted together, of columns with a bounded vocabulary."""
+    check_vocabulary(df, columns, limit)
     return Pipeline(stages=[indexer(columns), encoder(columns)]).fit(df)
 
 

@@ -11,6 +11,8 @@ from operator import or_
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from roadlens.session import materialize
+
 # frequent-key sketch: items tracked per partition, and Spark's limit on them
 SKETCH_ITEMS = 16
 SKETCH_LIMIT = 1_000_000
@@ -56,8 +58,10 @@ def hot_keys(
     shuffle partitions by default), each with the number of such shares it fills.
 
     One pass keeps a sketch of frequent keys whose size depends on ``parts`` only, and
-    nothing is shuffled but the sketches. It cannot miss a key that large, and fewer
-    than ``parts`` keys can be."""
+    nothing is shuffled but the sketches. It cannot miss a key that large while its size
+    grows with ``parts`` (up to ``SKETCH_LIMIT`` items; beyond, only keys of a share that
+    the sketch can tell are sure to be found), and fewer than ``parts`` keys can be. It steers
+    spreading only and never drops a row."""
     parts = shuffle_partitions(df) if parts is None else parts
     tracked = min(SKETCH_ITEMS * parts, SKETCH_LIMIT)
     hashed = df.select(F.xxhash64(*_keys(on)).alias("_key"))
@@ -144,16 +148,20 @@ def join_range(
     low: str = "lo",
     high: str = "hi",
     width: int = 64,
+    hot: list[tuple[int, int]] | None = None,
 ) -> DataFrame:
     """Rows of ``master`` whose key equals the range's key and whose position lies in
     its closed range.
 
     Positions are cut into cells of ``width``: a range meets only the cells it touches,
-    so a long segment is not paired with all of its ranges, and a busy cell is spread."""
+    so a long segment is not paired with all of its ranges, and a busy cell is spread.
+    Unless ``hot`` names the busy cells, the ranges are materialized, as both the search for
+    those and the join read them."""
     def cell(name: str):
         return F.floor(F.col(name) / F.lit(width))
 
+    ranges = materialize(ranges) if hot is None else ranges
     touched = ranges.withColumn("_cell", F.explode(F.sequence(cell(low), cell(high))))
     placed = master.withColumn("_cell", cell(position))
-    joined = spread_join(touched, placed, [*_keys(on), "_cell"])
+    joined = spread_join(touched, placed, [*_keys(on), "_cell"], hot=hot)
     return joined.where(F.col(position).between(F.col(low), F.col(high))).drop("_cell")

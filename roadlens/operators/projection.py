@@ -130,5 +130,5 @@ def filter_between(df: DataFrame, column: str, low, high) -> DataFrame:
 
 def filter_in_list(df: DataFrame, column: str, values: DataFrame) -> DataFrame:
     """Rows whose value is in the first column of ``values``, of any length."""
-    listed = values.select(F.col(values.columns[0]).alias(column)).distinct()
+    listed = values.select(F.col(values.columns[0]).alias(column))
     return df.join(listed, column, "left_semi")

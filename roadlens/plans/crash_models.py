@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roadlens.functions.columns import bool_to_double, positive_flag
-from roadlens.models.features import INDEX, assemble_features, assembler
+from roadlens.models.features import check_vocabulary, INDEX, assemble_features, assembler
 from roadlens.models.learners import ZeroInflatedPair, binomial, linear, poisson
 from roadlens.models.metrics import (
     bernoulli_statistics, glm_report, glm_statistics, named_coefficients, regression_metrics,
@@ -113,6 +113,7 @@ def _frequency_index(rows: DataFrame, categories: Sequence[str]) -> StringIndexe
     """An indexer whose labels are ordered by the summed weight of each category, as
     event rows would order them. The driver gets the category names, as from any
     string indexer."""
+    check_vocabulary(rows, categories)
     texts = rows.select("weight", *[F.col(c).cast("string").alias(c) for c in categories])
     long = texts.unpivot(["weight"], list(categories), "name", "value")
     ranked = (

@@ -200,3 +200,18 @@ def test_samples_of_rows_whose_keys_repeat(spark, parts):
     assert take_by_hash(ten.repartition(parts), F.lit(250), ["k"]).count() == 250
     assert take_by_hash(ten, F.lit(5000), ["k"]).count() == 1000
     assert take_by_hash(ten, F.lit(0), ["k"]).count() == 0
+
+
+def test_join_range_evaluates_its_ranges_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    ranges = spark.createDataFrame([(i, i % 3, 0, 40) for i in range(60)], "trip int, segment int, lo int, hi int")
+    master = spark.createDataFrame([(s, q) for s in range(3) for q in range(50)], "segment int, seq int")
+    got = J.join_range(ranges.mapInArrow(counted, ranges.schema), master, "segment", "seq", width=8)
+    assert got.count() == 60 * 41
+    assert seen.value == 60
