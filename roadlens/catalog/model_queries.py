@@ -420,8 +420,38 @@ def feature_importance_job(t):
 # ---- jobs
 
 
-@query("impute_target")
+VOLUMES = """
+    WITH a AS (SELECT arc FROM fx_event_rows UNION SELECT arc FROM fx_crashes),
+         v AS (SELECT arc, avg(aadt) AS aadt FROM fx_aadt_nan GROUP BY arc),
+         c AS (SELECT arc, count(*) AS crashes FROM fx_crashes GROUP BY arc),
+         k AS (SELECT a.arc, CASE WHEN NOT isnan(aadt) THEN aadt END AS aadt, coalesce(crashes, 0) AS crashes
+               FROM a LEFT JOIN v USING (arc) LEFT JOIN c USING (arc))"""
+
+
+def _checked(rows, value: str):
+    """Known values as they are; of predicted ones, that they lie among the known."""
+    known = rows.where("NOT is_predicted").agg(F.min(value).alias("lo"), F.max(value).alias("hi")).first()
+    return rows.select(
+        "arc", "is_predicted",
+        F.when(~F.col("is_predicted"), F.round(value, 6)).alias("known"),
+        F.col(value).between(known["lo"], known["hi"]).alias("in_range"))
+
+
+@query("impute_target", VOLUMES + """
+    SELECT arc, aadt IS NULL AS is_predicted, round(aadt, 6) AS known, true AS in_range FROM k""")
 def impute_target(t):
+    return _checked(volume.impute_target(feature_rows(t)), "aadt")
+
+
+@query("predict_rate", VOLUMES + """
+    SELECT arc, coalesce(aadt, 0) = 0 AS is_predicted, round(crashes / nullif(aadt, 0), 6) AS known,
+           true AS in_range FROM k""")
+def predict_rate(t):
+    return _checked(volume.predict_rate(feature_rows(t)), "crashes_aadt")
+
+
+@query("impute_target_job")
+def impute_target_job(t):
     return rounded(volume.impute_target(feature_rows(t)))
 
 
@@ -431,8 +461,8 @@ def impute_target_metrics(t):
     return rounded(fitted.metrics())
 
 
-@query("predict_rate")
-def predict_rate(t):
+@query("predict_rate_job")
+def predict_rate_job(t):
     return rounded(volume.predict_rate(feature_rows(t)), 9)
 
 
