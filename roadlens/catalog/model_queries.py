@@ -312,7 +312,7 @@ def _one_feature(t):
     return X.assemble_features(t["fx_arcs"], ["road_priority"])
 
 
-def _predicted(t, learner):
+def _mean_per_value(t, learner):
     rows = _one_feature(t)
     scored = learner.fit(rows).transform(rows)
     return scored.groupBy("road_priority").agg(F.round(F.max("prediction"), 6).alias("prediction"))
@@ -320,18 +320,18 @@ def _predicted(t, learner):
 
 @query("decision_tree", GROUP_MEANS)
 def decision_tree(t):
-    return _predicted(t, L.tree("curve_max_angle"))
+    return _mean_per_value(t, L.tree("curve_max_angle"))
 
 
 @query("random_forest", GROUP_MEANS)
 def random_forest(t):
     learner = L.forest("curve_max_angle", 5).setBootstrap(False).setFeatureSubsetStrategy("all")
-    return _predicted(t, learner)
+    return _mean_per_value(t, learner)
 
 
 @query("gradient_boosting", GROUP_MEANS)
 def gradient_boosting(t):
-    return _predicted(t, L.boosted("curve_max_angle"))
+    return _mean_per_value(t, L.boosted("curve_max_angle"))
 
 
 @query("cross_validate", f"""
@@ -483,8 +483,30 @@ def crash_count_regression(t):
     ))
 
 
-@query("crash_count_glm")
-def crash_count_glm(t):
+@query("crash_count_glm_job")
+def crash_count_glm_job(t):
     return rounded(crash_models.crash_count_glm(
         t["fx_event_rows"], t["fx_crashes"], COUNT_CATEGORIES
     ))
+
+
+# one category of two values is one 0/1 feature, so both models fit the two groups' means
+@query("crash_count_glm", """
+    WITH c AS (SELECT arc, count(*) AS y FROM fx_crashes GROUP BY arc),
+         r AS (SELECT road_cycle, row_number() OVER (ORDER BY count(*) DESC, road_cycle) - 1 AS x
+               FROM fx_event_rows GROUP BY road_cycle),
+         g AS (SELECT x, count(*) AS n, sum(coalesce(y, 0)) AS s, avg(coalesce(y, 0)) AS m,
+                      avg(CASE WHEN y > 0 THEN 1 ELSE 0 END) AS z
+               FROM fx_event_rows JOIN r USING (road_cycle) LEFT JOIN c USING (arc) GROUP BY x),
+         p AS (SELECT a.n AS n0, a.s AS s0, a.m AS m0, a.z AS z0, b.n AS n1, b.s AS s1, b.m AS m1, b.z AS z1
+               FROM g a, g b WHERE a.x = 0 AND b.x = 1)
+    SELECT 'count' AS model, 'road_cycle_index' AS name, round(ln(m1 / m0), 4) AS value,
+           round(sqrt(1 / s0 + 1 / s1), 4) AS std_error FROM p
+    UNION ALL SELECT 'count', 'intercept', round(ln(m0), 4), round(sqrt(1 / s0), 4) FROM p
+    UNION ALL SELECT 'crash', 'road_cycle_index', round(ln(z1 / (1 - z1)) - ln(z0 / (1 - z0)), 4),
+           round(sqrt(1 / (n0 * z0 * (1 - z0)) + 1 / (n1 * z1 * (1 - z1))), 4) FROM p
+    UNION ALL SELECT 'crash', 'intercept', round(ln(z0 / (1 - z0)), 4),
+           round(sqrt(1 / (n0 * z0 * (1 - z0))), 4) FROM p""")
+def crash_count_glm(t):
+    report = crash_models.crash_count_glm(t["fx_event_rows"], t["fx_crashes"], ["road_cycle"])
+    return rounded(report.where(F.col("name").isin("road_cycle_index", "intercept")), 4)
