@@ -58,7 +58,7 @@ def category_distribution(t):
     days = exploration.category_distribution(t["fx_trips"], "trip_date")
     return counties.select(F.lit("county").alias("category"), "value", "count").unionByName(
         days.select(F.lit("trip_date").alias("category"), F.col("value").cast("string"), "count")
-    )
+    ).orderBy("category", "value")
 
 
 @query("category_distributions", " UNION ALL ".join(
@@ -76,7 +76,8 @@ def distinct_trips_by(t):
     trips = t["fx_trips"]
     days = exploration.distinct_trips_by(trips, "trip_date")
     counties = exploration.distinct_trips_by(trips, "county")
-    return days.withColumn("value", F.col("value").cast("string")).unionByName(counties)
+    texts = days.withColumn("value", F.col("value").cast("string"))
+    return texts.unionByName(counties).orderBy("value")
 
 
 RANKED = """r AS (SELECT arc, end_arc, count(*) AS count FROM fx_text_events GROUP BY arc, end_arc

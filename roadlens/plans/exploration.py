@@ -15,10 +15,8 @@ from roadlens.plans.arcs import with_geometry
 
 
 def category_distribution(events: DataFrame, column: str) -> DataFrame:
-    """(value, count) in value order; null is a category of its own."""
-    return (
-        key_counts(events, column).select(F.col(column).alias("value"), "count").orderBy("value")
-    )
+    """(value, count); null is a category of its own. Sort what is shown, after any union."""
+    return key_counts(events, column).select(F.col(column).alias("value"), "count")
 
 
 def category_distributions(events: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -36,11 +34,8 @@ def distinct_trips_by(trips: DataFrame, column: str, trip: str = "trip_id") -> D
     Points are first counted per (value, trip), so a day or county with most of the
     rows is merged from partial counts."""
     per_trip = trips.groupBy(column, trip).agg(F.count(F.lit(1)).alias("points"))
-    return (
-        per_trip.groupBy(F.col(column).alias("value"))
-        .agg(F.count(trip).alias("trips"), F.sum("points").alias("points"))
-        .orderBy("value")
-    )
+    return per_trip.groupBy(F.col(column).alias("value")).agg(
+        F.count(trip).alias("trips"), F.sum("points").alias("points"))
 
 
 def dangerous_arcs(
