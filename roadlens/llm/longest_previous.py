@@ -19,6 +19,7 @@ texts are read in overlapping slices, so the working memory does not follow thei
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,8 +33,8 @@ from roadlens.llm.storage import let_workers_import
 
 SPAN = 50
 GRAM = 18
-BLOCK_BYTES = 12 << 20
-SLICE = 1 << 20
+BLOCK_BYTES = 8 << 20
+SLICE = 1 << 19
 HOT = 4096
 LAST = np.iinfo(np.int64).max
 _POSITION = ts.U64((1 << 22) - 1)
@@ -97,7 +98,8 @@ def runs(data: np.ndarray, offsets: np.ndarray, span: int = SPAN) -> Runs:
         stop[:-1] &= (place[1:] != place[:-1]) | ~valid[1:]
         first, last = np.flatnonzero(new), np.flatnonzero(stop) + 1
         digest = ts.mix((sums[last + span - 1] - sums[first]) * down[first] + (last - first).astype(ts.U64))
-        found.append((first + begin, last + begin, grams[place[first]], digest))
+        # the smallest hashes are small numbers: mixed again they spread over all ranges
+        found.append((first + begin, last + begin, ts.mix(grams[place[first]]), digest))
     if not found:
         empty = np.zeros(0, np.int64)
         return Runs(empty, empty, empty.astype(ts.U64), empty.astype(ts.U64), empty)
@@ -128,12 +130,14 @@ def _steps(count: np.ndarray) -> np.ndarray:
 def suffix_order(data: np.ndarray, starts: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
     """Order of the suffixes at ``starts`` by their first ``span`` bytes, and the length of the
     common beginning of each with the one before it in that order."""
-    padded = np.concatenate([data, np.zeros(8, np.uint8)]).astype(ts.U64)
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
     keys = []
     for at in range(0, span, 8):
         key = np.zeros(len(starts), ts.U64)
         for k in range(at, at + 8):
-            key = (key << ts.U64(8)) | (padded[starts + k] if k < span else ts.U64(0))
+            key <<= ts.U64(8)
+            if k < span:
+                key |= padded[starts + k]
         keys.append(key)
     order = np.lexsort(keys[::-1])
     common = np.zeros(len(starts), np.int64)
@@ -297,7 +301,7 @@ def _surroundings(bits: int, span: int):
                 count = (some.last - some.first)[at[own]]
                 size = count + span - 1
                 places = np.repeat(some.first[at[own]], size) + _steps(size)
-                rows.append((part, count.astype(np.uint32).tobytes(), data[places].tobytes(),
+                rows.append((part, count.astype(np.uint32).tobytes(), zlib.compress(data[places], 1),
                              least[own].tobytes(), most[own].tobytes(), some.digest[at[own]].tobytes()))
         block = docs.column("block")[0].as_py() if docs.num_rows else 0
         out = {"part": pa.array([r[0] for r in rows], pa.int64()),
@@ -315,7 +319,8 @@ def _verdicts(span: int):
     def run(table: pa.Table) -> pa.Table:
         count = _joined(table, "counts", np.uint32).astype(np.int64)
         least, most = _joined(table, "least", np.int64), _joined(table, "most", np.int64)
-        digest, data = _joined(table, "digests", np.uint64), _joined(table, "bytes", np.uint8)
+        digest = _joined(table, "digests", np.uint64)
+        data = np.frombuffer(b"".join(zlib.decompress(x.as_buffer()) for x in table.column("bytes")), np.uint8)
         sizes = np.array([len(x.as_buffer()) // 8 for x in table.column("digests")], np.int64)
         block = np.repeat(np.array(table.column("block").to_pylist(), np.int64), sizes)
         length = count + span - 1
@@ -373,7 +378,7 @@ def _removed(bits: int, span: int, as_text: bool):
                 begin = some.first[at] + step[which]
                 np.add.at(change, begin, 1)
                 np.add.at(change, begin + length[which] + span - 1, -1)
-            gone = np.cumsum(change[:-1]) > 0
+            gone = np.cumsum(change[:-1], dtype=np.int32) > 0
         first, _, text = ts.spans(gone, offsets)
         n = len(offsets) - 1
         total = np.concatenate([[0], np.cumsum(gone)])
@@ -402,7 +407,7 @@ def without_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", span
     let_workers_import(df.sparkSession)
     size = df.agg(F.sum(F.octet_length(text))).head()[0] or 0
     n_blocks = max(4, int(size // BLOCK_BYTES) + 1)
-    bits = max(4, (n_blocks - 1).bit_length())
+    bits = max(4, (4 * n_blocks - 1).bit_length())  # ranges are smaller than blocks
     others = [F.col(c).alias(f"_{i}") for i, c in enumerate(df.columns) if c != text]
     names = [(f"_{i}", c) for i, c in enumerate(df.columns) if c != text]
     whole = F.coalesce(F.col(text), F.lit(""))
@@ -411,7 +416,7 @@ def without_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", span
     docs = docs.repartition("block")
     blocks = docs.groupBy("block")
 
-    sent = docs.select("block", "id", "text").groupBy("block").applyInArrow(
+    sent = blocks.applyInArrow(  # the same exchange serves all three passes
         _anchors(bits, span), "part long, block long, hashes binary, counts binary")
     said = sent.groupBy("part").applyInArrow(_common, "block long, part long, shared binary, hot binary")
     around = blocks.cogroup(said.groupBy("block")).applyInArrow(

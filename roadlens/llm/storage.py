@@ -3,42 +3,35 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from roadlens.session import fresh_path
+
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
+# Freed large arrays go back to the system, so idle workers stay small.
+WORKER_MEMORY = {"MALLOC_MMAP_THRESHOLD_": str(8 << 20), "MALLOC_TRIM_THRESHOLD_": str(32 << 20),
+                 "MALLOC_ARENA_MAX": "1", "ARROW_DEFAULT_MEMORY_POOL": "system"}
+
+
 def let_workers_import(spark: SparkSession) -> None:
-    """Put this package on the search path of the Python workers. On a cluster it must be
-    installed at the same place or shipped with ``--py-files``."""
+    """Put this package on the search path of the Python workers and have them return
+    memory. On a cluster the package must be installed at the same place or shipped with
+    ``--py-files``."""
     environment = spark.sparkContext.environment
+    for name, value in WORKER_MEMORY.items():
+        environment.setdefault(name, value)
     paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT not in paths:
         environment["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
 
 
-_OWN_FOLDERS: dict[str, str] = {}
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``. Only where that is unset,
-    as in tests, a temporary one is made for the application."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        application = spark.sparkContext.applicationId
-        if application not in _OWN_FOLDERS:
-            _OWN_FOLDERS[application] = "file://" + tempfile.mkdtemp(prefix="roadlens-")
-        folder = _OWN_FOLDERS[application]
-    return folder.rstrip("/")
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as Parquet to the shared folder and read back, which cuts the
     lineage and outlives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = fresh_path(spark, name)
+    df.write.mode("append").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
