@@ -6,11 +6,17 @@ target's number of tokens, so that neither gains by its size alone. A document's
 its mean loss per token under the target model minus that under the background model:
 the lower, the more it is like the target.
 
-Words and bigrams are counted over all documents; tasks send their counts packed by ranges
-of hashes. The vocabulary takes the words above the count that leaves at most ``VOCABULARY``
-of them (the rest are one unknown word), the models the bigrams above the count that leaves at
-most ``BIGRAMS``; others back off to the word. These two parameters bound the broadcast models
-at about 16 MB; what is counted for them grows with the input.
+The vocabulary takes every word seen twice (the rest are one unknown word), the models every
+bigram seen twice; others back off to the word. Neither has a largest size. Words and bigrams
+are counted over all documents; tasks send their counts packed by ranges of hashes. A loss
+-log((c + K p(b)) / (h(a) + K)) is the sum of a part of b, one of a and, where the bigram is
+kept, one of it. So the models are a table of terms by the hash of a word or bigram, and a
+document's loss is the sum of the terms of what it holds. A word seen once has one place, so
+its term holds all that this place adds. The terms of the ``VOCABULARY`` most frequent words and
+of the ``BIGRAMS`` most frequent bigrams are broadcast (at most about 17 MB); all other words
+and bigrams of the documents are dealt by ranges of hashes, meet the table of terms there,
+and their sums go back to the documents. These two parameters say only where a term is
+looked up, not what the models hold.
 
 A null or empty text has no token, no loss (null) and no score. A document repeated in
 ``labels`` is good if some row says so and none calls it toxic. Without target documents both
@@ -19,6 +25,7 @@ models are alike up to smoothing. An empty table gives an empty result."""
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +39,10 @@ VOCABULARY, BIGRAMS = 1 << 16, 1 << 19
 PRIOR_BIGRAM, PRIOR_WORD = 40.0, 100.0
 FLUSH = 2_000_000
 RANGE_BYTES = 24 << 20
-UNKNOWN, BEGIN = 0, 1  # ids of the unknown word and of a text's beginning; words follow
+# stand for the hashes of a text's beginning and end and of the unknown word
+BEGIN, END, UNKNOWN = 0x1F3D5B79, 0x2E4C6A88, 0x3D5B7997
+WORD, PAIR, LONE = 0, 1, 2  # kinds of rows: known words, kept bigrams, words seen once
+SIDES = ("background", "target")
 
 
 def _tokens(column):
@@ -44,60 +54,109 @@ def _tokens(column):
         yield lo, hi, ts.span_hashes(part, starts, ends), texts
 
 
-def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys and the sums of their count columns."""
-    order = np.argsort(keys)
-    keys = keys[order]
-    begin = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else order
-    return keys[begin], np.add.reduceat(counts[:, order], begin, axis=1) if len(keys) else counts
+def _around(hashes: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes before and after every word in its text."""
+    before, after = np.empty_like(hashes), np.empty_like(hashes)
+    before[1:], after[:-1] = hashes[:-1], hashes[1:]
+    cut = np.flatnonzero(texts[1:] != texts[:-1])
+    before[:1], after[-1:] = BEGIN, END
+    before[cut + 1], after[cut] = BEGIN, END
+    return before, after
+
+
+def paired(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return ts.mix(a * ts.U64(0xA0761D6478BD642F) + ts.mix(b ^ ts.U64(0xE7037ED1A0B428DB)))
+
 
+def _bytes(values: np.ndarray) -> bytes:
+    """Integers byte by byte, as high bytes of sorted ones compress well."""
+    return np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T.tobytes()
 
-def _packed(keys: np.ndarray, counts: np.ndarray, bits: int) -> pa.RecordBatch:
-    part = (ts.mix(keys.copy()) >> ts.U64(64 - bits)).astype(np.int64)
-    order = np.argsort(part, kind="stable")
-    cut = np.flatnonzero(np.diff(part[order])) + 1
-    rows = [(int(part[g[0]]), keys[g].tobytes(), counts[:, g].astype(np.uint32).tobytes())
-            for g in np.split(order, cut) if len(g)]
-    return pa.RecordBatch.from_arrays(
-        [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()),
-         pa.array([r[2] for r in rows], pa.binary())], names=["part", "keys", "counts"])
 
+def _values(raw: bytes, kind) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).reshape(-1).view(kind)
 
-def _counted(df: DataFrame, pairs, columns: int, bits: int, least: int) -> DataFrame:
-    """Sums over all rows of what ``pairs`` finds in a batch, for keys of at least ``least``."""
+
+def _distinct(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys, a place of each, and the sums of their count columns."""
+    order = np.argsort(keys)
+    sorted_ = keys[order]
+    begin = np.flatnonzero(np.append(True, sorted_[1:] != sorted_[:-1])[:len(keys)])
+    return sorted_[begin], order[begin], np.add.reduceat(counts[:, order], begin, axis=1) if len(keys) else counts
+
+
+def _ranges(keys: np.ndarray, bits: int) -> Iterator[tuple[int, slice]]:
+    """Ranges of sorted keys by their first bits."""
+    part = (keys >> ts.U64(64 - bits)).astype(np.int64)
+    cut = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
+    for lo, hi in zip(cut[:-1], cut[1:], strict=True):
+        if hi > lo:
+            yield int(part[lo]), slice(lo, hi)
+
+
+def _counted(df: DataFrame, bits: int) -> DataFrame:
+    """Known words, kept bigrams and words seen once with their neighbours, from all rows."""
+
+    def packed(hashes, before, after, good) -> pa.RecordBatch:
+        rows = []
+        both = np.stack([np.ones(len(good), np.uint32), good])
+        keys, at, counts = _distinct(hashes, both)
+        lone = counts[0] == 1
+        for kind, of in ((WORD, ~lone), (LONE, lone)):
+            k, c, b, a = keys[of], counts[:, of], before[at[of]], after[at[of]]
+            for part, g in _ranges(k, bits):
+                around = np.concatenate([b[g], a[g]]).tobytes() if kind == LONE else b""
+                rows.append((2 * part, kind, _bytes(k[g]), around, *map(_bytes, c[:, g].astype(np.uint32))))
+        keys, at, counts = _distinct(paired(before, hashes), both)
+        for part, g in _ranges(keys, bits):
+            order = np.argsort(before[at[g]])
+            a, b, c = before[at[g]][order], hashes[at[g]][order], counts[:, g][:, order]
+            rows.append((2 * part + 1, PAIR, _bytes(a), _bytes(b), *map(_bytes, c.astype(np.uint32))))
+        return pa.RecordBatch.from_pylist([dict(zip(sent.names, r, strict=True)) for r in rows], schema=sent)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        waiting = 0
+        held, waiting = [], 0
         for batch in batches:
-            for keys, counts in pairs(batch):
-                held.append(_summed(keys, counts))
-                waiting += len(held[-1][0])
+            wanted = batch.column(1).to_numpy(zero_copy_only=False).astype(np.uint32)
+            for lo, hi, hashes, texts in _tokens(batch.column(0)):
+                held.append((hashes, *_around(hashes, texts), wanted[lo:hi][texts]))
+                waiting += len(hashes)
                 if waiting > FLUSH:
-                    keys, counts = _summed(np.concatenate([k for k, _ in held]),
-                                           np.concatenate([c for _, c in held], axis=1))
-                    held, waiting = [(keys, counts)], len(keys)
-                    if waiting > FLUSH // 2:
-                        yield _packed(keys, counts, bits)
-                        held, waiting = [], 0
-        if held:
-            yield _packed(*_summed(np.concatenate([k for k, _ in held]),
-                                   np.concatenate([c for _, c in held], axis=1)), bits)
-
-    names = ["background", "target"][:columns]
+                    yield packed(*map(np.concatenate, zip(*held, strict=True)))
+                    held, waiting = [], 0
+        if waiting:
+            yield packed(*map(np.concatenate, zip(*held, strict=True)))
 
     def meet(table: pa.Table) -> pa.Table:
-        keys = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("keys")])
-        counts = np.concatenate([np.frombuffer(x.as_buffer(), np.uint32).reshape(columns, -1)
-                                 for x in table.column("counts")], axis=1).astype(np.int64)
-        keys, counts = _summed(keys, counts)
-        keep = counts[0] >= least
-        return pa.table({"key": keys[keep].view(np.int64),
-                         **{n: c[keep] for n, c in zip(names, counts, strict=True)}})
-
+        rows = table.to_pylist()
+        counts = np.stack([np.concatenate([_values(r[n], np.uint32) for r in rows]) for n in SIDES]).astype(np.int64)
+        left = np.concatenate([_values(r["left"], np.uint64) for r in rows])
+        if rows[0]["kind"] == PAIR:
+            right = np.concatenate([_values(r["right"], np.uint64) for r in rows])
+            key, at, counts = _distinct(paired(left, right), counts)
+            keep = counts[0] > 1
+            key, at, counts = key[keep], at[keep], counts[:, keep]
+            kind, a, b = np.full(len(key), PAIR, np.int32), left[at], right[at]
+        else:
+            none = np.zeros(0, np.uint64)
+            around = [np.frombuffer(r["right"], np.uint64).reshape(2, -1) if r["kind"] == LONE
+                      else np.broadcast_to(none.sum(), (2, len(r["left"]) // 8)) for r in rows]
+            around = np.concatenate(around, axis=1)
+            key, at, counts = _distinct(left, counts)
+            lone = counts[0] == 1
+            kind = np.where(lone, LONE, WORD).astype(np.int32)
+            a = np.where(lone, around[0][at], key)
+            b = np.where(lone, around[1][at], paired(key, np.full_like(key, END)))
+        return pa.table({"kind": kind, "key": key.view(np.int64), "a": a.view(np.int64), "b": b.view(np.int64),
+                         **dict(zip(SIDES, counts, strict=True))})
+
+    sent = pa.schema([("part", pa.int64()), ("kind", pa.int32()), ("left", pa.binary()), ("right", pa.binary()),
+                      *((n, pa.binary()) for n in SIDES)])
     let_workers_import(df.sparkSession)
-    return df.mapInArrow(send, "part long, keys binary, counts binary").groupBy("part").applyInArrow(
-        meet, "key long, " + ", ".join(f"{n} long" for n in names))
+    return df.mapInArrow(
+        send, "part long, kind int, left binary, right binary, background binary, target binary"
+    ).groupBy("part").applyInArrow(meet, "kind int, key long, a long, b long, background long, target long")
 
 
 def _most(rows: DataFrame, limit: int) -> DataFrame:
@@ -111,114 +170,197 @@ def _most(rows: DataFrame, limit: int) -> DataFrame:
     return rows.filter(F.col("background") >= (least if least is not None else 1 << 62))
 
 
+@dataclass
 class Models:
-    """Log-probabilities of both models for tokens given as ids."""
-
-    def __init__(self, vocabulary: np.ndarray, words: np.ndarray, pairs: np.ndarray, counts: np.ndarray):
-        self.vocabulary = vocabulary  # sorted hashes; id = place + 2
-        self.size = len(vocabulary) + 2
-        total = words.sum(1)
-        scale = np.array([total[1] / max(total[0], 1), 1.0]) if total[1] else np.ones(2)
-        words = words * scale[:, None]
-        self.word = (words + PRIOR_WORD / self.size) / (words.sum(1, keepdims=True) + PRIOR_WORD)
-        self.pairs = pairs
-        self.count = counts * scale[:, None]
-        history = (pairs // self.size).astype(np.int64)
-        self.history = np.stack([np.bincount(history, weights=c, minlength=self.size) for c in self.count])
-
-    def ids(self, hashes: np.ndarray) -> np.ndarray:
-        if not len(self.vocabulary):
-            return np.zeros(len(hashes), np.int64)
-        at = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
-        return np.where(self.vocabulary[at] == hashes, at + 2, UNKNOWN)
-
-    def losses(self, before: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        """Loss of every token (background, target)."""
-        keys = before * self.size + ids
-        found = np.zeros((2, len(ids)))
-        if len(self.pairs):
-            at = np.minimum(np.searchsorted(self.pairs, keys), len(self.pairs) - 1)
-            found = np.where(self.pairs[at] == keys, self.count[:, at], 0.0)
-        p = (found + PRIOR_BIGRAM * self.word[:, ids]) / (self.history[:, before] + PRIOR_BIGRAM)
-        return -np.log(p)
-
-
-def _before(ids: np.ndarray, texts: np.ndarray) -> np.ndarray:
-    out = np.empty_like(ids)
-    out[1:] = ids[:-1]
-    out[np.flatnonzero(np.append(True, texts[1:] != texts[:-1]))[: len(ids)]] = BEGIN
-    return out
+    """Both models as a table of ``terms`` by ranges of ``bits`` bits, and the most frequent of them."""
+
+    terms: DataFrame  # kind, key, background, v0, v1
+    bits: int
+    begin: np.ndarray  # what the beginning of a text adds (background, target)
+    vocabulary: np.ndarray  # hashes of the words and bigrams whose terms are broadcast
+    pairs: np.ndarray
+    keys: np.ndarray  # these and the ends behind these words, sorted, with their terms
+    values: np.ndarray
 
 
 def train(df: DataFrame, good: str, text: str = "text") -> Models:
     """Both models from all rows of ``df``; rows with ``good`` count for the target as well."""
     size = df.agg(F.sum(F.octet_length(text))).head()[0] or 0
-    bits = max(3, int(size // RANGE_BYTES).bit_length())
-
-    def single(batch):
-        for _, _, hashes, _ in _tokens(batch.column(0)):
-            yield hashes, np.ones((1, len(hashes)), np.int64)
-
-    words = written(_counted(df.select(text), single, 1, bits, 2), "words")
-    vocabulary = _most(words, VOCABULARY).select("key").toArrow().column("key").to_numpy()
-    vocabulary = np.sort(vocabulary.astype(np.int64).view(np.uint64))
-    plain = Models(vocabulary, np.zeros((2, len(vocabulary) + 2)), np.zeros(0, np.int64), np.zeros((2, 0)))
-    shared = df.sparkSession.sparkContext.broadcast(vocabulary)
-    n = plain.size
-
-    def double(batch):
-        model = Models(shared.value, np.zeros((2, n)), np.zeros(0, np.int64), np.zeros((2, 0)))
-        wanted = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
-        for lo, hi, hashes, texts in _tokens(batch.column(0)):
-            ids = model.ids(hashes)
-            pair = _before(ids, texts) * n + ids
-            both = np.stack([np.ones(len(ids), np.int64), wanted[lo:hi][texts].astype(np.int64)])
-            yield pair.astype(np.uint64), both
-            # words are pairs behind an impossible history
-            yield (ids + n * n).astype(np.uint64), both
-
-    pairs = written(_counted(df.select(text, good), double, 2, bits + 1, 1).filter(
-        f"background > 1 OR key >= {n * n}"), "pairs")
-    single_rows = pairs.filter(f"key >= {n * n}").toArrow()
-    words_at = single_rows.column("key").to_numpy() - n * n
-    counts = np.zeros((2, n))
-    for i, c in enumerate(("background", "target")):
-        np.add.at(counts[i], words_at, single_rows.column(c).to_numpy())
-    rows = _most(pairs.filter(f"key < {n * n}"), BIGRAMS).toArrow()
-    keys = rows.column("key").to_numpy()
+    bits = max(3, int(size // RANGE_BYTES).bit_length()) + 1
+    counted = written(_counted(df.select(text, good), bits), "counts")
+    words, pairs, lone = (counted.filter(F.col("kind") == k) for k in (WORD, PAIR, LONE))
+
+    sums = {r.kind: r for r in counted.groupBy("kind").agg(
+        F.count("*").alias("n"), *(F.sum(n).alias(n) for n in SIDES)).collect()}
+    tokens, strange = ([sum(sums[k][n] for k in kinds if k in sums) for n in SIDES]
+                       for kinds in ((WORD, LONE), (LONE,)))
+    slots = (sums[WORD].n if WORD in sums else 0) + 2
+    scale = [tokens[1] / tokens[0], 1.0] if tokens[1] else [1.0, 1.0]
+
+    def chance(count, i: int):
+        return (count * scale[i] + PRIOR_WORD / slots) / (tokens[i] * scale[i] + PRIOR_WORD)
+
+    def gain(count, p, i: int):
+        """What a kept bigram takes from the loss of its second word."""
+        return F.log1p(F.coalesce(count, F.lit(0)) * F.lit(scale[i]) / (p * PRIOR_BIGRAM))
+
+    def past(count, i: int):
+        return F.log(F.coalesce(count, F.lit(0)) * F.lit(scale[i]) + F.lit(PRIOR_BIGRAM))
+
+    # bigrams with the unknown word: neighbours that were seen once themselves are it as well
+    once = lone.select(F.col("key").alias("a"), F.lit(True).alias("a_lone"))
+    lone = lone.join(once, "a", "left").join(once.toDF("b", "b_lone"), "b", "left")
+    lone = written(lone.select("key", "b", "target", F.when(F.col("a_lone"), F.lit(UNKNOWN)).otherwise(
+        F.col("a")).alias("a"), (F.col("b_lone").isNull() & (F.col("b") != END)).alias("b_known")), "lone")
+    each = [F.count("*").alias("c0"), F.sum("target").alias("c1")]
+    second = words.select(F.col("key").alias("b"), *(chance(F.col(n), i).alias(f"p{i}") for i, n in enumerate(SIDES)))
+    # written, so that the joins below can split a frequent neighbour's rows
+    to_unknown = written(lone.groupBy("a").agg(*each).filter("c0 > 1"), "to_unknown")
+    from_unknown = written(lone.filter("b_known").groupBy("b").agg(*each).filter("c0 > 1").join(second, "b"),
+                           "from_unknown")
+    kept = [F.col("background").alias("c0"), F.col("target").alias("c1")]
+    # unknown to unknown is in the first only
+    history = pairs.select("a", *kept).unionByName(to_unknown).unionByName(
+        from_unknown.select(F.lit(UNKNOWN).cast("long").alias("a"), "c0", "c1")
+    ).groupBy("a").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
+    history = written(history, "history")
+    special = {r.a: r for r in history.filter(F.col("a").isin(BEGIN, UNKNOWN)).collect()}
+    base = {a: np.log([(special[a][f"c{i}"] if a in special else 0) * scale[i] + PRIOR_BIGRAM for i in (0, 1)])
+            for a in (BEGIN, UNKNOWN)}
+
+    def alone(p, i: int):
+        return -F.log(p * PRIOR_BIGRAM)
+
+    known = words.select("key", "b", "background", "target").join(
+        history.withColumnRenamed("a", "key"), "key", "left")
+    of_words = known.select(F.lit(WORD).alias("kind"), "key", "background", *(
+        (alone(chance(F.col(n), i), i) + past(F.col(f"c{i}"), i)).alias(f"v{i}") for i, n in enumerate(SIDES)))
+    of_ends = known.select(F.lit(LONE + 1).alias("kind"), F.col("b").alias("key"), "background", *(
+        (-past(F.col(f"c{i}"), i)).alias(f"v{i}") for i in (0, 1)))
+    of_pairs = pairs.join(second, "b").select(F.lit(PAIR).alias("kind"), "key", "background", *(
+        (-gain(F.col(n), F.col(f"p{i}"), i)).alias(f"v{i}") for i, n in enumerate(SIDES)))
+    unknown = [chance(strange[i], i) for i in (0, 1)]
+    places = lone.join(to_unknown.toDF("a", "t0", "t1"), "a", "left").join(
+        from_unknown.toDF("b", "f0", "f1", "p0", "p1"), "b", "left")
+    of_lone = places.select(F.lit(LONE).alias("kind"), "key", F.lit(1).cast("long").alias("background"), *(
+        (F.lit(float(base[UNKNOWN][i] - np.log(unknown[i] * PRIOR_BIGRAM)))
+         - gain(F.col(f"t{i}"), F.lit(float(unknown[i])), i)
+         - F.when(F.col("p0").isNotNull(), gain(F.col(f"f{i}"), F.col(f"p{i}"), i)).otherwise(F.lit(0.0))
+         - F.when(F.col("b") == END, F.lit(float(base[UNKNOWN][i]))).otherwise(F.lit(0.0))).alias(f"v{i}")
+        for i in (0, 1)))
+    terms = written(of_words.unionByName(of_ends).unionByName(of_pairs).unionByName(of_lone), "terms")
+
+    names = ["key", "v0", "v1"]
+    first = [_most(terms.filter(F.col("kind") == k), n).select(*names).toArrow()
+             for k, n in ((WORD, VOCABULARY), (PAIR, BIGRAMS), (LONE + 1, VOCABULARY))]
+    hashes = [t.column("key").to_numpy().astype(np.int64).view(np.uint64) for t in first]
+    keys = np.concatenate(hashes)
+    values = np.concatenate([np.stack([t.column(n).to_numpy() for n in names[1:]]) for t in first], axis=1)
     order = np.argsort(keys)
-    found = np.stack([rows.column(c).to_numpy()[order] for c in ("background", "target")]).astype(float)
-    return Models(vocabulary, counts, keys[order], found)
+    return Models(terms, bits, base[BEGIN], hashes[0], hashes[1], keys[order], values[:, order].astype(float))
+
+
+def _found(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of ``wanted`` are among the sorted keys, and where."""
+    if not len(keys):
+        return np.zeros(len(wanted), bool), np.zeros(0, np.int64)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    hit = keys[at] == wanted
+    return hit, at[hit]
 
 
 def scored(df: DataFrame, models: Models, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Key, tokens, mean losses and their difference of every row."""
-    shared = df.sparkSession.sparkContext.broadcast(models)
+    spark, bits, begin = df.sparkSession, models.bits, models.begin
+    shared = spark.sparkContext.broadcast((models.keys, models.values))
+
+    def packed(flush: int, keys, rows, docs) -> pa.RecordBatch:
+        table = pa.table({"_key": pa.chunked_array([d[0] for d in docs]),
+                          "count": np.concatenate([d[1] for d in docs]),
+                          "l0": np.concatenate([d[2][0] for d in docs]),
+                          "l1": np.concatenate([d[2][1] for d in docs])})
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, table.schema) as out:
+            out.write_table(table)
+        own = int(ts.mix(np.array([flush], np.uint64))[0] >> ts.U64(64 - bits))
+        sent = [(own, flush, None, None, sink.getvalue().to_pybytes())]
+        order = np.argsort(keys)
+        keys, rows = keys[order], rows[order]
+        sent += [(part, flush, _bytes(keys[g]), _bytes(rows[g]), None) for part, g in _ranges(keys, bits)]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(c, t) for c, t in zip(zip(*sent, strict=True), kinds, strict=True)],
+            names=["part", "flush", "keys", "rows", "docs"])
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        near, values = shared.value
+        flush = TaskContext.get().partitionId() << 32
+        held, docs, rows, waiting = [], [], 0, 0
         for batch in batches:
-            count = np.zeros(batch.num_rows, np.int64)
-            loss = np.zeros((2, batch.num_rows))
             for lo, hi, hashes, texts in _tokens(batch.column(1)):
-                ids = model.ids(hashes)
-                count[lo:hi] = np.bincount(texts, minlength=hi - lo)
-                if len(ids):
-                    each = model.losses(_before(ids, texts), ids)
-                    for i in (0, 1):
-                        loss[i, lo:hi] = np.bincount(texts, weights=each[i], minlength=hi - lo)
-            with np.errstate(invalid="ignore", divide="ignore"):
-                mean = np.where(count > 0, loss / count, 0.0)
-            none = count == 0
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(count), pa.array(mean[1], mask=none), pa.array(mean[0], mask=none),
-                 pa.array(mean[1] - mean[0], mask=none)],
-                names=["_key", "n_tokens", "target_loss", "background_loss", "score"])
-
-    let_workers_import(df.sparkSession)
+                before, after = _around(hashes, texts)
+                last = np.flatnonzero(after == END)
+                keys = np.concatenate([hashes, paired(before, hashes), paired(hashes[last], after[last])])
+                place = np.concatenate([texts, texts, texts[last]])
+                count = np.bincount(texts, minlength=hi - lo)
+                hit, at = _found(near, keys)
+                loss = np.stack([np.bincount(place[hit], v[at], hi - lo) for v in values]).astype(float)
+                loss += np.where(count > 0, begin[:, None], 0.0)
+                held.append((keys[~hit], (place[~hit] + rows).astype(np.uint32)))
+                docs.append((batch.column(0).slice(lo, hi - lo), count, loss))
+                rows += hi - lo
+                waiting += len(held[-1][0]) + hi - lo
+                if waiting > FLUSH:
+                    yield packed(flush, *map(np.concatenate, zip(*held, strict=True)), docs)
+                    held, docs, rows, waiting, flush = [], [], 0, 0, flush + 1
+        if docs:
+            yield packed(flush, *map(np.concatenate, zip(*held, strict=True)), docs)
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        keys = right.column("key").to_numpy().astype(np.int64).view(np.uint64)
+        order = np.argsort(keys)
+        keys = keys[order]
+        values = [right.column(n).to_numpy()[order] for n in ("v0", "v1")]
+        out = []
+        for r in left.select(["flush", "keys", "rows", "docs"]).to_pylist():
+            if r["docs"] is not None:
+                out.append((r["flush"], None, None, r["docs"]))
+                continue
+            hit, at = _found(keys, _values(r["keys"], np.uint64))
+            rows, back = np.unique(_values(r["rows"], np.uint32)[hit], return_inverse=True)
+            if len(rows):
+                sums = np.stack([np.bincount(back, weights=v[at]) for v in values])
+                out.append((r["flush"], _bytes(rows), sums.tobytes(), None))
+        columns = zip(*out, strict=True) if out else [[]] * 4
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds[1:], strict=True)],
+                                    names=["flush", "rows", "sums", "docs"])
+
+    def finish(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        docs, = (pa.ipc.open_stream(r["docs"]).read_all() for r in rows if r["docs"] is not None)
+        count = docs.column("count").to_numpy()
+        loss = np.stack([docs.column(n).to_numpy() for n in ("l0", "l1")])
+        for r in rows:
+            if r["rows"] is not None:
+                loss[:, _values(r["rows"], np.uint32)] += np.frombuffer(r["sums"]).reshape(2, -1)
+        none = count == 0
+        mean = np.divide(loss, count, out=np.zeros_like(loss), where=~none)
+        return pa.Table.from_arrays(
+            [docs.column("_key"), pa.array(count), pa.array(mean[1], mask=none), pa.array(mean[0], mask=none),
+             pa.array(mean[1] - mean[0], mask=none)],
+            names=["_key", "n_tokens", "target_loss", "background_loss", "score"])
+
+    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+    let_workers_import(spark)
     kind = df.schema[key].dataType.simpleString()
-    return df.select(F.col(key).alias("_key"), F.col(text).alias("_text")).mapInArrow(
-        run, f"_key {kind}, n_tokens long, target_loss double, background_loss double, score double"
+    sent = df.select(F.col(key).alias("_key"), F.col(text).alias("_text")).mapInArrow(
+        send, "part long, flush long, keys binary, rows binary, docs binary")
+    terms = models.terms.select(F.shiftrightunsigned("key", 64 - bits).alias("part"), "key", "v0", "v1")
+    return sent.groupBy("part").cogroup(terms.groupBy("part")).applyInArrow(
+        meet, "flush long, rows binary, sums binary, docs binary"
+    ).groupBy("flush").applyInArrow(
+        finish, f"_key {kind}, n_tokens long, target_loss double, background_loss double, score double"
     ).withColumnRenamed("_key", key)
 
 

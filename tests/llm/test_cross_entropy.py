@@ -78,3 +78,18 @@ def test_odd_rows(spark, odd, empty, clashing):
     assert all((r.score is None) == (r.n_tokens == 0) for r in rows)
     assert ce.cross_entropy_difference(empty, labels).count() == 0
     assert ce.cross_entropy_difference(clashing, labels.limit(0)).count() == len(rows)
+
+
+def test_broadcast_terms_do_not_change_scores(docs, monkeypatch, spark):
+    """What is broadcast is no bound of the models: nothing near, little near, all near."""
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    found = []
+    for words, pairs in ((1 << 16, 1 << 19), (50, 100), (0, 0)):
+        monkeypatch.setattr(ce, "VOCABULARY", words)
+        monkeypatch.setattr(ce, "BIGRAMS", pairs)
+        rows = ce.cross_entropy_difference(docs, labels).collect()
+        found.append({r.doc_id: (r.n_tokens, r.target_loss, r.background_loss, r.score) for r in rows})
+    for other in found[1:]:
+        assert other.keys() == found[0].keys()
+        for k, row in found[0].items():
+            assert other[k] == pytest.approx(row, abs=1e-9)
