@@ -150,7 +150,7 @@ class Model:
 
 
 class Codec:
-    """Encoder and decoder of one model in one worker. ``limit`` bounds the cached words."""
+    """Encoder and decoder of one model in one worker. ``limit`` bounds the words kept between calls."""
 
     WORDS = re.compile(" *[^ ]+| +")
 
@@ -182,8 +182,6 @@ class Codec:
         return (UNKNOWN_TEXT if kind == UNKNOWN else piece.replace(MARK, " ")).encode()
 
     def _learn(self, new: list[str]) -> None:
-        if len(self.ids) + len(new) > self.limit:
-            self.ids, self.unlike = {}, set()
         plain = [w for w in new if _PART not in w]
         size = max(1, -(-len(plain) // (4 * self.threads)))
         groups = [plain[lo:lo + size] for lo in range(0, len(plain), size)]
@@ -209,13 +207,15 @@ class Codec:
             theirs = self.own.encode(texts, num_threads=self.threads)
             return [np.array(i, "<u4").tobytes() for i in ours], [a == b for a, b in zip(ours, theirs, strict=True)]
         split = [[w.replace(" ", MARK) for w in self.WORDS.findall(" " + t)] if t else [] for t in texts]
-        for _ in range(2):  # again if the cache was emptied meanwhile
-            new = set().union(*split).difference(self.ids)
-            if new:
-                self._learn(sorted(new))
+        new = set().union(*split).difference(self.ids)
+        if new:
+            self._learn(sorted(new))
         of = self.ids.__getitem__
         same = [not self.unlike or self.unlike.isdisjoint(words) for words in split]
-        return [b"".join(map(of, words)) for words in split], same
+        out = [b"".join(map(of, words)) for words in split]
+        if len(self.ids) > self.limit:  # only now, as these texts need all of their words
+            self.ids, self.unlike = {}, set()
+        return out, same
 
     def decode(self, ids: list[bytes]) -> list[str]:
         of, out = self.text_of.__getitem__, []

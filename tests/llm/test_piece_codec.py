@@ -41,6 +41,16 @@ def test_odd_texts(theirs, limit):
             assert s and b == theirs.decode(own) == codec.whole.decode(own)
 
 
+@pytest.mark.parametrize("limit", [0, 4, 300_000])
+def test_a_call_may_have_more_words_than_are_kept(theirs, limit):
+    with open(PATH, "rb") as file:
+        codec = pc.Codec(file.read(), limit=limit)
+    for text in ("one two three", "two three four five six seven", "one two six seven eight nine ten", "one"):
+        ids, same = codec.encode([text])
+        assert np.frombuffer(ids[0], "<u4").tolist() == theirs.encode(text) and same == [True]
+        assert len(codec.ids) <= limit
+
+
 def test_unigram_models_keep_their_scores():
     def number(value):
         out = b""
