@@ -13,6 +13,8 @@ result; without candidates the classifier keeps its prior weights."""
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import or_
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -32,11 +34,11 @@ SPELLED_EMAIL = (r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?[\[(] ?(?:at|AT) ?[\
 SECRET = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{20,}+={0,2}"
 
 KINDS = ("email", "ip", "card", "phone", "secret")
-# (kind, strict, pattern, cheap test that a text can hold one)
+# (kind, strict, pattern, cheap test that a text can hold one: it has one of these strings)
 PATTERNS = (
     ("email", True, EMAIL, "@"), ("ip", True, IP, "."), ("card", True, CARD, None),
     ("phone", True, PHONE, "+"), ("phone", False, LOCAL_PHONE, None),
-    ("email", False, SPELLED_EMAIL, "at"), ("secret", False, SECRET, None),
+    ("email", False, SPELLED_EMAIL, "at|AT"), ("secret", False, SECRET, None),
 )
 OCTETS = r"^(?:0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?:\.|$)){4}$"
 BEFORE, AFTER = 32, 12
@@ -60,7 +62,7 @@ def _candidates(text: str) -> tuple[list[tuple[str, Column]], Column]:
     pieces, found = [], []
     digits = F.col("_digits")
     for n, (kind, strict, pattern, needs) in enumerate(PATTERNS):
-        possible = digits if needs is None else F.col(text).contains(needs)
+        possible = digits if needs is None else reduce(or_, map(F.col(text).contains, needs.split("|")))
         if needs == ".":
             possible = possible & digits
         possible = F.coalesce(possible, F.lit(False))

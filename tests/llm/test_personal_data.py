@@ -98,3 +98,10 @@ def test_no_python_on_the_executors(docs):
     plan = pd.candidates(docs, "doc_id", "text")._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
     assert F is not None
+
+
+def test_spelled_addresses_in_capitals(spark):
+    text = "JOHN (AT) SITE (DOT) COM"
+    rows = spark.createDataFrame([(1, text), (2, text.lower()), (3, "AT HOME")], "doc_id long, text string")
+    found = pd.candidates(rows, "doc_id", "text").filter("kind = 'email'").select("match").collect()
+    assert sorted(r.match for r in found) == sorted([text, text.lower()])
