@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators, each over its whole table."""
+"""The registered queries of the operators, each over its whole table."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roadlens.llm import (
-    cross_entropy, cutting_stock, fingerprints, jaccard_join, longest_previous, main_text, personal_data, piece_codec,
+    byte_bpe, cross_entropy, cutting_stock, fingerprints, jaccard_join, longest_previous, main_text, personal_data, piece_codec,
     role_repair, rule_ledger,
 )
 from roadlens.llm.registry import query, table, tokenizer_path
@@ -113,3 +113,16 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_role_repair")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return role_repair.repaired(table(spark, sf_dir, "conversations")).drop("place")
+
+
+@query("op13_byte_bpe")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path, pattern = tokenizer_path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    rows = byte_bpe.encoded(table(spark, sf_dir, "documents"), path, pattern)
+    rows = byte_bpe.decoded(rows, path, pattern)
+    return rows.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")).cast("binary"), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
