@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roadlens.llm import (
-    byte_bpe, cross_entropy, cutting_stock, fingerprints, jaccard_join, longest_previous, main_text, personal_data, piece_codec,
-    role_repair, rule_ledger,
+    byte_bpe, cross_entropy, cutting_stock, fingerprints, jaccard_join, longest_previous, main_text, periodic_runs, personal_data,
+    piece_codec, role_repair, rule_ledger,
 )
 from roadlens.llm.registry import query, table, tokenizer_path
 
@@ -115,6 +115,38 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return role_repair.repaired(table(spark, sf_dir, "conversations")).drop("place")
 
 
+def with_periods(docs: DataFrame) -> DataFrame:
+    """``doc_id`` and text; of every tenth document, by a hash of its id, the words from a place
+    on repeat with a period."""
+    code = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(1))
+    word = F.filter(F.split(F.col("text"), r"[\x20\x09-\x0D]+", -1), lambda w: w != "")
+    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), code.alias("_code"))
+    docs = docs.withColumn("_words", F.when(F.col("_code") % 10 == 0, word)).withColumn("_n", F.size("_words").cast("long"))
+    g = F.floor(F.col("_code") / 10)
+    docs = docs.withColumn("_a", F.when(F.col("_n") > 0, g % F.col("_n")))
+    docs = docs.withColumn("_p", 1 + F.floor((F.col("_n") - F.col("_a")) / (3 + g % 8)))
+    places = F.transform(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1), lambda i: F.get(
+        "_words", F.when(i < F.col("_a"), i).otherwise(F.col("_a") + (i - F.col("_a")) % F.col("_p")).cast("int")))
+    return docs.select("doc_id", F.when(F.col("_n") > 0, F.concat_ws(" ", places)).otherwise(F.col("text")).alias("text"))
+
+
+@query("op12_periodic_runs")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = periodic_runs.with_runs(with_periods(table(spark, sf_dir, "documents")))
+    best = F.array_min(F.transform("runs", lambda r: F.struct(
+        (-r["length"]).alias("short"), r["start"].alias("start"), r["period"].alias("period"))))
+    rows = rows.withColumn("best", best)
+    length = -F.col("best.short")
+    listed = F.concat_ws("", F.transform("runs", lambda r: F.concat_ws(
+        "", F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))))
+    return rows.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("best.start").alias("start"),
+        length.alias("length"), F.col("best.period").alias("period"),
+        F.floor(1000 * length / F.col("best.period")).cast("long").alias("exponent_milli"),
+        F.sha2(listed.cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+
+
 @query("op13_byte_bpe")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
