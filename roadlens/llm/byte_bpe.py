@@ -31,8 +31,8 @@ from pyspark.sql.types import BinaryType, StructField, StructType
 from roadlens.llm import textscan as ts
 from roadlens.llm.storage import let_workers_import
 
-CACHED = 400_000
-GROUP_BYTES = 1 << 25  # texts whose new pre-tokens share one queue
+CACHED = 300_000
+GROUP_BYTES = 1 << 24  # texts whose new pre-tokens share one queue
 _CHUNK = 1 << 18  # pre-tokens of a long text that are held as strings at once
 _LATIN_END = 0x250
 
