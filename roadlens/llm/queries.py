@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from roadlens.llm import (
     byte_bpe, cross_entropy, cutting_stock, fingerprints, jaccard_join, longest_previous, main_text, periodic_runs, personal_data,
-    piece_codec, role_repair, rule_ledger,
+    piece_codec, role_repair, rule_ledger, structure_repair,
 )
 from roadlens.llm.registry import query, table, tokenizer_path
 
@@ -115,6 +115,33 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return role_repair.repaired(table(spark, sf_dir, "conversations")).drop("place")
 
 
+def damaged(turns: DataFrame) -> DataFrame:
+    """Conversations with some turns dropped, emptied, cut, repeated or given to the user, by a
+    hash of conversation and turn."""
+    space = F.lit(" ")
+    turns = turns.select("conv_id", "turn", F.coalesce("role", space).alias("role"), F.coalesce("text", space).alias("text"))
+    place = F.concat(*(F.coalesce(c, space) for c in (F.col("conv_id").cast("string"), F.lit(":"), F.col("turn").cast("string"))))
+    turns = turns.withColumn("_how", F.crc32(place.cast("binary")) % 20).filter("_how != 0")
+    how = F.col("_how")
+    turns = turns.withColumns({
+        "text": F.when(how == 1, "").when(how == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text")),
+        "role": F.when(how == 4, "user").otherwise(F.col("role")),
+        "_copy": F.explode(F.when(how == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))})
+    return turns.drop("_how", "_copy")
+
+
+@query("op11_structure_repair")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    found = structure_repair.summaries(damaged(turns)).withColumnRenamed("conv_id", "_conv")
+    rows = turns.select("conv_id").distinct()
+    rows = rows.join(found, F.col("conv_id").eqNullSafe(F.col("_conv")), "left")
+    return rows.select(
+        "conv_id", *(F.coalesce(c, F.lit(0)).alias(c) for c in structure_repair.NUMBERS),
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
+
+
 def with_periods(docs: DataFrame) -> DataFrame:
     """``doc_id`` and text; of every tenth document, by a hash of its id, the words from a place
     on repeat with a period."""
