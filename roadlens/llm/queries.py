@@ -115,6 +115,65 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return role_repair.repaired(table(spark, sf_dir, "conversations")).drop("place")
 
 
+OP11_SQL = r"""
+WITH RECURSIVE r AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name FROM conversations),
+h AS (
+  SELECT *, xor(list_reduce(list_transform(string_split(name, ''), lambda c: CAST(ascii(c) AS BIGINT)),
+      lambda c, b: list_reduce([1, 2, 3, 4, 5, 6, 7, 8]::BIGINT[], lambda d, k: CASE WHEN d & 1 = 1 THEN xor(d >> 1, 3988292384)
+                                                                   ELSE d >> 1 END, xor(c, b)),
+      CAST(4294967295 AS BIGINT)), 4294967295) % 20 AS how FROM r),
+d AS (
+  SELECT conv_id, turn, CASE WHEN how = 4 THEN 'user' ELSE role END AS role,
+         CASE how WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM h, generate_series(0, 1) AS s(copy) WHERE how <> 0 AND (copy = 0 OR how = 3)),
+o AS (
+  SELECT *, row_number() OVER w AS k, lag(role) OVER w AS before, rtrim(text, E' \t\n\x0b\f\r') AS kept
+  FROM d WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+f AS (
+  SELECT *, CASE WHEN kept = '' THEN 'blank'
+                 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY k) > 1 THEN 'duplicate'
+                 WHEN right(kept, 1) NOT IN ('.', '!', '?') THEN 'truncated' END AS fault FROM o),
+ins(st, mid, c, a, said) AS (VALUES
+  ('', '', 0, '', []::VARCHAR[]), ('s', 's', 0, '', []), ('u', 'u', 0, '', []), ('a', 'a', 0, '', []),
+  ('', 'u', 3, 'I', ['user:']), ('s', 'u', 3, 'I', ['user:']), ('a', 'u', 3, 'I', ['user:']), ('u', 'a', 3, 'I', ['assistant:']),
+  ('', 'a', 6, 'II', ['user:', 'assistant:']), ('s', 'a', 6, 'II', ['user:', 'assistant:'])),
+act(mid, edit, nxt, c, name) AS (VALUES
+  ('', 'D', '', 4, ''), ('s', 'D', 's', 4, ''), ('u', 'D', 'u', 4, ''), ('a', 'D', 'a', 4, ''),
+  ('', 'K', 's', 0, ''), ('', 'K', 'u', 0, ''), ('s', 'K', 'u', 0, ''), ('u', 'K', 'a', 0, ''), ('a', 'K', 'u', 0, ''),
+  ('', 'R', 'u', 3, 'user'), ('s', 'R', 'u', 3, 'user'), ('u', 'R', 'a', 3, 'assistant'), ('a', 'R', 'u', 3, 'user')),
+p AS (
+  SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS k, '' AS st, CAST(0 AS BIGINT) AS cost, '' AS audit, []::VARCHAR[] AS said FROM f
+  UNION ALL
+  SELECT conv_id, k, st, cost, audit, said FROM (
+    SELECT f.conv_id, f.k, act.nxt AS st,
+           p.cost + ins.c + act.c + CASE WHEN edit <> 'D' AND fault = 'truncated' THEN 3 ELSE 0 END AS cost,
+           p.audit || ins.a || edit AS audit,
+           p.said || ins.said || CASE edit WHEN 'D' THEN [] WHEN 'K' THEN [role || ':' || text]
+                                           ELSE [act.name || ':' || text] END AS said
+    FROM p JOIN f ON f.conv_id IS NOT DISTINCT FROM p.conv_id AND f.k = p.k + 1
+           JOIN ins ON ins.st = p.st JOIN act ON act.mid = ins.mid
+    WHERE edit = 'D' OR fault IS DISTINCT FROM 'blank' AND fault IS DISTINCT FROM 'duplicate'
+                        AND (edit = 'R' OR nxt = left(role, 1)))
+  QUALIFY row_number() OVER (PARTITION BY conv_id, st ORDER BY cost, audit) = 1),
+n AS (
+  SELECT conv_id, count(*) AS rows, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+         count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+         count(*) FILTER (fault = 'truncated') AS truncated,
+         count(*) FILTER (before IS NOT NULL AND left(before, 1) || left(role, 1) NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM f GROUP BY conv_id),
+e AS (
+  SELECT n.*, p.cost + ins.c AS cost, p.audit || ins.a AS audit, p.said || ins.said AS said
+  FROM n JOIN p ON n.conv_id IS NOT DISTINCT FROM p.conv_id AND n.rows = p.k JOIN ins ON ins.st = p.st
+  WHERE ins.mid IN ('', 'a')
+  QUALIFY row_number() OVER (PARTITION BY n.conv_id ORDER BY p.cost + ins.c, p.audit || ins.a) = 1)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(coalesce(cost, 0) AS BIGINT) AS cost,
+       coalesce(audit, '') AS audit, sha256(coalesce(array_to_string(said, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN e ON c.conv_id IS NOT DISTINCT FROM e.conv_id"""
+
+
 def damaged(turns: DataFrame) -> DataFrame:
     """Conversations with some turns dropped, emptied, cut, repeated or given to the user, by a
     hash of conversation and turn."""
@@ -130,7 +189,7 @@ def damaged(turns: DataFrame) -> DataFrame:
     return turns.drop("_how", "_copy")
 
 
-@query("op11_structure_repair")
+@query("op11_structure_repair", OP11_SQL)
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations")
     found = structure_repair.summaries(damaged(turns)).withColumnRenamed("conv_id", "_conv")
