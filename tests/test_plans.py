@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -89,13 +90,54 @@ def test_stand_ins_read_alike_in_both_engines(spark):
         assert tables[name].count() == counted, name
 
 
-def test_materialize_uses_the_configured_folder(spark):
-    from roadlens.session import materialize, shared_dir
-    df = spark.range(5)
+def shared_files(spark) -> set[str]:
+    from pathlib import Path
+
+    from roadlens.session import shared_dir
+    folder = Path(re.sub("^file:/*", "/", shared_dir(spark)))
+    return {str(p) for p in folder.iterdir()} if folder.exists() else set()
+
+
+def test_materialized_rows_lie_in_the_shared_folder_until_forgotten(spark):
+    from roadlens.session import fresh_path, forget, materialize
+    before = shared_files(spark)
+    df = spark.range(5).select(F.col("id").alias("n", metadata={"unit": "m"}))
     kept = materialize(df)
-    assert rows(kept) == rows(df)
-    assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
-    assert shared_dir(spark) in spark.sparkContext.getCheckpointDir()
+    assert rows(kept) == rows(df) and kept.schema["n"].metadata == {"unit": "m"}
+    assert len(shared_files(spark) - before) == 1
+    forget(kept)
+    assert shared_files(spark) == before
+    forget(spark.range(3))  # wrote nothing
+    path = fresh_path(spark, "own")
+    assert len(shared_files(spark) - before) == 1 and "own-" in path
+
+
+@pytest.mark.parametrize("configured", [True, False])
+def test_nothing_is_left_when_the_process_ends(tmp_path, configured):
+    """In a process of its own: rows kept by two queries are gone after its end."""
+    import subprocess
+    import sys
+    from pathlib import Path
+    shared, store = tmp_path / "shared", tmp_path / "warehouse"
+    shared.mkdir()
+    store.mkdir()
+    setting = f'.config("spark.checkpoint.dir", "file://{shared}")' if configured else ""
+    code = f"""
+from pyspark.sql import SparkSession
+from roadlens.session import clean, materialize
+spark = (SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false")
+         .config("spark.sql.warehouse.dir", "file://{store}"){setting}.getOrCreate())
+kept = [materialize(spark.range(n)) for n in (3, 4)]
+assert [k.count() for k in kept] == [3, 4]
+spark.stop()
+"""
+    root = Path(entry.__file__).parent
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=root, timeout=120)
+    until = time.monotonic() + 30  # the driver's JVM ends a little later
+    left = lambda: [p for p in (*shared.rglob("*"), *store.rglob("*")) if p.is_file()]
+    while left() and time.monotonic() < until:
+        time.sleep(0.2)
+    assert not left()  # Spark leaves an empty folder where the setting names
 
 
 def test_storage_without_a_configured_folder():
@@ -103,8 +145,14 @@ def test_storage_without_a_configured_folder():
 
     from roadlens.session import shared_dir
     settings = {"spark.sql.warehouse.dir": "hdfs://store/warehouse/"}
-    session = SimpleNamespace(conf=settings, sparkContext=SimpleNamespace(applicationId="app-1"))
+    session = SimpleNamespace(conf=settings, sparkContext=SimpleNamespace(applicationId="app-1", master="yarn"))
     assert shared_dir(session) == "hdfs://store/warehouse/shared-app-1"
+    for own_disk in ("file:/data/warehouse", "/data/warehouse", "spark-warehouse"):
+        settings["spark.sql.warehouse.dir"] = own_disk
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            shared_dir(session)
+    session.sparkContext.master = "local[8]"
+    assert shared_dir(session) == "spark-warehouse/shared-app-1"
     settings.clear()
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared_dir(session)
