@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from roadlens.session import fresh_path
+from roadlens.session import stored
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -31,7 +31,4 @@ def let_workers_import(spark: SparkSession) -> None:
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as Parquet to the shared folder and read back, which cuts the
     lineage and outlives lost executors."""
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.mode("append").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return stored(df, name)
