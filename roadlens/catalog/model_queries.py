@@ -476,7 +476,39 @@ def model_comparison(t):
     return rounded(risk.model_comparison(_risk_table(t)))
 
 
-@query("crash_count_regression")
+def _least_squares_sql(numeric, flags, keys: str, seed: int) -> str:
+    """Normal equations by elimination over a list of rows, and the errors of the test rows."""
+    columns = [*numeric, *flags]
+    typed = ", ".join([*(f"CAST({c} AS DOUBLE) AS {c}" for c in numeric),
+                       *(f"CASE WHEN {c} THEN 1.0 ELSE 0.0 END::DOUBLE AS {c}" for c in flags)])
+    known = " AND ".join(f"{c} IS NOT NULL" for c in numeric)
+    equations = ", ".join("[" + ", ".join(f"covar_pop({a}, {b})" for b in [*columns, "y"]) + "]" for a in columns)
+    predicted = " + ".join(f"{c} * b[{i}]" for i, c in enumerate(columns, 1))
+    means = ", ".join(f"avg({c})" for c in columns)
+    unpivoted = " UNION ALL ".join(f"SELECT '{c}' AS name, b[{i}] AS value FROM s" for i, c in enumerate(columns, 1))
+    return f"""
+    WITH c AS (SELECT arc, count(*) AS n FROM fx_crashes GROUP BY arc),
+         d AS (SELECT {typed}, CAST(coalesce(n, 0) AS DOUBLE) AS y,
+                      ('0x' || substr(md5('{seed}:' || {keys}), 1, 8))::UBIGINT % 100 < 80 AS train
+               FROM fx_event_rows LEFT JOIN c USING (arc) WHERE {known}),
+         m AS (SELECT [{equations}] AS a, [{means}] AS xs, avg(y) AS ys FROM d WHERE train),
+         e AS (SELECT xs, ys, list_reduce(generate_series(1, {len(columns)})::BIGINT[],
+                 lambda a, k: list_transform(a, lambda r, i: CASE WHEN i = k
+                   THEN list_transform(r, lambda v: v / a[k][k])
+                   ELSE list_transform(r, lambda v, j: v - r[k] * a[k][j] / a[k][k]) END), a) AS a FROM m),
+         f AS (SELECT xs, ys, list_transform(a, lambda r: r[{len(columns) + 1}]) AS b FROM e),
+         s AS (SELECT b, ys - list_inner_product(b, xs) AS b0 FROM f),
+         t AS (SELECT y, {predicted} + b0 AS p FROM d, s WHERE NOT train)
+    SELECT name, round(value, 6) AS value FROM ({unpivoted}
+      UNION ALL SELECT 'intercept', b0 FROM s
+      UNION ALL SELECT 'rmse', sqrt(avg((y - p) ** 2)) FROM t
+      UNION ALL SELECT 'mse', avg((y - p) ** 2) FROM t
+      UNION ALL SELECT 'mae', avg(abs(y - p)) FROM t
+      UNION ALL SELECT 'r2', 1 - avg((y - p) ** 2) / var_pop(y) FROM t)"""
+
+
+@query("crash_count_regression",
+       _least_squares_sql(COUNT_FEATURES, COUNT_FLAGS, "trip_id || '|' || arc", 123))
 def crash_count_regression(t):
     return rounded(crash_models.crash_count_regression(
         t["fx_event_rows"], t["fx_crashes"], COUNT_FEATURES, COUNT_FLAGS, ["trip_id", "arc"]

@@ -10,12 +10,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roadlens.functions.columns import bool_to_double, positive_flag
-from roadlens.models.features import check_vocabulary, INDEX, assemble_features, assembler
-from roadlens.models.learners import ZeroInflatedPair, binomial, linear, poisson
+from roadlens.models.features import check_vocabulary, INDEX, assembler
+from roadlens.models.learners import ZeroInflatedPair, binomial, poisson
+from roadlens.models.least_squares import cross_products, solve
 from roadlens.models.metrics import (
-    bernoulli_statistics, glm_report, glm_statistics, named_coefficients, regression_metrics,
+    bernoulli_statistics, glm_report, glm_statistics, named_values, regression_metrics,
 )
-from roadlens.operators.joins import hot_keys, key_counts, spread_join
+from roadlens.operators.joins import join_left, key_counts, spread_join
 from roadlens.operators.sampling import with_split
 from roadlens.session import materialize
 
@@ -40,22 +41,27 @@ def crash_count_regression(
     seed: int = 123,
 ) -> DataFrame:
     """(name, value): coefficients, intercept and test metrics of a linear model of the
-    crash count of an event's arc."""
+    crash count of an event's arc.
+
+    The events are read twice and never written: once for the cross products of the training
+    rows, from which the driver solves the normal equations, and once for the errors of
+    the test rows. The joined rows go straight into an aggregate of one row, so a plain join
+    serves: adaptive execution splits the partition of a busy arc."""
     typed = events.select(
         key, *[F.col(c) for c in split_keys if c != key],
         *[F.col(c).cast("double").alias(c) for c in numeric],
         *[bool_to_double(c).alias(c) for c in flags],
     )
     columns = [*numeric, *flags]
-    complete = typed.na.drop(subset=columns)
-    counted = event_crash_counts(complete, crashes, key, hot_keys(events, key))
-    marked = with_split(assemble_features(counted, columns), split_keys, 80, seed)
-    rows = materialize(marked.select("features", "count", "split"))
-    model = linear("count").fit(rows.where("split = 'train'"))
-    test = rows.where("split = 'test'")
-    metrics = regression_metrics(model.transform(test), "count")
+    counted = join_left(typed.na.drop(subset=columns), key_counts(crashes, key, "count"), key).na.fill(0, ["count"])
+    marked = with_split(counted, split_keys, 80, seed)
+    train = marked.where("split = 'train'").select(*columns, "count")
+    fit = solve(cross_products(train, [*columns, "count"])[()], "count")
+    test = marked.where("split = 'test'").select("count", fit.prediction().alias("prediction"))
+    metrics = regression_metrics(test, "count")
     measured = metrics.unpivot([], ["rmse", "mse", "mae", "r2"], "name", "value")
-    return named_coefficients(events.sparkSession, model, columns).unionByName(measured)
+    names, values = zip(*fit.values(), strict=True)
+    return named_values(events.sparkSession, names, values, "name", "value").unionByName(measured)
 
 
 def category_crash_rows(

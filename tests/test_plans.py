@@ -156,3 +156,18 @@ def test_storage_without_a_configured_folder():
     settings.clear()
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared_dir(session)
+
+
+def test_count_regression_writes_nothing_and_reads_the_events_twice(tables, monkeypatch):
+    from roadlens import session
+    from roadlens.plans import crash_models
+    collected, frame = [], type(tables["part"])
+    real = frame.collect
+    monkeypatch.setattr(session, "stored", lambda *a: pytest.fail("rows were written"))
+    monkeypatch.setattr(frame, "collect", lambda df: collected.append(df) or real(df))
+    out = crash_models.crash_count_regression(
+        tables["fx_event_rows"], tables["fx_crashes"], ["sample_speed"], ["tunnel"], ["trip_id", "arc"])
+    assert len(collected) == 1
+    for df in (*collected, out):
+        events = [s for s in scans(df) if "l_quantity" in s and "l_orderkey" in s]
+        assert len(events) == 1
