@@ -11,6 +11,7 @@ from roadlens.catalog.registry import query
 from roadlens.models import features as X
 from roadlens.models import learners as L
 from roadlens.models import metrics as E
+from roadlens.models import vocabulary as V
 from roadlens.operators import joins as J
 from roadlens.operators import sampling as M
 from roadlens.plans import crash_models, risk, volume
@@ -98,6 +99,23 @@ def feature_pipeline(t):
     )
 
 
+# as many categories as orders, numbered by ranges of a distributed sort
+@query("vocabulary_index", """
+    WITH l AS (SELECT trip_id, row_number() OVER (ORDER BY count(*) DESC, CAST(trip_id AS VARCHAR)) - 1 AS i
+               FROM fx_events GROUP BY trip_id)
+    SELECT trip_id, arc, CAST(i AS DOUBLE) AS trip_id_index, (SELECT CAST(count(*) AS INT) FROM l) AS n_slots,
+           CAST(i AS INT) AS hot
+    FROM fx_events JOIN l USING (trip_id)""")
+def vocabulary_index(t):
+    rows = t["fx_events"].select("trip_id", "arc")
+    found = V.fit_vocabulary(rows, ["trip_id"])
+    encoded = found.one_hot(found.index(rows))
+    sparse = F.from_json(F.to_json(F.struct("trip_id_encoded")),
+                         "trip_id_encoded struct<size:int,indices:array<int>>")["trip_id_encoded"]
+    return encoded.select("trip_id", "arc", "trip_id_index", sparse["size"].alias("n_slots"),
+                          sparse["indices"][0].alias("hot"))
+
+
 @query("vector_slice", """
     SELECT arc, curve_max_angle AS f0, CAST(seq AS DOUBLE) AS f1 FROM fx_arcs""")
 def vector_slice(t):

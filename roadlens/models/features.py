@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import (
@@ -12,10 +13,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roadlens.functions.columns import not_nan
+from roadlens.models.vocabulary import ENCODED, INDEX, Vocabulary, fit_vocabulary
 from roadlens.operators.projection import impute_median
 
-INDEX, ENCODED = "_index", "_encoded"
-MAX_CATEGORIES = 100_000
+MAX_CATEGORIES = 100_000  # names that the driver takes
 
 
 def assembler(
@@ -64,21 +65,38 @@ def one_hot(df: DataFrame, column: str) -> DataFrame:
     return encoder([column]).fit(df).transform(df)
 
 
-def check_vocabulary(df: DataFrame, columns: Sequence[str], limit: int = MAX_CATEGORIES) -> None:
-    """Raise where a column has clearly more than ``limit`` categories: names go to the
-    driver, and every one becomes a slot. Nothing is cut."""
+def large_vocabularies(df: DataFrame, columns: Sequence[str], limit: int = MAX_CATEGORIES) -> list[str]:
+    """The columns with clearly more than ``limit`` categories, by bounded sketches in one pass."""
     counts = df.agg(*[F.approx_count_distinct(F.col(c).cast("string")).alias(c) for c in columns]).first()
-    large = {c: counts[c] for c in columns if counts[c] > 1.2 * limit}
-    if large:
-        raise ValueError(f"too many categories for one-hot slots (limit {limit}): {large}")
+    return [c for c in columns if counts[c] > 1.2 * limit]
 
 
 def fit_encoding(
     df: DataFrame, columns: Sequence[str], limit: int = MAX_CATEGORIES
-) -> PipelineModel:
-    """Index and one-hot stages, fitted together, of columns with a bounded vocabulary."""
-    check_vocabulary(df, columns, limit)
-    return Pipeline(stages=[indexer(columns), encoder(columns)]).fit(df)
+) -> PipelineModel | Encoding:
+    """Index and one-hot stages of any vocabulary.
+
+    Columns of up to about ``limit`` categories are indexed by Spark ML, with the names of
+    the slots in the metadata. Of larger ones the names stay in a table: the indexes are the
+    same, but slots are known by number."""
+    large = large_vocabularies(df, columns, limit)
+    small = [c for c in columns if c not in large]
+    stages = Pipeline(stages=[indexer(small), encoder(small)]).fit(df) if small else None
+    return Encoding(stages, fit_vocabulary(df, large), tuple(columns)) if large else stages
+
+
+@dataclass(frozen=True)
+class Encoding:
+    """Encoded columns, of which some have their names in a table."""
+
+    small: PipelineModel | None
+    large: Vocabulary
+    columns: tuple[str, ...]
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        out = self.small.transform(df) if self.small is not None else df
+        out = self.large.one_hot(self.large.index(out))
+        return out.select(*df.columns, *[c + INDEX for c in self.columns], *[c + ENCODED for c in self.columns])
 
 
 def slot_names(df: DataFrame, column: str = "features") -> list[str]:

@@ -10,12 +10,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roadlens.functions.columns import bool_to_double, positive_flag
-from roadlens.models.features import check_vocabulary, INDEX, assembler
+from roadlens.models.features import MAX_CATEGORIES, assembler, large_vocabularies
 from roadlens.models.learners import ZeroInflatedPair, binomial, poisson
 from roadlens.models.least_squares import cross_products, solve
 from roadlens.models.metrics import (
     bernoulli_statistics, glm_report, glm_statistics, named_values, regression_metrics,
 )
+from roadlens.models.vocabulary import INDEX, Vocabulary, fit_vocabulary, weighted_counts
 from roadlens.operators.joins import join_left, key_counts, spread_join
 from roadlens.operators.sampling import with_split
 from roadlens.session import materialize
@@ -81,25 +82,39 @@ def category_crash_rows(
     )
 
 
+@dataclass(frozen=True)
+class CategoryIndex:
+    """Indexes of categories by names that the driver knows, or by a table."""
+
+    named: tuple[StringIndexerModel, ...]
+    large: Vocabulary
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        for model in self.named:
+            df = model.transform(df)
+        return self.large.index(df)
+
+
 @dataclass(frozen=True)
 class CrashPair:
     """Both models over indexed categories, the indexing that feeds them, and the
     weighted rows each was fitted on."""
 
     models: ZeroInflatedPair
-    indexing: StringIndexerModel
+    indexing: CategoryIndex
     counts: DataFrame
     rates: DataFrame
 
 
 def fit_crash_pair(
-    events: DataFrame, crashes: DataFrame, categories: Sequence[str], key: str = "arc"
+    events: DataFrame, crashes: DataFrame, categories: Sequence[str], key: str = "arc",
+    limit: int = MAX_CATEGORIES,
 ) -> CrashPair:
     """The count model sees distinct (categories, count) rows, the crash model the share
     of events on crash arcs per combination of categories: Spark starts a binomial fit
     from the labels, and heavy 0/1 rows would start it too far out."""
     rows = materialize(category_crash_rows(events, crashes, categories, key))
-    indexing = _frequency_index(rows, categories)
+    indexing = _frequency_index(rows, categories, limit)
     indexes = [c + INDEX for c in categories]
     vectors = assembler(indexes)
     indexed = indexing.transform(rows)
@@ -115,22 +130,19 @@ def fit_crash_pair(
     return CrashPair(models, indexing, counts, rates)
 
 
-def _frequency_index(rows: DataFrame, categories: Sequence[str]) -> StringIndexerModel:
-    """An indexer whose labels are ordered by the summed weight of each category, as
-    event rows would order them. The driver gets the category names, as from any
-    string indexer."""
-    check_vocabulary(rows, categories)
-    texts = rows.select("weight", *[F.col(c).cast("string").alias(c) for c in categories])
-    long = texts.unpivot(["weight"], list(categories), "name", "value")
-    ranked = (
-        long.where("value IS NOT NULL").groupBy("name", "value")
-        .agg(F.sum("weight").alias("weight")).orderBy(F.col("weight").desc(), "value").collect()
-    )
-    return StringIndexerModel.from_arrays_of_labels(
-        [[r["value"] for r in ranked if r["name"] == c] for c in categories],
-        inputCols=list(categories), outputCols=[c + INDEX for c in categories],
-        handleInvalid="keep",
-    )
+def _frequency_index(rows: DataFrame, categories: Sequence[str], limit: int = MAX_CATEGORIES):
+    """An indexer whose categories are ordered by the summed weight of each, as event rows
+    would order them. The driver gets the names of columns of up to about ``limit`` categories,
+    as from any string indexer; larger vocabularies stay in a table."""
+    large = large_vocabularies(rows, categories, limit)
+    table = weighted_counts(rows, [c for c in categories if c not in large], "weight")
+    ranked = table.orderBy(F.col("n").desc(), "value").collect() if len(large) < len(categories) else []
+    labels = {c: [r["value"] for r in ranked if r["name"] == c] for c in categories if c not in large}
+    # one model a column: lists of unequal length together would be filled up with nulls
+    named = tuple(
+        StringIndexerModel.from_labels(found, inputCol=c, outputCol=c + INDEX, handleInvalid="keep")
+        for c, found in labels.items())
+    return CategoryIndex(named, fit_vocabulary(rows, large, "weight"))
 
 
 def crash_count_glm(

@@ -51,7 +51,9 @@ def stored(df: DataFrame, name: str = "rows") -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.mode("append").parquet(path)
-    kept = spark.read.schema(df.schema).parquet(path)
+    # Parquet keeps columns' metadata, which a given schema cannot always carry
+    plain = not any(field.metadata for field in df.schema)
+    kept = (spark.read.schema(df.schema) if plain else spark.read).parquet(path)
     _PLACES[kept] = path
     return kept
 

@@ -255,10 +255,3 @@ def test_slices_tell_names_apart_that_begin_alike(spark):
     assert sliced("speed") == [[1.0], [4.0]]
     assert sliced("speed_limit", "crash_count") == [[2.0, 3.0], [5.0, 6.0]]
     assert sliced("crash_encoded") == [[1.0, 0.0], [0.0, 1.0]]
-
-
-def test_vocabulary_is_checked_before_encoding(spark):
-    df = spark.range(50).selectExpr("CAST(id AS string) AS name")
-    X.check_vocabulary(df, ["name"], 50)
-    with pytest.raises(ValueError, match="too many categories"):
-        X.fit_encoding(df, ["name"], 10)
