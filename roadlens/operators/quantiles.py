@@ -9,9 +9,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roadlens.functions.columns import not_nan
+from roadlens.operators.ranking import running_totals
+from roadlens.session import materialize
 
 ACCURACY = 10000
-HISTOGRAM_BUCKETS = 4096
+SKETCH_SIZE = 4096  # its ranks are right within 0.0013 of the rows with a confidence of 0.99
+MARGIN = 0.004
+COLLECTED = 1 << 17  # counts that may go to the driver
 
 
 def _values(df: DataFrame, column: str) -> Column:
@@ -31,92 +35,99 @@ def approx_quantiles(df: DataFrame, columns: Sequence[str], probabilities: Seque
     )
 
 
+def quantile_sketch(value: Column | str) -> Column:
+    """A mergeable sketch (KLL) of a numeric value, as an aggregate. Nulls are left out."""
+    return F.kll_sketch_agg_double(value, SKETCH_SIZE)
+
+
+def brackets(
+    df: DataFrame, sketches: Sequence[bytes], shares: Sequence[float]
+) -> list[tuple[float, float]]:
+    """Per sketch and share of its values, two values that very probably enclose it.
+
+    The sketches come from the driver and go through a local frame; no job runs."""
+    rows = df.sparkSession.createDataFrame([tuple(bytearray(s) for s in sketches)], ", ".join(
+        f"s{i} binary" for i in range(len(sketches))))
+    found = rows.select(*[
+        F.kll_sketch_get_quantile_double(f"s{i}", F.array(
+            F.lit(max(0.0, share - MARGIN)), F.lit(min(1.0, share + MARGIN)))).alias(f"b{i}")
+        for i, share in enumerate(shares)]).first()
+    return [tuple(found[f"b{i}"]) for i in range(len(shares))]
+
+
+def counts_in(df: DataFrame, ranges: Sequence[tuple[Column, float, float]]) -> DataFrame:
+    """(at, v, n): for the range number ``at`` how many values equal ``v``, and with a null
+    ``v`` how many lie below the range. One aggregate for all ranges."""
+    spots = F.array(*[
+        F.struct(F.lit(i).alias("at"), F.when(value >= low, value).alias("v"), (value <= high).alias("near"))
+        for i, (value, low, high) in enumerate(ranges)])
+    near = df.select(F.inline(F.filter(spots, lambda s: s["near"])))
+    return near.groupBy("at", "v").agg(F.count(F.lit(1)).alias("n"))
+
+
+def values_at(counts: DataFrame, ranks: Sequence[tuple[int, int]], bound: int) -> list[tuple[float, int] | None]:
+    """For pairs of range number and rank (from 0) the value that holds the rank and the rows
+    before that value; None where it lies outside the range.
+
+    Up to ``COLLECTED`` counts, as ``bound`` must guarantee, go to the driver; more are summed up
+    by ranges of a distributed sort, of which only the rows asked for return."""
+    if bound <= COLLECTED:
+        by_range: dict[int, list] = {}
+        for row in counts.collect():
+            by_range.setdefault(row["at"], []).append((row["v"] is not None, row["v"] or 0.0, row["n"]))
+        return [_walk(sorted(by_range.get(at, [])), rank) for at, rank in ranks]
+    totals = running_totals(counts, "at", [F.col("v").asc_nulls_first()], "n", "before")
+    wanted = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(at).alias("range"), F.lit(rank).alias("rank"))
+                       for i, (at, rank) in enumerate(ranks)])
+    hit = totals.select("*", F.inline(wanted)).where(
+        (F.col("at") == F.col("range")) & F.col("rank").between(F.col("before"), F.col("before") + F.col("n") - 1))
+    found = {r["i"]: (r["v"], r["before"]) for r in hit.collect()}
+    return [found.get(i) if found.get(i, (None,))[0] is not None else None for i in range(len(ranks))]
+
+
+def _walk(counts: list[tuple[bool, float, int]], rank: int) -> tuple[float, int] | None:
+    before = 0
+    for inside, value, n in counts:
+        if rank < before + n:
+            return (value, before) if inside else None
+        before += n
+    return None
+
+
 def exact_quantiles(
     df: DataFrame, columns: Sequence[str], probabilities: Sequence[float]
 ) -> dict[str, list[float | None]]:
     """Exact interpolated quantiles of the non-null, non-NaN values per column.
 
-    One aggregate counts the infinite values of every column and finds the range of the
-    finite ones. Then each round cuts the ranges around all wanted ranks of all columns
-    into buckets of equal width and counts them in one aggregate of fixed size, until
-    a range holds a single value; so no task and no collect grows with the data."""
-    finite = {c: _finite(df, c) for c in columns}
+    The frame is read twice, whatever the data: one aggregate sketches all columns, which
+    encloses every wanted rank between two values; the other counts the values in between and
+    those below. Should a rank lie outside, which is very rare, the second is done again
+    over all values."""
+    value = {c: _values(df, c) for c in columns}
     stats = df.agg(*[agg for i, c in enumerate(columns) for agg in (
-        F.count(_values(df, c)).alias(f"n{i}"),
-        F.count_if(_values(df, c) == -math.inf).alias(f"under{i}"),
-        F.count_if(_values(df, c) == math.inf).alias(f"over{i}"),
-        F.min(finite[c]).alias(f"lo{i}"), F.max(finite[c]).alias(f"hi{i}"))]).first()
-    found: dict[tuple[str, int], float] = {}
-    open_ranges: dict[tuple[str, int], tuple[float, float, int]] = {}
-    places = {}
-    for i, c in enumerate(columns):
-        n, under = stats[f"n{i}"], stats[f"under{i}"]
-        for p in probabilities if n else ():
-            position = (n - 1) * p
-            places[c, p] = (math.floor(position), math.ceil(position), position)
-            for rank in places[c, p][:2]:
-                if rank < under:
-                    found[c, rank] = -math.inf
-                elif rank >= n - stats[f"over{i}"]:
-                    found[c, rank] = math.inf
-                else:
-                    open_ranges[c, rank] = (stats[f"lo{i}"], stats[f"hi{i}"], rank - under)
-    while open_ranges:
-        for at in [k for k, (low, high, _) in open_ranges.items() if low == high]:
-            found[at] = open_ranges.pop(at)[0]
-        if open_ranges:
-            open_ranges = _narrowed(df, finite, open_ranges)
+        F.count(value[c]).alias(f"n{i}"), quantile_sketch(value[c]).alias(f"s{i}"))]).first()
+    places = {(i, p): (stats[f"n{i}"] - 1) * p for i in range(len(columns)) if stats[f"n{i}"] for p in probabilities}
+    found: dict[tuple[int, int], float] = {}
+    if places:
+        around = brackets(df, [stats[f"s{i}"] for i, _ in places], [p for _, p in places])
+        ranks = [(at, rank) for at, place in enumerate(places.values())
+                 for rank in dict.fromkeys((math.floor(place), math.ceil(place)))]
+        column = [i for i, _ in places]
+        for tries in (around, [(-math.inf, math.inf)] * len(around)):
+            left = [r for r in ranks if (column[r[0]], r[1]) not in found]
+            if left:
+                ranges = [(value[columns[i]], *b) for i, b in zip(column, tries, strict=True)]
+                counts, bound = counts_in(df, ranges), sum(stats[f"n{i}"] for i in column)
+                counts = materialize(counts) if bound > COLLECTED else counts
+                for (at, rank), hit in zip(left, values_at(counts, left, bound), strict=True):
+                    if hit is not None:
+                        found[column[at], rank] = hit[0]
     out: dict[str, list[float | None]] = {}
-    for c in columns:
+    for i, c in enumerate(columns):
         out[c] = [None] * len(probabilities)
         for j, p in enumerate(probabilities):
-            if (c, p) in places:
-                low, high, position = places[c, p]
-                a, b = found[c, low], found[c, high]
-                out[c][j] = a if a == b else a + (b - a) * (position - low)
+            if (i, p) in places:
+                place = places[i, p]
+                a, b = found[i, math.floor(place)], found[i, math.ceil(place)]
+                out[c][j] = a if a == b else a + (b - a) * (place - math.floor(place))
     return out
-
-
-def _finite(df: DataFrame, column: str) -> Column:
-    value = _values(df, column)
-    return F.when(F.abs(value) < math.inf, value)
-
-
-def _bucket(value: Column, low: float, high: float) -> Column:
-    """Bucket of a value in a range. Halves keep the width finite near the double limits; a
-    range too narrow to cut gives its lowest value and the rest."""
-    width = (high / 2 - low / 2) / (HISTOGRAM_BUCKETS / 2)
-    if width < 1e-300 or low + width == low or high - width == high:
-        return (value > low).cast("bigint")
-    bucket = F.floor(value / F.lit(width) - F.lit(low / width)).cast("bigint")
-    return F.least(F.greatest(bucket, F.lit(0)), F.lit(HISTOGRAM_BUCKETS - 1)).cast("bigint")
-
-
-def _narrowed(df: DataFrame, finite: dict[str, Column], ranges: dict) -> dict:
-    """Every range narrowed to the bucket that holds its rank, in one aggregate."""
-    keys = list(ranges)
-    spots = F.array(*[
-        F.struct(F.lit(i).alias("at"), finite[c].alias("v"), _bucket(finite[c], low, high).alias("b"))
-        for i, (c, _) in enumerate(keys) for low, high, _ in [ranges[keys[i]]]])
-    inside = F.filter(spots, lambda s: _within(s, [ranges[k] for k in keys]))
-    rows = (
-        df.select(F.explode(inside).alias("s"))
-        .groupBy("s.at", "s.b").agg(
-            F.count(F.lit(1)).alias("n"), F.min("s.v").alias("lo"), F.max("s.v").alias("hi"))
-        .orderBy("at", "b").collect()
-    )
-    out = {}
-    for i, key in enumerate(keys):
-        rank = ranges[key][2]
-        for row in (r for r in rows if r["at"] == i):
-            if rank < row["n"]:
-                out[key] = (row["lo"], row["hi"], rank)
-                break
-            rank -= row["n"]
-    return out
-
-
-def _within(spot: Column, ranges: list[tuple[float, float, int]]) -> Column:
-    lows = F.array(*[F.lit(low) for low, _, _ in ranges])
-    highs = F.array(*[F.lit(high) for _, high, _ in ranges])
-    return spot["v"].between(F.get(lows, spot["at"]), F.get(highs, spot["at"]))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window as W
+from pyspark.sql import Column, DataFrame, Window as W, WindowSpec
 from pyspark.sql import functions as F
 
 from roadlens.session import materialize
@@ -48,20 +48,33 @@ def dedupe_by_key(df: DataFrame, keys: str | Sequence[str]) -> DataFrame:
     return smallest.select(*keys, "_row.*").select(*df.columns)
 
 
-def row_numbers(df: DataFrame, within: str, order: Sequence[Column], name: str = "rank") -> DataFrame:
-    """``df`` with the row number (from 0) of every row among those of equal ``within``, in
+def running_totals(
+    df: DataFrame, within: str, order: Sequence[Column], amount: str, name: str = "before"
+) -> DataFrame:
+    """``df`` with the sum of ``amount`` over the rows of equal ``within`` that come before, in
     a total order, however many there are.
 
-    Rows are dealt by ranges of the order and numbered inside their range; the ranges' sizes,
+    Rows are dealt by ranges of the order and summed inside their range; the ranges' sums,
     one row per range and value of ``within``, give what lies before. So no task holds more
     than a range. The ranges are written once, as their borders come from a sample."""
     ranged = df.repartitionByRange(F.col(within).asc(), *order)
     placed = materialize(ranged.withColumn("_range", F.spark_partition_id()))
-    earlier = W.partitionBy(within).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
-    sizes = placed.groupBy(within, "_range").agg(F.count(F.lit(1)).alias("_rows")).select(
+    sums = placed.groupBy(within, "_range").agg(F.sum(amount).alias("_sum")).select(
         F.col(within).alias("_within"), F.col("_range").alias("_at"),
-        F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"))
-    inside = F.row_number().over(W.partitionBy(within, "_range").orderBy(*order)) - 1
-    numbered = placed.withColumn("_inside", inside).join(
-        F.broadcast(sizes), F.col(within).eqNullSafe(F.col("_within")) & (F.col("_range") == F.col("_at")))
-    return numbered.select(*df.columns, (F.col("_before") + F.col("_inside")).alias(name))
+        F.sum("_sum").over(_frame(W.partitionBy(within).orderBy("_range"))).alias("_before"))
+    inside = F.sum(amount).over(_frame(W.partitionBy(within, "_range").orderBy(*order)))
+    summed = placed.withColumn("_inside", inside).join(
+        F.broadcast(sums), F.col(within).eqNullSafe(F.col("_within")) & (F.col("_range") == F.col("_at")))
+    before = F.coalesce("_before", F.lit(0)) + F.coalesce("_inside", F.lit(0))
+    return summed.select(*df.columns, before.cast("bigint").alias(name))
+
+
+def _frame(window: WindowSpec) -> WindowSpec:
+    return window.rowsBetween(W.unboundedPreceding, -1)
+
+
+def row_numbers(df: DataFrame, within: str, order: Sequence[Column], name: str = "rank") -> DataFrame:
+    """``df`` with the row number (from 0) of every row among those of equal ``within``, in
+    a total order, by ``running_totals``."""
+    counted = running_totals(df.withColumn("_one", F.lit(1)), within, order, "_one", name)
+    return counted.drop("_one")

@@ -3,14 +3,17 @@ partitioning, task order or re-execution."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from roadlens.functions.columns import hash_number, hash_percent
+from roadlens.operators.quantiles import brackets, counts_in, quantile_sketch, values_at
+from roadlens.session import materialize
 
-BUCKET_BITS = 16
+ROW_SHIFT = 11  # of a row's 32-bit hash 21 bits are part of its place
 REPEAT_STEP = 10_000
 
 
@@ -44,57 +47,59 @@ def repeat_rows(df: DataFrame, times: str) -> DataFrame:
     )
 
 
-def _cut(
-    rows: DataFrame, bucket: Column, size: Column | None = None
-) -> tuple[DataFrame, DataFrame]:
-    """Rows of the buckets that are taken whole, and those of the bucket where the limit falls
-    with what is still ``_wanted`` of them. There are 65,536 buckets at most. Without
-    ``size`` the rows say themselves how many are wanted."""
-    rows = rows.withColumn("_bucket", bucket)
-    limits = [] if size is not None else [F.max("_wanted").alias("_limit")]
-    counts = rows.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_rows"), *limits)
-    limit = F.col("_limit") if size is None else size
-    running = F.sum("_rows").over(W.orderBy("_bucket"))
-    plan = counts.select(
-        "_bucket", "_rows", (limit - (running - F.col("_rows"))).alias("_wanted")
-    ).where("_wanted > 0")
-    placed = rows.drop("_wanted").join(F.broadcast(plan), "_bucket").drop("_bucket")
-    return placed.where("_rows <= _wanted"), placed.where("_rows > _wanted").drop("_rows")
+def _place(seed: int, keys: Sequence[str], columns: Sequence[str]) -> Column:
+    """A row's place in hash order, a whole number of 53 bits: the keys' hash, then the
+    leading bits of the row's, so that a key with many rows has many places."""
+    row = F.shiftright(hash_number(seed, *columns), ROW_SHIFT)
+    return (F.shiftleft(hash_number(seed, *keys), 32 - ROW_SHIFT) + row).cast("double")
 
 
 def take_by_hash(
-    df: DataFrame, size: Column, keys: Sequence[str], seed: int = 42
+    df: DataFrame, size: Column, keys: Sequence[str], seed: int = 42, label: str | None = None
 ) -> DataFrame:
     """The first ``size`` rows in order of the hash of ``keys``, then of the hash of the
-    whole row and its values. Keys may repeat; equal rows are copies.
+    whole row and its values. Keys may repeat; equal rows are copies. With ``label`` only
+    its rows of class 0 are taken, and ``size`` may be an aggregate over all rows.
 
-    Counts per hash bucket show which buckets are taken whole; the one where the limit
-    falls is counted again by the rest of the keys' hash and then by the row's, so that a
-    key with many rows is spread as well. Only the last bucket is ranked, after its
+    The frame is read twice. One aggregate counts the rows and sketches their places in hash
+    order, which encloses the last place taken between two; what lies up to the second,
+    little more than the sample, is written, and the rest happens there: counts in the
+    bracket give the last place, and only rows of that very place are ranked, after their
     copies have been counted together."""
-    low = F.lit((1 << 32 - BUCKET_BITS) - 1)
-    hashed = df.withColumns({
-        "_key_hash": hash_number(seed, *keys), "_row_hash": hash_number(seed, *df.columns)})
-    high = F.shiftright("_key_hash", 32 - BUCKET_BITS)
-    first, cut = _cut(hashed, high, size)
-    second, cut = _cut(cut, F.col("_key_hash").bitwiseAND(low))
-    third, cut = _cut(cut, F.shiftright("_row_hash", 32 - BUCKET_BITS))
+    hashed = df.withColumn("_place", _place(seed, keys, df.columns))
+    taken = F.lit(True) if label is None else F.col(label) == 0
+    place = F.when(taken, F.col("_place"))
+    wanted = size if label is not None else F.max(size)
+    stats = hashed.agg(
+        F.count(place).alias("n"), wanted.cast("bigint").alias("size"), quantile_sketch(place).alias("s")).first()
+    n, limit = stats["n"], stats["size"] or 0
+    if not n or limit <= 0:
+        return df.limit(0)
+    rows = hashed.where(taken)
+    if limit >= n:
+        return rows.drop("_place")
+    (low, high), = brackets(df, [stats["s"]], [(limit - 1) / n])
+    kept = materialize(rows.where(F.col("_place") <= high))
+    counts = counts_in(kept, [(F.col("_place"), low, high)])
+    hit, = values_at(counts, [(0, limit - 1)], n)
+    if hit is None:  # very rare: the sketch was further off than its margin
+        kept, counts = rows, counts_in(rows, [(F.col("_place"), -math.inf, math.inf)])
+        hit, = values_at(counts, [(0, limit - 1)], n)
+    last, before = hit
     order = W.orderBy("_row_hash", *df.columns).rowsBetween(W.unboundedPreceding, W.currentRow)
+    ties = kept.where(F.col("_place") == last).drop("_place").withColumn("_row_hash", hash_number(seed, *df.columns))
     copies = (
-        cut.groupBy("_row_hash", "_wanted", *df.columns).agg(F.count(F.lit(1)).alias("_copies"))
+        ties.groupBy("_row_hash", *df.columns).agg(F.count(F.lit(1)).alias("_copies"))
         .withColumn("_before", F.sum("_copies").over(order) - F.col("_copies"))
-        .withColumn("_taken", F.least("_copies", F.col("_wanted") - F.col("_before")))
+        .withColumn("_taken", F.least("_copies", F.lit(limit - before) - F.col("_before")))
     )
-    out = repeat_rows(copies.where("_taken > 0"), "_taken").select(*df.columns)
-    for part in (first, second, third):
-        out = out.unionByName(part.select(*df.columns))
-    return out
+    some = repeat_rows(copies.where("_taken > 0"), "_taken").select(*df.columns)
+    return kept.where(F.col("_place") < last).select(*df.columns).unionByName(some)
 
 
 def limit_ratio(
     df: DataFrame, label: str, keys: Sequence[str], ratio: int, seed: int = 42
 ) -> DataFrame:
     """Rows of class 0, at most ``ratio`` times the number of rows of class 1."""
-    positives = df.where(F.col(label) == 1).agg(F.count(F.lit(1)).alias("n"))
-    negatives = df.where(F.col(label) == 0)
-    return take_by_hash(negatives, positives.scalar() * F.lit(ratio), keys, seed)
+    positives = F.count_if(F.col(label) == 1)
+    return take_by_hash(df, positives * F.lit(ratio), keys, seed, label)

@@ -12,7 +12,7 @@ from conftest import rows
 from roadlens.operators import joins as J
 from roadlens.operators.quantiles import exact_quantiles
 from roadlens.operators.sampling import (
-    repeat_rows, split_train_test, take_by_hash, with_split,
+    limit_ratio, repeat_rows, split_train_test, take_by_hash, with_split,
 )
 
 
@@ -106,12 +106,37 @@ def test_take_by_hash_is_exact(spark, size):
     assert sorted(got) == sorted(again)
 
 
-def test_take_by_hash_with_crowded_buckets(spark, monkeypatch):
-    monkeypatch.setattr("roadlens.operators.sampling.BUCKET_BITS", 2)
+@pytest.mark.parametrize("narrow", [{"MARGIN": 0.0}, {"COLLECTED": 0}, {"MARGIN": 0.0, "SKETCH_SIZE": 8}])
+def test_take_by_hash_does_not_depend_on_the_sketch(spark, monkeypatch, narrow):
+    """Neither a bracket that is too narrow nor counts that stay distributed change the sample."""
     df = spark.range(1000).withColumnRenamed("id", "arc")
-    narrow = {r["arc"] for r in take_by_hash(df, F.lit(333), ["arc"]).collect()}
-    monkeypatch.undo()
-    assert narrow == {r["arc"] for r in take_by_hash(df, F.lit(333), ["arc"]).collect()}
+    plain = {r["arc"] for r in take_by_hash(df, F.lit(333), ["arc"]).collect()}
+    for name, value in narrow.items():
+        monkeypatch.setattr(f"roadlens.operators.quantiles.{name}", value)
+    assert plain == {r["arc"] for r in take_by_hash(df, F.lit(333), ["arc"]).collect()} and len(plain) == 333
+
+
+def test_sample_is_the_head_of_the_hash_order(spark):
+    from roadlens.functions.columns import hash_number
+    df = spark.range(3000).select((F.col("id") % 40).alias("arc"), F.col("id").alias("v"))
+    got = {r["v"] for r in take_by_hash(df, F.lit(700), ["arc"]).collect()}
+    ordered = df.orderBy(hash_number(42, "arc"), hash_number(42, "arc", "v"), "arc", "v")
+    assert got == {r["v"] for r in ordered.limit(700).collect()}
+
+
+def test_limit_ratio_reads_its_rows_twice(spark):
+    """One aggregate, and one pass that writes little more than the sample."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    df = spark.range(20_000).select("id", F.when(F.col("id") % 100 == 0, 1).otherwise(0).alias("crash"))
+    watched = df.mapInArrow(counted, df.schema)
+    assert limit_ratio(watched, "crash", ["id"], 4).count() == 800
+    assert seen.value == 2 * 20_000
 
 
 @pytest.mark.parametrize("size", [400, 25_000, 60_000])
@@ -148,7 +173,10 @@ def test_split_does_not_depend_on_partitioning(spark):
 
 
 @pytest.mark.parametrize("kind", ["uniform", "lumpy", "wide", "equal", "infinite", "neighbours"])
-def test_exact_quantiles_by_histogram(spark, kind):
+@pytest.mark.parametrize("narrow", [{}, {"MARGIN": 0.0, "SKETCH_SIZE": 8}, {"COLLECTED": 0}])
+def test_exact_quantiles(spark, monkeypatch, kind, narrow):
+    for name, changed in narrow.items():
+        monkeypatch.setattr(f"roadlens.operators.quantiles.{name}", changed)
     rng = np.random.default_rng(7)
     values = {
         "uniform": rng.random(4000),
