@@ -1,21 +1,25 @@
 """Least squares from sufficient statistics.
 
-Rows enter a fit through their number, means and centred cross products only, which one
-aggregate gives for every group at once. They merge, so later parts of a table can be added
+Rows enter a fit through their number, means and cross products about the means only, which
+one aggregate gives for every group at once. They merge, so later parts of a table can be added
 to statistics kept from earlier ones."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 from itertools import combinations_with_replacement
-from operator import add
+from operator import add, and_
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from roadlens.functions.columns import is_known
+
+HEAD_ROWS = 1000
+
 
 @dataclass(frozen=True)
 class CrossProducts:
@@ -39,30 +43,43 @@ class CrossProducts:
             self.products + other.products + np.outer(apart, apart) * (self.n * other.n / n))
 
 
+def head_means(df: DataFrame, columns: Sequence[str], rows: int = HEAD_ROWS) -> dict[str, float]:
+    """Means of the first complete rows that come, 0 where there are none: somewhere in the
+    range of the data, which is all that ``cross_products`` needs."""
+    found = _complete(df.select(*columns), columns).limit(rows).agg(*[F.avg(c).alias(c) for c in columns]).first()
+    return {c: found[c] or 0.0 for c in columns}
+
+
+def _complete(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    return df.where(reduce(and_, [is_known(F.col(c).cast("double")) for c in columns]))
+
+
 def cross_products(
-    df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()
+    df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), near: Mapping[str, float] | None = None
 ) -> dict[tuple, CrossProducts]:
-    """The statistics of every group, from one aggregate; rows with a missing value in any
-    of the columns are left out. The number of groups is the caller's to bound."""
+    """The statistics of every group, from one aggregate of plain sums; rows with a missing
+    value in any of the columns are left out. The number of groups is the caller's to bound.
+
+    Values are taken from a point ``near`` the data (``head_means`` by default), as sums of
+    squares far from their mean lose digits."""
     names = tuple(columns)
-    values = {c: F.col(c).cast("double") for c in names}
-    complete = df.where(reduce(lambda a, b: a & b, [v.isNotNull() & ~F.isnan(v) for v in values.values()]))
+    near = head_means(df, names) if near is None else near
+    points = [float(near.get(c, 0.0)) for c in names]
+    apart = [F.col(c).cast("double") - F.lit(x) for c, x in zip(names, points, strict=True)]
     pairs = list(combinations_with_replacement(range(len(names)), 2))
-    found = complete.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.array(*[F.avg(v) for v in values.values()]).alias("_means"),
-        F.array(*[F.covar_pop(values[names[i]], values[names[j]]) for i, j in pairs]).alias("_products"),
-    ).collect()
+    found = _complete(df, names).groupBy(*by).agg(
+        F.count(F.lit(1)).alias("_n"), *[F.sum(x).alias(f"_s{i}") for i, x in enumerate(apart)],
+        *[F.sum(apart[i] * apart[j]).alias(f"_p{i}_{j}") for i, j in pairs]).collect()
     out = {}
     for row in found:
-        products = np.zeros((len(names), len(names)))
-        if row["_n"]:
-            for (i, j), value in zip(pairs, row["_products"], strict=True):
-                products[i, j] = products[j, i] = value * row["_n"]
-            means = np.array(row["_means"])
-        else:
-            means = np.zeros(len(names))
-        out[tuple(row[b] for b in by)] = CrossProducts(names, row["_n"], means, products)
+        n = row["_n"]
+        means, products = np.zeros(len(names)), np.zeros((len(names), len(names)))
+        if n:
+            means = np.array([row[f"_s{i}"] for i in range(len(names))]) / n
+            for i, j in pairs:
+                products[i, j] = products[j, i] = row[f"_p{i}_{j}"] - n * means[i] * means[j]
+            means = means + points
+        out[tuple(row[b] for b in by)] = CrossProducts(names, n, means, products)
     return out
 
 

@@ -40,19 +40,17 @@ def quantile_sketch(value: Column | str) -> Column:
     return F.kll_sketch_agg_double(value, SKETCH_SIZE)
 
 
-def brackets(
-    df: DataFrame, sketches: Sequence[bytes], shares: Sequence[float]
-) -> list[tuple[float, float]]:
-    """Per sketch and share of its values, two values that very probably enclose it.
+def bracket(sketch: Column, share: float) -> Column:
+    """Two values that very probably enclose the value at a share of the sketched ones, as an
+    array; null for a sketch of nothing."""
+    around = [max(0.0, share - MARGIN), min(1.0, share + MARGIN)]
+    return F.when(sketch.isNotNull(), F.kll_sketch_get_quantile_double(sketch, F.array(*map(F.lit, around))))
 
-    The sketches come from the driver and go through a local frame; no job runs."""
-    rows = df.sparkSession.createDataFrame([tuple(bytearray(s) for s in sketches)], ", ".join(
-        f"s{i} binary" for i in range(len(sketches))))
-    found = rows.select(*[
-        F.kll_sketch_get_quantile_double(f"s{i}", F.array(
-            F.lit(max(0.0, share - MARGIN)), F.lit(min(1.0, share + MARGIN)))).alias(f"b{i}")
-        for i, share in enumerate(shares)]).first()
-    return [tuple(found[f"b{i}"]) for i in range(len(shares))]
+
+def bracket_of(df: DataFrame, sketch: bytes, share: float) -> tuple[float, float]:
+    """The bracket of a sketch that the driver holds, by a local frame; no job reads ``df``."""
+    local = df.sparkSession.createDataFrame([(bytearray(sketch),)], "s binary")
+    return tuple(local.select(bracket(F.col("s"), share)).first()[0])
 
 
 def counts_in(df: DataFrame, ranges: Sequence[tuple[Column, float, float]]) -> DataFrame:
@@ -104,12 +102,14 @@ def exact_quantiles(
     those below. Should a rank lie outside, which is very rare, the second is done again
     over all values."""
     value = {c: _values(df, c) for c in columns}
-    stats = df.agg(*[agg for i, c in enumerate(columns) for agg in (
-        F.count(value[c]).alias(f"n{i}"), quantile_sketch(value[c]).alias(f"s{i}"))]).first()
+    sketched = df.agg(*[agg for i, c in enumerate(columns) for agg in (
+        F.count(value[c]).alias(f"n{i}"), quantile_sketch(value[c]).alias(f"s{i}"))])
+    stats = sketched.select(*[x for i in range(len(columns)) for x in (
+        f"n{i}", F.array(*[bracket(F.col(f"s{i}"), p) for p in probabilities]).alias(f"b{i}"))]).first()
     places = {(i, p): (stats[f"n{i}"] - 1) * p for i in range(len(columns)) if stats[f"n{i}"] for p in probabilities}
     found: dict[tuple[int, int], float] = {}
     if places:
-        around = brackets(df, [stats[f"s{i}"] for i, _ in places], [p for _, p in places])
+        around = [tuple(stats[f"b{i}"][probabilities.index(p)]) for i, p in places]
         ranks = [(at, rank) for at, place in enumerate(places.values())
                  for rank in dict.fromkeys((math.floor(place), math.ceil(place)))]
         column = [i for i, _ in places]

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from roadlens.functions.columns import hash_number, hash_percent
-from roadlens.operators.quantiles import brackets, counts_in, quantile_sketch, values_at
+from roadlens.operators.quantiles import bracket_of, counts_in, quantile_sketch, values_at
 from roadlens.session import materialize
 
 ROW_SHIFT = 11  # of a row's 32-bit hash 21 bits are part of its place
@@ -55,11 +55,13 @@ def _place(seed: int, keys: Sequence[str], columns: Sequence[str]) -> Column:
 
 
 def take_by_hash(
-    df: DataFrame, size: Column, keys: Sequence[str], seed: int = 42, label: str | None = None
+    df: DataFrame, size: Column, keys: Sequence[str], seed: int = 42,
+    taken: Column | None = None, beside: Column | None = None,
 ) -> DataFrame:
     """The first ``size`` rows in order of the hash of ``keys``, then of the hash of the
-    whole row and its values. Keys may repeat; equal rows are copies. With ``label`` only
-    its rows of class 0 are taken, and ``size`` may be an aggregate over all rows.
+    whole row and its values. Keys may repeat; equal rows are copies. With ``taken`` only
+    rows that meet this condition are counted and taken, and ``size`` is an aggregate over
+    all rows; rows that meet the condition ``beside`` come as well.
 
     The frame is read twice. One aggregate counts the rows and sketches their places in hash
     order, which encloses the last place taken between two; what lies up to the second,
@@ -67,39 +69,39 @@ def take_by_hash(
     bracket give the last place, and only rows of that very place are ranked, after their
     copies have been counted together."""
     hashed = df.withColumn("_place", _place(seed, keys, df.columns))
-    taken = F.lit(True) if label is None else F.col(label) == 0
+    wanted = F.max(size) if taken is None else size
+    taken, beside = (F.lit(True) if taken is None else taken), (F.lit(False) if beside is None else beside)
     place = F.when(taken, F.col("_place"))
-    wanted = size if label is not None else F.max(size)
     stats = hashed.agg(
         F.count(place).alias("n"), wanted.cast("bigint").alias("size"), quantile_sketch(place).alias("s")).first()
     n, limit = stats["n"], stats["size"] or 0
     if not n or limit <= 0:
-        return df.limit(0)
-    rows = hashed.where(taken)
+        return df.where(beside)
     if limit >= n:
-        return rows.drop("_place")
-    (low, high), = brackets(df, [stats["s"]], [(limit - 1) / n])
-    kept = materialize(rows.where(F.col("_place") <= high))
-    counts = counts_in(kept, [(F.col("_place"), low, high)])
-    hit, = values_at(counts, [(0, limit - 1)], n)
+        return df.where(taken | beside)
+    low, high = bracket_of(df, stats["s"], (limit - 1) / n)
+    kept = materialize(hashed.where((place <= high) | beside))
+    hit, = values_at(counts_in(kept, [(place, low, high)]), [(0, limit - 1)], n)
     if hit is None:  # very rare: the sketch was further off than its margin
-        kept, counts = rows, counts_in(rows, [(F.col("_place"), -math.inf, math.inf)])
-        hit, = values_at(counts, [(0, limit - 1)], n)
+        kept = hashed.where(taken | beside)
+        hit, = values_at(counts_in(kept, [(place, -math.inf, math.inf)]), [(0, limit - 1)], n)
     last, before = hit
     order = W.orderBy("_row_hash", *df.columns).rowsBetween(W.unboundedPreceding, W.currentRow)
-    ties = kept.where(F.col("_place") == last).drop("_place").withColumn("_row_hash", hash_number(seed, *df.columns))
+    ties = kept.where(place == last).drop("_place").withColumn("_row_hash", hash_number(seed, *df.columns))
     copies = (
         ties.groupBy("_row_hash", *df.columns).agg(F.count(F.lit(1)).alias("_copies"))
         .withColumn("_before", F.sum("_copies").over(order) - F.col("_copies"))
         .withColumn("_taken", F.least("_copies", F.lit(limit - before) - F.col("_before")))
     )
     some = repeat_rows(copies.where("_taken > 0"), "_taken").select(*df.columns)
-    return kept.where(F.col("_place") < last).select(*df.columns).unionByName(some)
+    return kept.where((place < last) | beside).select(*df.columns).unionByName(some)
 
 
 def limit_ratio(
-    df: DataFrame, label: str, keys: Sequence[str], ratio: int, seed: int = 42
+    df: DataFrame, label: str, keys: Sequence[str], ratio: int, seed: int = 42, positives: bool = False
 ) -> DataFrame:
-    """Rows of class 0, at most ``ratio`` times the number of rows of class 1."""
-    positives = F.count_if(F.col(label) == 1)
-    return take_by_hash(df, positives * F.lit(ratio), keys, seed, label)
+    """Rows of class 0, at most ``ratio`` times the number of rows of class 1, and those as
+    well if asked for ``positives``."""
+    positive = F.col(label) == 1
+    return take_by_hash(df, F.count_if(positive) * F.lit(ratio), keys, seed, F.col(label) == 0,
+                        positive if positives else None)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from roadlens.functions.columns import bool_to_double, positive_flag
 from roadlens.models.features import MAX_CATEGORIES, assembler, large_vocabularies
 from roadlens.models.learners import ZeroInflatedPair, binomial, poisson
-from roadlens.models.least_squares import cross_products, solve
+from roadlens.models.least_squares import cross_products, head_means, solve
 from roadlens.models.metrics import (
     bernoulli_statistics, glm_report, glm_statistics, named_values, regression_metrics,
 )
@@ -44,7 +44,7 @@ def crash_count_regression(
     """(name, value): coefficients, intercept and test metrics of a linear model of the
     crash count of an event's arc.
 
-    The events are read twice and never written: once for the cross products of the training
+    The events are read twice, beside a look at their first rows, and never written: once for the cross products of the training
     rows, from which the driver solves the normal equations, and once for the errors of
     the test rows. The joined rows go straight into an aggregate of one row, so a plain join
     serves: adaptive execution splits the partition of a busy arc."""
@@ -57,7 +57,8 @@ def crash_count_regression(
     counted = join_left(typed.na.drop(subset=columns), key_counts(crashes, key, "count"), key).na.fill(0, ["count"])
     marked = with_split(counted, split_keys, 80, seed)
     train = marked.where("split = 'train'").select(*columns, "count")
-    fit = solve(cross_products(train, [*columns, "count"])[()], "count")
+    near = head_means(typed, columns)
+    fit = solve(cross_products(train, [*columns, "count"], near=near)[()], "count")
     test = marked.where("split = 'test'").select("count", fit.prediction().alias("prediction"))
     metrics = regression_metrics(test, "count")
     measured = metrics.unpivot([], ["rmse", "mse", "mae", "r2"], "name", "value")

@@ -91,8 +91,7 @@ def balanced_sample(
 ) -> DataFrame:
     """All rows of class 1 and at most ``ratio`` times as many of class 0, chosen by the
     hash of their keys. Rows without a label are left out."""
-    positives = df.where(F.col(label) == 1)
-    return positives.unionByName(limit_ratio(df, label, keys, ratio, seed))
+    return limit_ratio(df, label, keys, ratio, seed, positives=True)
 
 
 def prepared(sample: DataFrame) -> DataFrame:
