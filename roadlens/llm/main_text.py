@@ -9,7 +9,15 @@ cheapest cut between content and boilerplate.
 The classifier is trained on the pages themselves: blocks in containers whose role is
 stated (article, navigation, footer, ...) label the shapes of blocks (length, links,
 punctuation, tag). Shapes fall into few classes, so training needs their counts only, over
-all pages. Stated roles enter the costs as well, strongly.
+all pages. Stated roles enter the costs as well. The innermost statement counts: an article
+in a form or in a wrapper whose class names a sidebar is content, a comment section in an
+article is not. Single words within longer class names, and forms, only add a small cost that
+classifier and edges can outvote. Inline elements stay in their paragraph.
+
+Large open graphs are reduced before the flow: a block with at most two open neighbours is
+minimised out, which leaves an equal cut problem on the others. Blocks of a page and their
+edges (neighbours, and blocks under one parent) nest like brackets, so they reduce wholly and
+time grows with the page.
 
 A null or empty page has the empty text. Character references are decoded, white space in a
 block becomes one space, blocks are joined by one newline; nothing else is dropped or cut.
@@ -19,6 +27,7 @@ from __future__ import annotations
 
 from collections import Counter, deque
 from collections.abc import Iterator
+from dataclasses import dataclass
 from html.parser import HTMLParser
 
 import numpy as np
@@ -29,100 +38,174 @@ from pyspark.sql import functions as F
 from roadlens.llm.storage import let_workers_import
 
 # Fixed lists: elements by kind, words in class names and ids, roles.
-SKIPPED = frozenset("script style noscript template svg math head title iframe object canvas audio video".split())
+SKIPPED = frozenset("script style template head title select textarea option datalist".split())
+FALLBACK = frozenset("noscript iframe object canvas audio video svg".split())  # content only inside an article
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer "
     "form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody td tfoot th "
     "thead tr ul".split())
+LINES = frozenset("p li dd dt td th h1 h2 h3 h4 h5 h6 figcaption blockquote pre summary".split())
+CONTROLS = frozenset("button label".split())  # of their own only where no line of text holds them
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-AGAINST_TAGS = frozenset("nav footer aside form menu button select textarea dialog label".split())
+AGAINST_TAGS = frozenset("nav footer aside menu dialog".split())
 AGAINST_WORDS = frozenset(
     "nav navbar navigation menu menubar breadcrumb breadcrumbs header masthead topbar footer sidebar side aside "
-    "rail widget widgets related recommended share sharing social ad ads adv advert adverts advertisement "
+    "rail widget widgets share sharing social ad ads adv advert adverts advertisement "
     "advertising banner promo sponsor sponsored cookie cookies consent gdpr notice notices alert newsletter "
-    "subscribe subscription popup modal overlay login signin signup search searchbox comment comments reply "
-    "replies respond disqus pagination pager skip hidden".split())
+    "subscribe subscription popup modal overlay login signin signup search searchbox "
+    "pagination pager skip hidden".split())
+OTHERS_WORDS = frozenset("comment comments reply replies respond disqus related recommended".split())
 AGAINST_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu "
-                          "menubar form toolbar".split())
-CLOSES_P = BLOCKS
+                          "menubar toolbar".split())
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"},
             "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 BORDERS = frozenset("ul ol dl table tbody thead tfoot body html article section div nav aside".split())
 
-STATED_FOR, STATED_AGAINST, SMOOTH = 6.0, -8.0, 1.0
+# Costs of statements: an article; other people's words and page furniture; a container named
+# as such; a word within a longer name, or a form (at most so much together); a first heading.
+STATED_FOR, STATED_AGAINST, NAMED, HINT, MOST_HINTS, TITLE = 6.0, -8.0, -5.0, -1.0, -3.0, 3.0
+SMOOTH = 1.0
+LARGE = 512  # open blocks above which a graph is reduced before the flow
 LENGTHS = (0, 15, 40, 80, 160, 320)
 LINKS = (0.0, 0.2, 0.5)
 TAGS = ("p", "li", "heading", "cell", "other")
 
 
+@dataclass(frozen=True)
+class Block:
+    """A block of a page: text, share of linked characters, tag, number of open block elements,
+    how many of them it shares with the block before, its parent's number, stated cost."""
+
+    text: str
+    links: float
+    tag: str
+    depth: int
+    shared: int
+    parent: int
+    cost: float
+
+    @property
+    def role(self) -> int:
+        return 1 if self.cost >= STATED_FOR + MOST_HINTS else -1 if self.cost <= NAMED else 0
+
+
+class _Open:
+    """An open element and what it hands down: block elements on the path, their numbers, the
+    innermost block's tag and the stated cost."""
+
+    __slots__ = ("tag", "block", "depth", "number", "parent", "inner", "cost", "skips", "apart")
+
+    def __init__(self, tag, block, depth, number, parent, inner, cost, skips, apart):
+        self.tag, self.block, self.depth, self.number, self.parent = tag, block, depth, number, parent
+        self.inner, self.cost, self.skips, self.apart = inner, cost, skips, apart
+
+
 class _Page(HTMLParser):
-    """Blocks of a page: text, share of linked characters, tag, DOM path, stated role."""
+    """The blocks of a page."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, int, int]] = []  # tag, number of the element, stated role
-        self.blocks: list[tuple[str, float, str, tuple[int, ...], int]] = []
+        self.root = _Open("body", False, 0, 0, 0, "body", 0.0, False, False)
+        self.stack: list[_Open] = []
+        self.count: Counter = Counter()  # open elements by tag
+        self.lines: list[int] = []  # places of open p elements
+        self.borders: list[int] = []
+        self.blocks: list[Block] = []
         self.words: list[str] = []
-        self.linked = self.elements = self.skipping = self.in_links = 0
+        self.linked = self.elements = self.skipping = self.in_links = self.low = self.titles = 0
+
+    @property
+    def top(self) -> _Open:
+        return self.stack[-1] if self.stack else self.root
 
     def _flush(self) -> None:
         text = " ".join("".join(self.words).split())
         if text:
-            roles = [r for _, _, r in self.stack]
-            role = -1 if -1 in roles else 1 if 1 in roles else 0
-            tag = next((t for t, _, _ in reversed(self.stack) if t in BLOCKS), "body")
-            path = tuple(n for t, n, _ in self.stack if t in BLOCKS)
-            self.blocks.append((text, min(1.0, self.linked / len(text)), tag, path, role))
+            top = self.top
+            cost = top.cost
+            if top.inner == "h1" and cost > NAMED and not self.titles:
+                cost, self.titles = cost + TITLE, 1
+            self.blocks.append(Block(text, min(1.0, self.linked / len(text)), top.inner, top.depth,
+                                     min(self.low, top.depth), top.parent, cost))
+            self.low = top.depth
         self.words, self.linked = [], 0
 
     def _pop(self, to: int) -> None:
-        for tag, _, _ in self.stack[to:]:
-            self.skipping -= tag in SKIPPED
-            self.in_links -= tag == "a"
+        for element in self.stack[to:]:
+            self.count[element.tag] -= 1
+            self.skipping -= element.skips
+            self.in_links -= element.tag == "a"
         del self.stack[to:]
+        for places in (self.lines, self.borders):
+            while places and places[-1] >= to:
+                places.pop()
+        self.low = min(self.low, self.top.depth)
 
-    @staticmethod
-    def _role(tag: str, attributes) -> int:
+    def _stated(self, tag: str, attributes, block: bool) -> tuple[float, bool]:
+        """The cost handed down by an element, and whether it is hidden."""
         of = {k: (v or "").lower() for k, v in attributes}
-        if tag in AGAINST_TAGS or of.get("role") in AGAINST_ROLES or "hidden" in of:
-            return -1
-        if of.get("aria-hidden") == "true" or "display:none" in of.get("style", "").replace(" ", ""):
-            return -1
-        words = set((of.get("class", "") + " " + of.get("id", "")).replace("-", " ").replace("_", " ").split())
+        cost = self.top.cost
+        hidden = ("hidden" in of or of.get("aria-hidden") == "true"
+                  or "display:none" in of.get("style", "").replace(" ", ""))
+        if tag in FALLBACK:
+            return (cost if cost > 0 else min(cost, NAMED)), hidden
+        if not block:
+            return cost, hidden
+        if hidden or tag in AGAINST_TAGS or of.get("role") in AGAINST_ROLES:
+            return STATED_AGAINST, False
+        if tag == "header":  # the heading of an article is a part of it
+            return (cost if cost > 0 else STATED_AGAINST), False
+        names = (of.get("class", "") + " " + of.get("id", "")).split()
+        words = set(" ".join(names).replace("-", " ").replace("_", " ").split())
+        whole = tag not in ("html", "body")
+        if whole and (words & OTHERS_WORDS or tag in ("article", "main") and words & {"ad", "ads"}):
+            return STATED_AGAINST, False
         if tag in ("article", "main") or of.get("role") == "main":
-            return -1 if words & {"comment", "comments", "reply", "ad", "ads", "related"} else 1
-        if tag not in ("html", "body") and words & AGAINST_WORDS:
-            return -1
-        return 0
+            return (STATED_FOR if cost > STATED_AGAINST else cost), False
+        if cost <= NAMED:
+            return cost, False
+        if whole and AGAINST_WORDS.intersection(names):
+            return NAMED, False
+        if whole and words & AGAINST_WORDS or tag == "form":
+            least = (STATED_FOR if cost > 0 else 0.0) + MOST_HINTS
+            return max(least, cost + HINT), False
+        return cost, False
 
     def handle_starttag(self, tag, attributes) -> None:
-        if tag in BLOCKS:
+        block = tag in BLOCKS
+        if block:
             self._flush()
-            names = [t for t, _, _ in self.stack]
-            if tag in CLOSES_P and "p" in names:
-                at = len(names) - 1 - names[::-1].index("p")
-                if not any(t in BORDERS for t in names[at + 1:]):
-                    self._pop(at)
+            if self.lines and not (self.borders and self.borders[-1] > self.lines[-1]):
+                self._pop(self.lines[-1])
             closes = SIBLINGS.get(tag)
-            if closes:
+            if closes and any(self.count[t] for t in closes):
                 for at in range(len(self.stack) - 1, -1, -1):
-                    if self.stack[at][0] in closes:
+                    if self.stack[at].tag in closes:
                         self._pop(at)
                         break
-                    if self.stack[at][0] in BORDERS:
+                    if self.stack[at].tag in BORDERS:
                         break
         if tag == "br":
             self.words.append(" ")
         if tag in VOID:
             return
-        self.elements += 1
-        role = self._role(tag, attributes)
-        if tag == "header":  # the heading of an article is a part of it
-            role = 0 if any(r == 1 for _, _, r in self.stack) else -1
-        if role < 0 and tag not in BLOCKS:
+        top = self.top
+        cost, hidden = self._stated(tag, attributes, block)
+        apart = tag in CONTROLS and top.inner not in LINES or tag in FALLBACK and cost <= NAMED
+        if apart:
             self._flush()
-        self.stack.append((tag, self.elements, role))
-        self.skipping += tag in SKIPPED
+            cost = min(cost, NAMED)
+        self.elements += 1
+        skips = tag in SKIPPED or hidden
+        self.stack.append(_Open(
+            tag, block, top.depth + block, self.elements if block else top.number,
+            top.number if block else top.parent, tag if block else top.inner, cost, skips, apart))
+        if block and tag == "p":
+            self.lines.append(len(self.stack) - 1)
+        if tag in BORDERS:
+            self.borders.append(len(self.stack) - 1)
+        self.count[tag] += 1
+        self.skipping += skips
         self.in_links += tag == "a"
 
     def handle_startendtag(self, tag, attributes) -> None:
@@ -131,13 +214,17 @@ class _Page(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag) -> None:
+        if not self.count[tag]:
+            return
         for at in range(len(self.stack) - 1, -1, -1):
-            if self.stack[at][0] == tag:
-                if any(t in BLOCKS for t, _, _ in self.stack[at:]) or self.stack[at][2] < 0:
+            element = self.stack[at]
+            if element.tag == tag:
+                if self.stack[-1].depth > (self.stack[at - 1].depth if at else 0) or any(
+                        x.apart for x in self.stack[at:]):
                     self._flush()
                 self._pop(at)
                 return
-            if tag not in BLOCKS and self.stack[at][0] in BLOCKS:
+            if tag not in BLOCKS and element.block:
                 return  # an inline end tag does not leave its block
 
     def handle_data(self, data) -> None:
@@ -190,29 +277,67 @@ def train(counts: list[tuple[tuple, int, int]]) -> dict[tuple, float]:
     return {s: float(np.clip(np.dot(_vector(s), weights), -4, 4)) for s in shapes}
 
 
-def edges(paths: list[tuple[int, ...]], roles: list[int]) -> dict[tuple[int, int], float]:
+def edges(found: list[Block]) -> dict[tuple[int, int], float]:
     """Smoothness between neighbours and between a block and the one before it under its parent.
     It is weak across the border of a container with a stated role."""
     out: dict[tuple[int, int], float] = {}
     under: dict[int, int] = {}
-    for i, path in enumerate(paths):
+    for i, block in enumerate(found):
         if i:
-            before = paths[i - 1]
-            shared = 0
-            for a, b in zip(before, path, strict=False):
-                if a != b:
-                    break
-                shared += 1
-            near = 0.2 + 0.8 * shared / max(len(before), len(path), 1)
-            out[i - 1, i] = SMOOTH * near * (1.0 if roles[i] == roles[i - 1] else 0.2)
-        parent = path[-2] if len(path) > 1 else 0
-        if parent in under and under[parent] != i - 1:
-            same = roles[i] == roles[under[parent]]
-            out[under[parent], i] = SMOOTH / 2 * (1.0 if same else 0.2)
-        under[parent] = i
+            before = found[i - 1]
+            near = 0.2 + 0.8 * block.shared / max(before.depth, block.depth, 1)
+            out[i - 1, i] = SMOOTH * near * (1.0 if block.role == before.role else 0.2)
+        earlier = under.get(block.parent)
+        if earlier is not None and earlier != i - 1:
+            out[earlier, i] = SMOOTH / 2 * (1.0 if block.role == found[earlier].role else 0.2)
+        under[block.parent] = i
     return out
 
 
+def _reduced(costs: dict[int, float], near: list[dict[int, float]]) -> dict[int, bool] | None:
+    """The minimum cut of a graph by minimising out one node after another, each with at most
+    two neighbours; None if some nodes have more at the end.
+
+    What two neighbours pay for a node that is gone is a table over their labels."""
+    own = {i: [max(c, 0.0), max(-c, 0.0)] for i, c in costs.items()}  # paid for labels 0 and 1
+    pair: dict[int, dict[int, list[list[float]]]] = {i: {} for i in costs}
+    for i in costs:
+        for j, w in near[i].items():
+            pair[i][j] = [[0.0, w], [w, 0.0]]
+    gone: list[tuple] = []
+    waiting = [i for i in costs if len(pair[i]) <= 2]
+    left = set(costs)
+    while waiting:
+        i = waiting.pop()
+        if i not in left or len(pair[i]) > 2:
+            continue
+        left.discard(i)
+        around = list(pair[i].items())
+        gone.append((i, own[i], around))
+        for j, _ in around:
+            del pair[j][i]
+        if len(around) == 1:
+            (j, of_j), = around
+            for x in (0, 1):
+                own[j][x] += min(own[i][y] + of_j[y][x] for y in (0, 1))
+        elif len(around) == 2:
+            (j, of_j), (k, of_k) = around
+            table = [[min(own[i][y] + of_j[y][x] + of_k[y][z] for y in (0, 1)) for z in (0, 1)] for x in (0, 1)]
+            had = pair[j].get(k)
+            if had is not None:
+                table = [[table[x][z] + had[x][z] for z in (0, 1)] for x in (0, 1)]
+            pair[j][k] = table
+            pair[k][j] = [[table[x][z] for x in (0, 1)] for z in (0, 1)]
+        waiting += [j for j, _ in around if len(pair[j]) <= 2]
+    if left:
+        return None
+    label: dict[int, int] = {}
+    for i, paid, around in reversed(gone):
+        price = [paid[y] + sum(table[y][label[j]] for j, table in around) for y in (0, 1)]
+        label[i] = int(price[1] < price[0])
+    return {i: bool(x) for i, x in label.items()}
+
+
 def cut(costs: list[float], smooth: dict[tuple[int, int], float]) -> list[bool]:
     """Blocks on the content side of the minimum cut. ``costs`` above zero speak for content.
 
@@ -234,7 +359,11 @@ def cut(costs: list[float], smooth: dict[tuple[int, int], float]) -> list[bool]:
             cost[j] += w if label[i] else -w
             waiting.append(j)
     open_ = [i for i in range(n) if label[i] is None]
-    if open_:
+    reduced = _reduced({i: cost[i] for i in open_}, near) if len(open_) > LARGE else None
+    if reduced is not None:
+        for i, kept in reduced.items():
+            label[i] = kept
+    elif open_:
         source, sink = -1, -2
         room: dict[int, dict[int, float]] = {i: dict(near[i]) for i in open_}
         room[source], room[sink] = {}, {}
@@ -271,10 +400,9 @@ def cut(costs: list[float], smooth: dict[tuple[int, int], float]) -> list[bool]:
 def extract(html: str | None, odds: dict[tuple, float]) -> tuple[str, int, int]:
     """Main text, number of blocks, number of content blocks."""
     found = blocks(html)
-    costs = [odds[shape(t, links, tag)] + (STATED_FOR if role > 0 else STATED_AGAINST if role < 0 else 0.0)
-             for t, links, tag, _, role in found]
-    keep = cut(costs, edges([p for *_, p, _ in found], [r for *_, r in found]))
-    text = [t for (t, *_), k in zip(found, keep, strict=True) if k]
+    costs = [odds[shape(b.text, b.links, b.tag)] + b.cost for b in found]
+    keep = cut(costs, edges(found))
+    text = [b.text for b, k in zip(found, keep, strict=True) if k]
     return "\n".join(text), len(found), len(text)
 
 
@@ -285,9 +413,9 @@ def learned(df: DataFrame, html: str = "html") -> dict[tuple, float]:
         counts: Counter = Counter()
         for batch in batches:
             for page in batch.column(0):
-                for text, links, tag, _, role in blocks(page.as_py()):
-                    if role:
-                        counts[(*shape(text, links, tag), int(role > 0))] += 1
+                for block in blocks(page.as_py()):
+                    if block.role:
+                        counts[(*shape(block.text, block.links, block.tag), int(block.role > 0))] += 1
         keys = list(counts)
         yield pa.RecordBatch.from_arrays(
             [*(pa.array([k[i] for k in keys], pa.int32()) for i in range(6)),

@@ -4,6 +4,9 @@ import html as markup
 import itertools
 import random
 import re
+import time
+
+import pytest
 
 from roadlens.llm import main_text as mt
 
@@ -55,6 +58,68 @@ def test_cut_is_minimal():
         assert abs(value(mt.cut(costs, smooth)) - best) < 1e-9
 
 
+STORY = "It was said in the town that the bridge would open in spring, and many came to see the works on it by day."
+
+
+@pytest.mark.parametrize("page, text", [
+    (f"<form id=aspnetForm><article><h1>The bridge</h1><p>{STORY}<p>{STORY}</article></form>",
+     f"The bridge\n{STORY}\n{STORY}"),
+    (f"<div class='site has-sidebar'><article><h1>The bridge</h1><p>{STORY}</article></div>", f"The bridge\n{STORY}"),
+    (f"<div class='sidebar'><main><p>{STORY}</main></div><div class='sidebar'>Links</div>", STORY),
+    (f"<div class=entry-header><h1>The bridge</h1></div><div class=entry><p>{STORY}</div>", f"The bridge\n{STORY}"),
+    ("<article><p>In <span class='social'>social</span> science, it holds.</article>", "In social science, it holds."),
+    ("<article><p>Press <button>Start</button> or the <label>key</label> to go.</article>", "Press Start or the key to go."),
+    ("<article><p>So <math><mi>x</mi></math> grows.<noscript><p>A note.</noscript></article>", "So x grows.\nA note."),
+    (f"<article><p>{STORY}</p><section id=comments><article><p>{STORY}</article></section></article>", STORY),
+    (f"<aside><article><p>{STORY}</article></aside><article><p>{STORY} End.</article>", f"{STORY} End."),
+    (f"<form><label>Mail</label><button>Send</button></form><article><p>{STORY}</article>", STORY),
+    (f"<p hidden>no</p><article><p>{STORY}<span style='display: none'>no</span></article>", STORY),
+    (f"<form><div><p>{STORY}</p><p>{STORY}</p></div></form>", f"{STORY}\n{STORY}"),
+])
+def test_the_innermost_statement_decides(page, text):
+    assert mt.extract(f"<body>{page}</body>", mt.train([]))[0] == text
+
+
+@pytest.mark.parametrize("page", [
+    "<div>" * 100_000 + "x", "<div>x" * 100_000, "<div>" * 50_000 + "</section>" * 50_000 + "x",
+    "<blockquote><li>x" * 50_000, "<b>" * 100_000 + "x", "<p>in between, as it were</p>" * 100_000,
+    "<div><p>in between, as it</p><span>a b</span></div>" * 40_000])
+def test_large_pages_take_seconds(page):
+    began = time.process_time()
+    mt.extract(page, mt.train([]))
+    assert time.process_time() - began < 40
+
+
+def test_reduced_cut_is_minimal(monkeypatch):
+    """Edges that nest like brackets reduce wholly, and to a cut of the same cost."""
+    rng = random.Random(8)
+    for _ in range(150):
+        n = rng.randrange(1, 40)
+        costs = [rng.uniform(-1, 1) for _ in range(n)]
+        smooth = {(i, i + 1): rng.uniform(0, 2) for i in range(n - 1)}
+
+        def nest(lo, hi):
+            if hi - lo >= 2 and rng.random() < 0.8:
+                smooth[lo, hi] = rng.uniform(0, 2)
+                middle = rng.randrange(lo + 1, hi)
+                nest(lo, middle)
+                nest(middle, hi)
+
+        nest(0, n - 1)
+
+        def value(labels):
+            total = sum(max(c, 0) if not x else max(-c, 0) for c, x in zip(costs, labels))
+            return total + sum(w for (a, b), w in smooth.items() if labels[a] != labels[b])
+
+        near = [{} for _ in range(n)]
+        for (a, b), w in smooth.items():
+            near[a][b] = near[b][a] = w
+        reduced = mt._reduced(dict(enumerate(costs)), near)
+        assert abs(value([reduced[i] for i in range(n)]) - value(mt.cut(costs, smooth))) < 1e-9
+    full = [{j: 1.0 for j in range(5) if j != i} for i in range(5)]
+    assert mt._reduced(dict.fromkeys(range(5), 0.1), full) is None
+
+
 def test_odd_rows(spark):
     schema = "page_id long, url string, html string, text string, n_blocks string"
     rows = [(1, None, None, "x", "y"), (None, "u", "", "x", "y"), (2, "u", "<p>" * 5000, "x", "y"),
