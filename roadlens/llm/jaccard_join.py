@@ -32,6 +32,8 @@ from roadlens.llm.storage import let_workers_import, written
 SHINGLE, PERCENT = 4, 85
 RANGE_BYTES = 16 << 20
 FLUSH = 3_000_000
+LOW_BYTES = 6  # of a shingle's hash, sent beside its range
+BLOCK = 2000  # members of a bucket that are compared with as many others in one place
 SUBSET = 2  # size of the enumerated subsets
 LARGEST_SMALL = 96  # sizes above are never enumerated
 CANDIDATE_COST = 4.0  # of comparing a candidate, in rows written
@@ -72,13 +74,16 @@ def signatures(df: DataFrame, key: str, text: str, shingle: int = SHINGLE) -> Da
         run, f"_key {kind}, n_shingles long, class long")
 
 
-def shared_shingles(df: DataFrame, text: str, shingle: int = SHINGLE) -> DataFrame:
+def shared_shingles(df: DataFrame, text: str, shingle: int = SHINGLE, bits: int | None = None) -> DataFrame:
     """``(class, n, token, df)`` of every shingle that at least two classes hold.
 
     Tasks send shingle hashes in packed arrays, one per range of hashes; a range is small
-    whatever the input's size, and a class of any number of copies is sent once a task."""
-    size = df.agg(F.sum(F.octet_length(text))).head()[0] or 0
-    bits = max(4, int(size // RANGE_BYTES).bit_length())
+    whatever the input's size, and a class of any number of copies is sent once a task. A
+    token has the bits of its range and 48 more, all 64 from 65,536 ranges on."""
+    if bits is None:
+        size = df.agg(F.sum(F.octet_length(text))).head()[0] or 0
+        bits = max(4, int(size // RANGE_BYTES).bit_length())
+    low_bits = min(48, 64 - bits)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -94,7 +99,8 @@ def shared_shingles(df: DataFrame, text: str, shingle: int = SHINGLE) -> DataFra
             part = (values >> ts.U64(64 - bits)).astype(np.uint16 if bits <= 16 else np.uint32)
             order = np.argsort(part, kind="stable")
             part, owner = part[order], owner[order]
-            low = ((values[order] >> ts.U64(32 - bits)) & ts.U64(0xFFFFFFFF)).astype(np.uint32)
+            low = (values[order] >> ts.U64(64 - bits - low_bits)) & ts.U64((1 << low_bits) - 1)
+            low = np.ascontiguousarray(low.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :LOW_BYTES])
             cut = np.flatnonzero(np.diff(part)) + 1
             rows = [[], [], [], [], []]
             for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(part)], strict=True):
@@ -130,18 +136,22 @@ def shared_shingles(df: DataFrame, text: str, shingle: int = SHINGLE) -> DataFra
         part = table.column("part")[0].as_py()
         names, at, inverse = np.unique(joined("classes", np.int64), return_index=True, return_inverse=True)
         sizes = joined("sizes", np.int32)[at]
-        keys = (joined("hashes", np.uint32).astype(ts.U64) << ts.U64(32)) | np.repeat(
-            inverse.astype(ts.U64), joined("runs", np.int32))
-        keys.sort()
-        keys = keys[np.append(True, keys[1:] != keys[:-1])]
-        token = (keys >> ts.U64(32)).astype(np.int64)
+        sent = joined("hashes", np.uint8).reshape(-1, LOW_BYTES)
+        low = np.zeros((len(sent), 8), np.uint8)
+        low[:, :LOW_BYTES] = sent
+        del sent
+        token, who = low.view("<u8").ravel(), np.repeat(inverse.astype(np.int32), joined("runs", np.int32))
+        order = np.lexsort((who, token))
+        token, who = token[order], who[order]
+        new = np.append(True, (token[1:] != token[:-1]) | (who[1:] != who[:-1]))
+        token, who = token[new].astype(np.int64), who[new]
         begin = np.concatenate([[0], np.flatnonzero(np.diff(token)) + 1])
         count = np.diff(np.append(begin, len(token)))
         df_ = np.repeat(count, count)
         keep = df_ > 1
-        who = (keys[keep] & ts.U64(0xFFFFFFFF)).astype(np.int64)
+        who, high = who[keep], np.array(part << low_bits, np.uint64).view(np.int64)
         return pa.table({"class": names[who], "n": sizes[who].astype(np.int64),
-                         "token": token[keep] | (part << 32), "df": df_[keep].astype(np.int64)})
+                         "token": token[keep] | high, "df": df_[keep].astype(np.int64)})
 
     let_workers_import(df.sparkSession)
     sent = df.select(F.col(text).alias("_text")).mapInArrow(
@@ -188,8 +198,10 @@ def meetings(sets: DataFrame, percent: int) -> DataFrame:
         """flatten(transform(head, (t, i) -> transform(slice(head, i + 2, size(head)), (u, j) -> struct(
                xxhash64(least(t, u), greatest(t, u)) AS bucket, size(shared) - i - j AS most))))""")).alias("m"))
     rows = lists.unionByName(subsets).select("class", "n", "central", "m.bucket", "m.most")
-    common = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("_m")).filter("_m > 1").drop("_m")
-    return rows.join(common, "bucket", "left_semi")
+    # a member must be able to link with the smallest of its bucket, or it links with none
+    common = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("_m"), F.min("n").alias("_least")).filter("_m > 1")
+    able = rows.join(common, "bucket").filter(f"{100 + percent} * most >= {percent} * (n + _least)")
+    return able.drop("_m", "_least")
 
 
 def _can_link(a: str, b: str, percent: int) -> str:
@@ -239,12 +251,20 @@ def class_components(sets: DataFrame, percent: int) -> DataFrame | None:
     return labels
 
 
-def _rest(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links among members of a bucket that are in different components."""
-    pairs = rows.alias("a").join(rows.alias("b"), (F.col("a.bucket") == F.col("b.bucket")) & F.expr(
-        f"a.class < b.class AND a.component <> b.component AND {_can_link('a', 'b', percent)}"))
-    pairs = pairs.select(F.col("a.class").alias("a"), F.col("b.class").alias("b"))
-    return _linked(pairs.select("a", "b").distinct(), sets, percent)
+def _rest(rows: DataFrame, sets: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
+    """Links among members of a bucket that are in different components.
+
+    The members of a bucket are dealt into blocks, and every two blocks meet in a place of
+    their own, so that no task compares more than about ``block`` by ``block`` members."""
+    blocks = rows.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_blocks"))
+    dealt = rows.join(blocks, "bucket").withColumn("_own", F.pmod(F.xxhash64("class"), F.col("_blocks")).cast("int"))
+    left = dealt.withColumn("_other", F.explode(F.sequence("_own", F.col("_blocks") - 1)))
+    right = dealt.withColumnRenamed("_own", "_other").withColumn("_own", F.explode(F.sequence(F.lit(0), F.col("_other"))))
+    same = F.expr("a.bucket = b.bucket AND a._own = b._own AND a._other = b._other")
+    pairs = left.alias("a").join(right.alias("b"), same & F.expr(
+        f"(a._own < a._other OR a.class < b.class) AND a.component <> b.component AND {_can_link('a', 'b', percent)}"))
+    pairs = pairs.select(F.least("a.class", "b.class").alias("a"), F.greatest("a.class", "b.class").alias("b"))
+    return _linked(pairs.distinct(), sets, percent)
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text",

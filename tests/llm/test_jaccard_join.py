@@ -4,6 +4,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from roadlens.llm import jaccard_join as jj
 
@@ -79,3 +80,39 @@ def test_odd_rows(odd, empty, clashing):
     assert jj.near_duplicates(odd).count() == odd.count()
     assert jj.near_duplicates(empty).count() == 0
     assert jj.near_duplicates(clashing).count() == odd.count()
+
+
+def test_templates_are_not_paired(spark):
+    """Pages of one template and few own words share a bucket and cannot link."""
+    template = " ".join(f"template{i}" for i in range(20))
+    rows = [(i, f"{template} own{i} word{i} last{i}") for i in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = jj.shared_shingles(df, "text").groupBy("class", "n").agg(
+        F.sort_array(F.collect_list(F.struct("df", "token"))).alias("shared"))
+    sets = sets.withColumn("first", F.lit(4)).withColumn("central", F.lit(1.0))
+    assert sets.count() == 2000 and jj.meetings(sets, jj.PERCENT).count() == 0
+    assert {r.component_id == r.doc_id for r in jj.near_duplicates(df).collect()} == {True}
+
+
+@pytest.mark.parametrize("block", [1, 3, 2000])
+def test_rest_compares_every_pair_once(spark, block):
+    rng = random.Random(block)
+    members = [(b, c) for b in range(4) for c in rng.sample(range(60), 25)]
+    rows = spark.createDataFrame([(b, c, 10, 10, c % 9) for b, c in members],
+                                 "bucket long, class long, n long, most long, component long")
+    sets = spark.createDataFrame([(c, 10, [(2, t + c % 2) for t in range(10)]) for c in range(60)],
+                                 "class long, n long, shared array<struct<df:long,token:long>>")
+    got = sorted(tuple(r) for r in jj._rest(rows, sets, 85, block).collect())
+    want = sorted({(a, b) for x, a in members for y, b in members
+                   if x == y and a < b and a % 9 != b % 9 and (a - b) % 2 == 0})
+    assert got == want
+
+
+@pytest.mark.parametrize("bits", [4, 9, 16, 20])
+def test_ranges_do_not_change_what_is_shared(spark, bits):
+    rng = random.Random(bits)
+    words = [f"w{i}" for i in range(40)]
+    df = spark.createDataFrame([(" ".join(rng.choice(words) for _ in range(60)),) for _ in range(60)], "text string")
+    plain = jj.shared_shingles(df, "text", 2).groupBy("class", "n").agg(F.sort_array(F.collect_list("df")))
+    other = jj.shared_shingles(df, "text", 2, bits).groupBy("class", "n").agg(F.sort_array(F.collect_list("df")))
+    assert sorted(map(repr, plain.collect())) == sorted(map(repr, other.collect())) and plain.count() > 50
