@@ -8,8 +8,8 @@ cheapest cut between content and boilerplate.
 
 The classifier is trained on the pages themselves: blocks in containers whose role is
 stated (article, navigation, footer, ...) label the shapes of blocks (length, links,
-punctuation, tag). Shapes fall into few classes, so training needs their counts only, over
-all pages. Stated roles enter the costs as well. The innermost statement counts: an article
+punctuation, tag). Shapes fall into few classes, so training needs their counts only. They come
+from about ``FIT_PAGES`` pages, chosen by a hash, or all if there are fewer. Stated roles enter the costs as well. The innermost statement counts: an article
 in a form or in a wrapper whose class names a sidebar is content, a comment section in an
 article is not. Single words within longer class names, and forms, only add a small cost that
 classifier and edges can outvote. Inline elements stay in their paragraph.
@@ -27,8 +27,8 @@ from __future__ import annotations
 
 from collections import Counter, deque
 from collections.abc import Iterator
-from dataclasses import dataclass
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -61,18 +61,20 @@ SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "
             "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 BORDERS = frozenset("ul ol dl table tbody thead tfoot body html article section div nav aside".split())
 
+STATING = FALLBACK | AGAINST_TAGS | {"header", "article", "main", "form"}
+
 # Costs of statements: an article; other people's words and page furniture; a container named
 # as such; a word within a longer name, or a form (at most so much together); a first heading.
 STATED_FOR, STATED_AGAINST, NAMED, HINT, MOST_HINTS, TITLE = 6.0, -8.0, -5.0, -1.0, -3.0, 3.0
 SMOOTH = 1.0
+FIT_PAGES = 20_000  # pages the classifier is fitted on
 LARGE = 512  # open blocks above which a graph is reduced before the flow
 LENGTHS = (0, 15, 40, 80, 160, 320)
 LINKS = (0.0, 0.2, 0.5)
 TAGS = ("p", "li", "heading", "cell", "other")
 
 
-@dataclass(frozen=True)
-class Block:
+class Block(NamedTuple):
     """A block of a page: text, share of linked characters, tag, number of open block elements,
     how many of them it shares with the block before, its parent's number, stated cost."""
 
@@ -143,8 +145,10 @@ class _Page(HTMLParser):
 
     def _stated(self, tag: str, attributes, block: bool) -> tuple[float, bool]:
         """The cost handed down by an element, and whether it is hidden."""
-        of = {k: (v or "").lower() for k, v in attributes}
         cost = self.top.cost
+        if tag not in STATING and (not attributes or tag == "a" and len(attributes) == 1 and attributes[0][0] == "href"):
+            return cost, False
+        of = {k: (v or "").lower() for k, v in attributes}
         hidden = ("hidden" in of or of.get("aria-hidden") == "true"
                   or "display:none" in of.get("style", "").replace(" ", ""))
         if tag in FALLBACK:
@@ -406,8 +410,9 @@ def extract(html: str | None, odds: dict[tuple, float]) -> tuple[str, int, int]:
     return "\n".join(text), len(found), len(text)
 
 
-def learned(df: DataFrame, html: str = "html") -> dict[tuple, float]:
-    """The classifier, trained on the shapes of all blocks with a stated role."""
+def learned(df: DataFrame, html: str = "html", fit_pages: int = FIT_PAGES) -> dict[tuple, float]:
+    """The classifier, trained on the shapes of blocks with a stated role of about ``fit_pages``
+    pages."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
@@ -422,7 +427,11 @@ def learned(df: DataFrame, html: str = "html") -> dict[tuple, float]:
              pa.array([counts[k] for k in keys], pa.int64())], names=["a", "b", "c", "d", "e", "label", "n"])
 
     let_workers_import(df.sparkSession)
-    rows = (df.select(html).mapInArrow(run, "a int, b int, c int, d int, e int, label int, n long")
+    pages = df.select(html)
+    count = pages.count()
+    if count > fit_pages:
+        pages = pages.where(F.pmod(F.xxhash64(html), F.lit(1 << 20)) < (fit_pages << 20) // count)
+    rows = (pages.mapInArrow(run, "a int, b int, c int, d int, e int, label int, n long")
             .groupBy("a", "b", "c", "d", "e", "label").agg(F.sum("n").alias("n")).collect())
     return train(sorted((tuple(r[:5]), r[5], r[6]) for r in rows))
 

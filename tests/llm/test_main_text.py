@@ -43,6 +43,13 @@ def test_unstated_pages_by_shape(spark):
     assert mt.extract(page, odds)[0] == f"{story}\nShort.\n{story}"
 
 
+def test_fit_on_a_sample_of_pages(spark):
+    pages = spark.read.parquet(f"{FOLDER}/pages.parquet")
+    few, all_ = mt.learned(pages, fit_pages=40), mt.learned(pages)
+    assert few.keys() == all_.keys() and few != all_
+    assert mt.learned(pages.repartition(5), fit_pages=40) == few
+
+
 def test_cut_is_minimal():
     rng = random.Random(6)
     for _ in range(200):
