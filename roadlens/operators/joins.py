@@ -16,6 +16,7 @@ from roadlens.session import materialize
 # frequent-key sketch: items tracked per partition, and Spark's limit on them
 SKETCH_ITEMS = 16
 SKETCH_LIMIT = 1_000_000
+CELL_ROWS = 4096  # master rows that one array of a range join holds
 
 
 def _keys(on: str | Sequence[str]) -> list[str]:
@@ -140,6 +141,23 @@ def fold_scores(
     return base.join(per_key, key, "left")
 
 
+def packed_cells(
+    master: DataFrame, on: Sequence[str], position: str, width: int, rows: int = CELL_ROWS
+) -> DataFrame:
+    """(on, _cell, _rows): the rows of every cell of ``width`` positions as one array in order
+    of position. A cell of more than ``rows`` rows becomes several arrays of about that many."""
+    cell = F.floor(F.col(position) / F.lit(width))
+    rest = [c for c in master.columns if c not in on]
+    placed = master.where(F.col(position).isNotNull()).select(
+        *on, cell.alias("_cell"), F.struct(F.col(position).alias("_at"), *rest).alias("_row"))
+    crowded = placed.groupBy(*on, "_cell").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > rows).select(
+        *on, "_cell", F.ceil(F.col("_n") / rows).cast("int").alias("_parts"))
+    number = F.pmod(F.xxhash64("_row") + F.spark_partition_id(), F.coalesce("_parts", F.lit(1)))
+    dealt = placed.join(crowded, [*on, "_cell"], "left").withColumn("_part", number)
+    return dealt.groupBy(*on, "_cell", "_part").agg(
+        F.sort_array(F.collect_list("_row")).alias("_rows")).drop("_part")
+
+
 def join_range(
     ranges: DataFrame,
     master: DataFrame,
@@ -153,15 +171,20 @@ def join_range(
     """Rows of ``master`` whose key equals the range's key and whose position lies in
     its closed range.
 
-    Positions are cut into cells of ``width``: a range meets only the cells it touches,
-    so a long segment is not paired with all of its ranges, and a busy cell is spread.
-    Unless ``hot`` names the busy cells, the ranges are materialized, as both the search for
-    those and the join read them."""
+    Positions are cut into cells of ``width``, whose master rows are packed into arrays: a range
+    meets one row per cell it touches, takes inner cells whole and a slice of the two at
+    its ends, and only rows of the result are unpacked. A busy cell is spread. Unless ``hot``
+    names the busy cells, the ranges are materialized, as both the search for those and
+    the join read them."""
     def cell(name: str):
         return F.floor(F.col(name) / F.lit(width))
 
+    keys = _keys(on)
     ranges = materialize(ranges) if hot is None else ranges
     touched = ranges.withColumn("_cell", F.explode(F.sequence(cell(low), cell(high))))
-    placed = master.withColumn("_cell", cell(position))
-    joined = spread_join(touched, placed, [*_keys(on), "_cell"], hot=hot)
-    return joined.where(F.col(position).between(F.col(low), F.col(high))).drop("_cell")
+    joined = spread_join(touched, packed_cells(master, keys, position, width), [*keys, "_cell"], hot=hot)
+    inner = (F.col("_cell") > cell(low)) & (F.col("_cell") < cell(high))
+    within = F.filter("_rows", lambda r: r["_at"].between(F.col(low), F.col(high)))
+    sliced = joined.withColumn("_row", F.explode(F.when(inner, F.col("_rows")).otherwise(within)))
+    rest = [F.col("_row")[c].alias(c) for c in master.columns if c not in keys]
+    return sliced.select(*ranges.columns, *rest)

@@ -216,6 +216,24 @@ def test_join_range_against_brute_force(spark):
     for width in (16, 1000):
         got = J.join_range(left, right, "segment", "seq", width=width)
         assert sorted(tuple(r) for r in got.select("trip", "arc").collect()) == expected
+        assert got.columns == ["trip", "segment", "lo", "hi", "seq", "arc"]
+
+
+def test_range_join_meets_cells_and_splits_crowded_ones(spark):
+    """A third of the master on one position; joined rows are the arrays of touched cells."""
+    master = [(1, 7, i) for i in range(1000)] + [(1, i % 640, 1000 + i) for i in range(2000)] + [(1, None, -1), (None, 3, -2)]
+    right = spark.createDataFrame(master, "segment int, seq int, v int").repartition(5)
+    packed = J.packed_cells(right, ["segment"], "seq", 64, rows=50)
+    sizes = [r["n"] for r in packed.select(F.size("_rows").alias("n")).collect()]
+    assert sum(sizes) == len(master) - 1 and max(sizes) < 150
+    plain = J.packed_cells(right.where("segment = 1"), ["segment"], "seq", 64)
+    assert plain.count() == 10
+    left = spark.createDataFrame([("a", 1, 0, 639), ("b", 1, 7, 7), ("c", 1, 60, 70), ("d", 2, 0, 9), ("e", None, 0, 9)],
+                                 "trip string, segment int, lo int, hi int")
+    got = J.join_range(left, right, "segment", "seq")
+    want = [(t, v) for t, s, lo, hi in left.collect() for ms, q, v in master
+            if s is not None and s == ms and q is not None and lo <= q <= hi]
+    assert rows(got.select("trip", "v")) == sorted(want, key=repr)
 
 
 @pytest.mark.parametrize("parts", [1, 12])
