@@ -3,7 +3,7 @@
 The model protobuf is read field by field; normaliser, metaspace marker, scores and byte
 fallback are rebuilt as a ``tokenizers`` pipeline. Unigram models keep their piece scores;
 in BPE models the scores order the merges. Where no piece crosses from a letter into the
-marker, words are independent: a bounded cache keeps the ids of words seen, and the words
+marker, words are independent: bounded caches of two generations keep the ids of words seen, and the words
 new to a batch are encoded together on several threads. Every word that enters the cache is
 compared with the sentencepiece library (``parity``), and every text is decoded from its
 ids (``round_trip``).
@@ -22,6 +22,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -150,11 +151,12 @@ class Model:
 
 
 class Codec:
-    """Encoder and decoder of one model in one worker. ``limit`` bounds the words kept between calls."""
+    """Encoder and decoder of one model in one worker. About twice ``limit`` words are kept between
+    calls: those of the present generation and of the one before."""
 
-    WORDS = re.compile(" *[^ ]+| +")
+    WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
-    def __init__(self, raw: bytes, threads: int = THREADS, limit: int = 300_000):
+    def __init__(self, raw: bytes, threads: int = THREADS, limit: int = 250_000):
         import sentencepiece
 
         os.environ["TOKENIZERS_PARALLELISM"] = "true"
@@ -165,13 +167,14 @@ class Codec:
         self.whole = self.model.tokenizer()
         self.threads, self.limit = threads, limit
         self.ids: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
         self.unlike: set[str] = set()
         if self.words:
             self.alone = self.model.tokenizer(normalize=False)
             self.joined = self.model.tokenizer(normalize=False)
             self.joined.add_special_tokens([_PART])
             self.part_id = self.joined.token_to_id(_PART)
-        self.text_of = [self._bytes(p, k) for p, _, k in self.model.pieces]
+        self.text_of = pa.array([self._bytes(p, k) for p, _, k in self.model.pieces], pa.large_binary())
 
     @staticmethod
     def _bytes(piece: str, kind: int) -> bytes:
@@ -185,7 +188,7 @@ class Codec:
         plain = [w for w in new if _PART not in w]
         size = max(1, -(-len(plain) // (4 * self.threads)))
         groups = [plain[lo:lo + size] for lo in range(0, len(plain), size)]
-        done = self.joined.encode_batch([_PART.join(g) for g in groups], add_special_tokens=False)
+        done = self.joined.encode_batch_fast([_PART.join(g) for g in groups], add_special_tokens=False)
         for group, found in zip(groups, done, strict=True):
             ids = np.array(found.ids, "<u4")
             cuts = np.flatnonzero(ids == self.part_id)
@@ -206,24 +209,31 @@ class Codec:
             ours = [e.ids for e in self.whole.encode_batch(texts, add_special_tokens=False)]
             theirs = self.own.encode(texts, num_threads=self.threads)
             return [np.array(i, "<u4").tobytes() for i in ours], [a == b for a, b in zip(ours, theirs, strict=True)]
-        split = [[w.replace(" ", MARK) for w in self.WORDS.findall(" " + t)] if t else [] for t in texts]
-        new = set().union(*split).difference(self.ids)
+        split = [self.WORDS.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
+        missing = set().union(*split).difference(self.ids)
+        known = missing.intersection(self.before)
+        self.ids.update(zip(known, map(self.before.__getitem__, known), strict=True))
+        new = missing.difference(known)
         if new:
             self._learn(sorted(new))
         of = self.ids.__getitem__
         same = [not self.unlike or self.unlike.isdisjoint(words) for words in split]
         out = [b"".join(map(of, words)) for words in split]
         if len(self.ids) > self.limit:  # only now, as these texts need all of their words
-            self.ids, self.unlike = {}, set()
+            self.before, self.ids = self.ids, {}
+            self.unlike.intersection_update(self.before)
         return out, same
 
     def decode(self, ids: list[bytes]) -> list[str]:
-        of, out = self.text_of.__getitem__, []
-        for raw in ids:
-            text = b"".join(map(of, np.frombuffer(raw, "<u4").tolist()))
-            if self.model.dummy_prefix and text[:1] == b" ":
-                text = text[1:]
-            out.append(text.decode("utf-8", "replace"))
+        taken = pc.take(self.text_of, pa.array(np.frombuffer(b"".join(ids), "<i4")))
+        data = memoryview(taken.buffers()[2] or b"")
+        starts = np.frombuffer(taken.buffers()[1], np.int64)
+        cuts = starts[np.array([0, *(len(i) // 4 for i in ids)], np.int64).cumsum()].tolist()
+        out = []
+        for begin, end in zip(cuts[:-1], cuts[1:], strict=True):
+            if self.model.dummy_prefix and data[begin:min(begin + 1, end)] == b" ":
+                begin += 1
+            out.append(str(data[begin:end], "utf-8", "replace"))
         return out
 
 

@@ -52,6 +52,20 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
         rule_ledger.passes(rule_ledger.STANDARD).alias("kept"), "failures")
 
 
+ABLATION_SQL = f"""
+SELECT rule, CAST(sum(CASE WHEN failures & bit <> 0 THEN 1 ELSE 0 END) AS BIGINT) AS fails,
+       CAST(sum(CASE WHEN failures = bit THEN 1 ELSE 0 END) AS BIGINT) AS only_this,
+       CAST(sum(CASE WHEN failures & ~bit = 0 THEN 1 ELSE 0 END) AS BIGINT) AS kept_without
+FROM ({OP10_SQL}), (VALUES {", ".join(f"('{r}', {rule_ledger.BITS[r]}::BIGINT)" for r in rule_ledger.STANDARD.rules)}) AS p(rule, bit)
+GROUP BY rule"""
+
+
+@query("op10_rule_ablations", ABLATION_SQL)
+def op10_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = rule_ledger.ledger(table(spark, sf_dir, "documents"))
+    return rule_ledger.ablations(rows, rule_ledger.STANDARD).select("rule", "fails", "only_this", "kept_without")
+
+
 @query("op4_document_fingerprints")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
