@@ -60,6 +60,18 @@ def sink_append(t):
     return S.read_table(t.spark, path)
 
 
+@query("sink_parts", """
+    SELECT arc, coalesce(aadt, -1.0) AS aadt,
+           CASE WHEN aadt IS NULL THEN 'predicted' ELSE 'recorded' END AS part FROM fx_aadt""")
+def sink_parts(t):
+    path = fresh_path(t.spark, "sink-parts")
+    known, missing = U.split_rows(t["fx_aadt"], F.col("aadt").isNotNull())
+    S.write_part(known, path, "recorded")
+    for _ in range(2):  # as a retry would
+        S.write_part(missing.select(F.lit(-1.0).alias("aadt"), "arc"), path, "predicted")
+    return S.read_table(t.spark, path)
+
+
 @query("inline_rows", """
     SELECT v.weather, v.label, count(*) AS n
     FROM fx_events e JOIN (VALUES ('A', 'dry'), ('N', 'wet'), ('R', 'fog')) v(weather, label)

@@ -39,9 +39,13 @@ def cast_columns(df: DataFrame, types: Mapping[str, str]) -> DataFrame:
     return df.withColumns({name: F.col(name).try_cast(t) for name, t in types.items()})
 
 
+# fixed values: the types that learners are given as double
+LEARNER_TYPES = ("int", "bigint", "smallint", "float")
+
+
 def cast_by_type(
     df: DataFrame,
-    source_types: Iterable[str] = ("int", "bigint", "smallint", "float"),
+    source_types: Iterable[str] = LEARNER_TYPES,
     target: str = "double",
 ) -> DataFrame:
     """Cast every column of the given types in one projection."""

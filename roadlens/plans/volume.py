@@ -14,6 +14,7 @@ from roadlens.models.features import assemble_features_keep, slot_names
 from roadlens.models.learners import forest
 from roadlens.models.metrics import feature_importance, regression_metrics
 from roadlens.session import materialize
+from roadlens.sources.tables import write_part
 
 # fixed values: model inputs
 VOLUME_FEATURES = (
@@ -92,3 +93,10 @@ def predict_rate(
         key, *columns, volume, value.alias("crashes_aadt"),
         (~F.col("_known")).alias("is_predicted"),
     )
+
+
+def write_imputed(done: DataFrame, name: str, fmt: str = "parquet") -> None:
+    """Write the result of ``impute_target`` or ``predict_rate`` in two parts, recorded and
+    predicted, either of which can be written again after a failure."""
+    for part, predicted in (("recorded", False), ("predicted", True)):
+        write_part(done.where(F.col("is_predicted") == predicted).drop("is_predicted"), name, part, fmt)

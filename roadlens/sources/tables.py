@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
@@ -78,6 +79,26 @@ def write_append(
     writer.save(name) if path_option is None else writer.option(path_option, name).save()
 
 
+def write_part(
+    df: DataFrame,
+    name: str,
+    part: str,
+    fmt: str = "parquet",
+    options: Mapping[str, str] | None = None,
+    column: str = "part",
+) -> None:
+    """Write ``df`` as one part of a table of files, in place of what this part held before.
+
+    A part is a partition of its own, named in ``column``, and other parts stay as they are.
+    So a write that failed, or may have, is simply done again: unlike an append it cannot
+    leave rows twice. Parts may differ in the order of their columns."""
+    if column in df.columns:
+        raise ValueError(f"the rows have a column {column} already")
+    marked = df.select(*sorted(df.columns), F.lit(part).alias(column))
+    writer = _writer(marked, fmt, options, "overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy(column).save(name)
+
+
 def inline_rows(
     spark: SparkSession, rows: Sequence[tuple], schema: str | T.StructType
 ) -> DataFrame:
