@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roadlens.operators.aggregates import mean_position
@@ -93,29 +93,31 @@ def top_arc_drilldown(
 
 
 def _sections(chosen: DataFrame, event_type: str, weather: str, speed: str, limit: str):
-    partial = chosen.groupBy(event_type, weather).agg(
+    """The chosen events are read once: they collapse to one row per type and weather, and
+    grouping sets over those few rows give both mixes and the totals. No events, no rows."""
+    partial = chosen.groupBy(F.col(event_type).alias("_type"), F.col(weather).alias("_weather")).agg(
         F.count(F.lit(1)).alias("rows"),
         F.sum(F.col(speed).cast("double")).alias("speed_sum"),
         F.count(speed).alias("speed_n"), F.max(speed).alias("speed_max"),
         F.sum(F.col(limit).cast("double")).alias("limit_sum"), F.count(limit).alias("limit_n"),
     )
-
-    def mix(section: str, column: str) -> DataFrame:
-        return partial.groupBy(column).agg(F.sum("rows").cast("double").alias("metric")).select(
-            F.lit(section).alias("section"), F.col(column).alias("value"), "metric"
-        )
-
-    numbers = partial.agg(
+    sets = partial.groupingSets([["_type"], ["_weather"], []], "_type", "_weather").agg(
+        F.grouping("_type").alias("_no_type"), F.grouping("_weather").alias("_no_weather"),
+        F.sum("rows").cast("double").alias("rows"),
         F.try_divide(F.sum("speed_sum"), F.sum("speed_n")).alias("mean_speed"),
         F.max("speed_max").cast("double").alias("max_speed"),
         F.try_divide(F.sum("limit_sum"), F.sum("limit_n")).alias("mean_limit"),
-    ).unpivot([], ["mean_speed", "max_speed", "mean_limit"], "value", "metric")
-    return (
-        mix("event_type", event_type)
-        .unionByName(mix("weather", weather))
-        .unionByName(numbers.select(F.lit("speed").alias("section"), "value", "metric"))
     )
 
+    def entry(section: str, value: Column, metric: str) -> Column:
+        return F.struct(F.lit(section).alias("section"), value.cast("string").alias("value"), F.col(metric).alias("metric"))
+
+    speeds = [entry("speed", F.lit(name), name) for name in ("mean_speed", "max_speed", "mean_limit")]
+    rows = (F.when(F.col("_no_type") == 0, F.array(entry("event_type", F.col("_type"), "rows")))
+            .when(F.col("_no_weather") == 0, F.array(entry("weather", F.col("_weather"), "rows")))
+            .otherwise(F.array(*speeds)))
+    return sets.select(F.inline(rows))
+
 
 def trip_points(
     trips: DataFrame, trip_id, lat: str = "lat", lng: str = "lng", trip: str = "trip_id"

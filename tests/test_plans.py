@@ -172,3 +172,11 @@ def test_count_regression_writes_nothing_and_reads_the_events_twice(tables, monk
         planned = plan(df).split("== Initial Plan ==")[0]
         events = [s for s in re.findall(r"ReadSchema: struct<([^>]*)>", planned) if "l_orderkey" in s]
         assert len(events) == 1
+
+
+def test_drilldown_reads_the_detail_twice(tables):
+    """Once for the ranking, once for all sections."""
+    df = exploration.arc_drilldown(tables["fx_text_events"])
+    df.collect()
+    assert len(re.findall("FileScan", plan(df).split("== Initial Plan ==")[0])) <= 2
+    assert exploration.arc_drilldown(tables["fx_text_events"].limit(0)).count() == 0
