@@ -11,6 +11,7 @@ from roadlens.catalog.registry import query
 from roadlens.models import features as X
 from roadlens.models import learners as L
 from roadlens.models import metrics as E
+from roadlens.models import selection as N
 from roadlens.models import vocabulary as V
 from roadlens.operators import joins as J
 from roadlens.operators import sampling as M
@@ -386,6 +387,39 @@ def chi_square_select(t):
     return t.spark.createDataFrame([(n,) for n in names], "feature string")
 
 
+def _mixed_sql(numbers, categories, label: str, top: int) -> str:
+    """Contingency tables of every slot spelled out, expected counts and all."""
+    edges = ", ".join(f"list_distinct(quantile_cont(CAST({c} AS DOUBLE), [{', '.join(str(i / 10) for i in range(1, 10))}])) AS {c}"
+                      for c in numbers)
+    parts = [f"SELECT '{c}' AS slot, CASE WHEN d.{c} IS NULL THEN -1 ELSE len(list_filter(e.{c}, lambda x: x < d.{c})) END AS v, y FROM d, e"
+             for c in numbers]
+    parts += [f"SELECT '{c}=' || w.v AS slot, CASE WHEN CAST(d.{c} AS VARCHAR) = w.v THEN 1 ELSE 0 END AS v, y FROM d, "
+              f"(SELECT DISTINCT CAST({c} AS VARCHAR) AS v FROM d WHERE {c} IS NOT NULL) w" for c in categories]
+    return f"""
+    WITH d AS (SELECT *, CASE WHEN {label} THEN 1 ELSE 0 END AS y FROM fx_arcs),
+         e AS (SELECT {edges} FROM d),
+         o AS (SELECT slot, v, y, count(*) AS n FROM ({" UNION ALL ".join(parts)}) GROUP BY ALL),
+         r AS (SELECT slot, v, sum(n) AS r FROM o GROUP BY ALL), c AS (SELECT slot, y, sum(n) AS c FROM o GROUP BY ALL),
+         t AS (SELECT slot, sum(n) AS t FROM o GROUP BY ALL),
+         x AS (SELECT slot, r * c / t AS e, coalesce(n, 0) AS n
+               FROM r JOIN c USING (slot) JOIN t USING (slot) LEFT JOIN o USING (slot, v, y)),
+         k AS (SELECT slot, (count(DISTINCT v) - 1) AS degrees FROM r GROUP BY slot),
+         s AS (SELECT slot, sum((n - e) * (n - e) / e) AS statistic, max(degrees) AS degrees FROM x JOIN k USING (slot)
+               GROUP BY slot HAVING max(degrees) > 0),
+         z AS (SELECT *, (cbrt(statistic / degrees) - (1 - 2 / (9.0 * degrees))) / sqrt(2 / (9.0 * degrees)) AS score FROM s)
+    SELECT slot, round(statistic, 6) AS statistic, degrees, round(score, 6) AS score
+    FROM z ORDER BY z.score DESC, slot LIMIT {top}"""
+
+
+MIXED = (("arc_length", "curve_max_angle", "speed_limit", "seq"), ("interaction_poi", "road_priority"))
+
+
+@query("select_mixed_slots", _mixed_sql(*MIXED, "coalesce(slope > 0, false)", 10))
+def select_mixed_slots(t):
+    uphill = F.coalesce(F.col("slope") > 0, F.lit(False)).cast("int")
+    return rounded(N.select_slots(t["fx_arcs"].withColumn("uphill", uphill), *MIXED, "uphill", 10))
+
+
 @query("feature_importance", "SELECT 'road_priority' AS feature, 1.0::DOUBLE AS importance")
 def feature_importance(t):
     rows = _one_feature(t)

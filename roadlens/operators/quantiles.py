@@ -42,7 +42,7 @@ def quantile_sketch(value: Column | str) -> Column:
 
 def bracket(sketch: Column, share: float) -> Column:
     """Two values that very probably enclose the value at a share of the sketched ones, as an
-    array; null for a sketch of nothing."""
+    array; null for a null sketch. A sketch of no values has no bracket."""
     around = [max(0.0, share - MARGIN), min(1.0, share + MARGIN)]
     return F.when(sketch.isNotNull(), F.kll_sketch_get_quantile_double(sketch, F.array(*map(F.lit, around))))
 
@@ -105,7 +105,8 @@ def exact_quantiles(
     sketched = df.agg(*[agg for i, c in enumerate(columns) for agg in (
         F.count(value[c]).alias(f"n{i}"), quantile_sketch(value[c]).alias(f"s{i}"))])
     stats = sketched.select(*[x for i in range(len(columns)) for x in (
-        f"n{i}", F.array(*[bracket(F.col(f"s{i}"), p) for p in probabilities]).alias(f"b{i}"))]).first()
+        f"n{i}", F.array(*[
+            bracket(F.when(F.col(f"n{i}") > 0, F.col(f"s{i}")), p) for p in probabilities]).alias(f"b{i}"))]).first()
     places = {(i, p): (stats[f"n{i}"] - 1) * p for i in range(len(columns)) if stats[f"n{i}"] for p in probabilities}
     found: dict[tuple[int, int], float] = {}
     if places:
