@@ -250,13 +250,16 @@ class Splitter:
 
     def _newer(self, text: str) -> bool:
         """Whether the text has characters that the two libraries see differently."""
-        for char in set(text).difference(self.known):
+        chars = set(text)
+        for char in chars.difference(self.known):
+            if ord(char) in self.stand_ins:
+                continue
             # the libraries follow different versions of Unicode: only young characters can differ
             if unicodedata.category(char) == "Cn" and self.letters.match(char) and not self._same_class(char):
                 self.stand_ins[ord(char)] = "͸"  # no letter in any version
             elif len(self.known) < 1 << 20:
                 self.known.add(char)
-        return not self.stand_ins.keys().isdisjoint(map(ord, set(text))) if self.stand_ins else False
+        return not self.stand_ins.keys().isdisjoint(map(ord, chars))
 
     def chunks(self, text: str) -> Iterator[list[str]]:
         """The matches in order, some at a time."""
