@@ -30,7 +30,7 @@ from roadlens.llm.components import components
 from roadlens.llm.storage import let_workers_import, written
 
 SHINGLE, PERCENT = 4, 85
-RANGE_BYTES = 16 << 20
+RANGE_BYTES = 8 << 20
 FLUSH = 3_000_000
 LOW_BYTES = 6  # of a shingle's hash, sent beside its range
 BLOCK = 2000  # members of a bucket that are compared with as many others in one place
