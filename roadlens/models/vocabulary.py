@@ -10,9 +10,10 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.ml.feature import OneHotEncoder
-from pyspark.sql import DataFrame
+from pyspark.ml.linalg import VectorUDT
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from roadlens.operators.joins import shuffle_partitions, spread_join
 from roadlens.operators.ranking import row_numbers
@@ -57,18 +58,22 @@ class Vocabulary:
 
     def one_hot(self, df: DataFrame) -> DataFrame:
         """``df`` with sparse ``<column>_encoded`` of as many slots as categories; null and
-        unknown ones have none set."""
-        names = list(self.sizes)
-        if not names:
-            return df
-        largest = df.sparkSession.createDataFrame(
-            [tuple(float(n) for n in self.sizes.values())], ", ".join(f"`{c + INDEX}` double" for c in names))
-        model = OneHotEncoder(inputCols=[c + INDEX for c in names], outputCols=[c + ENCODED for c in names]).fit(largest)
-        out = model.transform(df)
-        return out.withColumns({c + ENCODED: F.col(c + ENCODED).alias(
+        unknown ones have none set.
+
+        The vectors are read from JSON in the executors: Spark ML's encoder lists an attribute
+        of every slot in the driver."""
+        return df.withColumns({c + ENCODED: _slot(F.col(c + INDEX), size).alias(
             c + ENCODED, metadata={"ml_attr": {"num_attrs": size}}) for c, size in self.sizes.items()})
 
 
+def _slot(index: Column, size: int) -> Column:
+    """A sparse vector of ``size`` slots with the slot of ``index`` set, if there is one."""
+    indices, values = (F.when(index < size, x).otherwise("") for x in (index.cast("int").cast("string"), F.lit("1.0")))
+    text = F.concat(F.lit(f'{{"v":{{"type":0,"size":{size},"indices":['), indices, F.lit('],"values":['),
+                    values, F.lit("]}}"))
+    return F.from_json(text, StructType([StructField("v", VectorUDT())]))["v"]
+
+
 def fit_vocabulary(df: DataFrame, columns: Sequence[str], weight: str | None = None) -> Vocabulary:
     """The categories of some columns, numbered. The driver gets one size per column and
     fewer hot categories than there are shuffle partitions, no names."""

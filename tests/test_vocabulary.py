@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import pytest
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import SparseVector
 from pyspark.sql import functions as F
 
 from conftest import rows
 from roadlens.catalog.fixtures import Tables
 from roadlens.models import features as X
-from roadlens.models.vocabulary import fit_vocabulary, weighted_counts
+from roadlens.models.vocabulary import Vocabulary, fit_vocabulary, weighted_counts
 from roadlens.operators.ranking import row_numbers
 from roadlens.plans import crash_models
 
@@ -57,6 +58,17 @@ def test_a_million_categories(spark):
     assert some == {"0": 0, "1": twice.index("1"), "100000": 100_000 + once.index("100000"), "999999": 999_999}
 
 
+def test_slots_of_many_categories_leave_no_names_in_the_driver(spark):
+    """Metadata of a plan's columns is held in the driver, so no column may list its slots."""
+    df = spark.createDataFrame([(0.0,), (99_998.0,), (99_999.0,), (100_000.0,)], "k_index double")
+    hot = Vocabulary(None, {"k": 100_000}, {}).one_hot(df)
+    assert len(hot._jdf.queryExecution().analyzed().schema().json()) < 2000
+    assert "99998" not in hot._jdf.queryExecution().analyzed().child().schema().json()
+    vectors = {r["k_index"]: r["k_encoded"] for r in hot.collect()}
+    assert vectors == {i: SparseVector(100_000, [int(i)] if i < 100_000 else [], [1.0] if i < 100_000 else [])
+                       for i in vectors} and len(vectors) == 4
+
+
 def test_weights_order_the_categories(spark):
     df = spark.createDataFrame([("a", 1.0), ("b", 2.5), ("a", 1.0), ("c", 2.5), (None, 9.0)], "c string, w double")
     assert rows(fit_vocabulary(df, ["c"], "w").table.select("value", "rank")) == [("a", 2), ("b", 0), ("c", 1)]
