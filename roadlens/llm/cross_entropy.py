@@ -68,16 +68,6 @@ def paired(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return ts.mix(a * ts.U64(0xA0761D6478BD642F) + ts.mix(b ^ ts.U64(0xE7037ED1A0B428DB)))
 
 
-def _bytes(values: np.ndarray) -> bytes:
-    """Integers byte by byte, as high bytes of sorted ones compress well."""
-    return np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T.tobytes()
-
-
-def _values(raw: bytes, kind) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).reshape(-1).view(kind)
-
-
 def _distinct(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct keys, a place of each, and the sums of their count columns."""
     order = np.argsort(keys)
@@ -107,12 +97,12 @@ def _counted(df: DataFrame, bits: int) -> DataFrame:
             k, c, b, a = keys[of], counts[:, of], before[at[of]], after[at[of]]
             for part, g in _ranges(k, bits):
                 around = np.concatenate([b[g], a[g]]).tobytes() if kind == LONE else b""
-                rows.append((2 * part, kind, _bytes(k[g]), around, *map(_bytes, c[:, g].astype(np.uint32))))
+                rows.append((2 * part, kind, ts.planes(k[g]), around, *map(ts.planes, c[:, g].astype(np.uint32))))
         keys, at, counts = _distinct(paired(before, hashes), both)
         for part, g in _ranges(keys, bits):
             order = np.argsort(before[at[g]])
             a, b, c = before[at[g]][order], hashes[at[g]][order], counts[:, g][:, order]
-            rows.append((2 * part + 1, PAIR, _bytes(a), _bytes(b), *map(_bytes, c.astype(np.uint32))))
+            rows.append((2 * part + 1, PAIR, ts.planes(a), ts.planes(b), *map(ts.planes, c.astype(np.uint32))))
         return pa.RecordBatch.from_pylist([dict(zip(sent.names, r, strict=True)) for r in rows], schema=sent)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,10 +120,10 @@ def _counted(df: DataFrame, bits: int) -> DataFrame:
 
     def meet(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
-        counts = np.stack([np.concatenate([_values(r[n], np.uint32) for r in rows]) for n in SIDES]).astype(np.int64)
-        left = np.concatenate([_values(r["left"], np.uint64) for r in rows])
+        counts = np.stack([np.concatenate([ts.unplaned(r[n], np.uint32) for r in rows]) for n in SIDES]).astype(np.int64)
+        left = np.concatenate([ts.unplaned(r["left"], np.uint64) for r in rows])
         if rows[0]["kind"] == PAIR:
-            right = np.concatenate([_values(r["right"], np.uint64) for r in rows])
+            right = np.concatenate([ts.unplaned(r["right"], np.uint64) for r in rows])
             key, at, counts = _distinct(paired(left, right), counts)
             keep = counts[0] > 1
             key, at, counts = key[keep], at[keep], counts[:, keep]
@@ -286,7 +276,7 @@ def scored(df: DataFrame, models: Models, key: str = "doc_id", text: str = "text
         sent = [(own, flush, None, None, sink.getvalue().to_pybytes())]
         order = np.argsort(keys)
         keys, rows = keys[order], rows[order]
-        sent += [(part, flush, _bytes(keys[g]), _bytes(rows[g]), None) for part, g in _ranges(keys, bits)]
+        sent += [(part, flush, ts.planes(keys[g]), ts.planes(rows[g]), None) for part, g in _ranges(keys, bits)]
         return pa.RecordBatch.from_arrays(
             [pa.array(c, t) for c, t in zip(zip(*sent, strict=True), kinds, strict=True)],
             names=["part", "flush", "keys", "rows", "docs"])
@@ -327,11 +317,11 @@ def scored(df: DataFrame, models: Models, key: str = "doc_id", text: str = "text
             if r["docs"] is not None:
                 out.append((r["flush"], None, None, r["docs"]))
                 continue
-            hit, at = _found(keys, _values(r["keys"], np.uint64))
-            rows, back = np.unique(_values(r["rows"], np.uint32)[hit], return_inverse=True)
+            hit, at = _found(keys, ts.unplaned(r["keys"], np.uint64))
+            rows, back = np.unique(ts.unplaned(r["rows"], np.uint32)[hit], return_inverse=True)
             if len(rows):
                 sums = np.stack([np.bincount(back, weights=v[at]) for v in values])
-                out.append((r["flush"], _bytes(rows), sums.tobytes(), None))
+                out.append((r["flush"], ts.planes(rows), sums.tobytes(), None))
         columns = zip(*out, strict=True) if out else [[]] * 4
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds[1:], strict=True)],
                                     names=["flush", "rows", "sums", "docs"])
@@ -343,7 +333,7 @@ def scored(df: DataFrame, models: Models, key: str = "doc_id", text: str = "text
         loss = np.stack([docs.column(n).to_numpy() for n in ("l0", "l1")])
         for r in rows:
             if r["rows"] is not None:
-                loss[:, _values(r["rows"], np.uint32)] += np.frombuffer(r["sums"]).reshape(2, -1)
+                loss[:, ts.unplaned(r["rows"], np.uint32)] += np.frombuffer(r["sums"]).reshape(2, -1)
         none = count == 0
         mean = np.divide(loss, count, out=np.zeros_like(loss), where=~none)
         return pa.Table.from_arrays(

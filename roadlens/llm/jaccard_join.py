@@ -30,7 +30,8 @@ from roadlens.llm.components import components
 from roadlens.llm.storage import let_workers_import, written
 
 SHINGLE, PERCENT = 4, 85
-RANGE_BYTES = 8 << 20
+RANGE_BYTES = 16 << 20
+SLICES = 4  # of a range, met one after the other
 FLUSH = 3_000_000
 LOW_BYTES = 6  # of a shingle's hash, sent beside its range
 BLOCK = 2000  # members of a bucket that are compared with as many others in one place
@@ -79,7 +80,8 @@ def shared_shingles(df: DataFrame, text: str, shingle: int = SHINGLE, bits: int
 
     Tasks send shingle hashes in packed arrays, one per range of hashes; a range is small
     whatever the input's size, and a class of any number of copies is sent once a task. A
-    token has the bits of its range and 48 more, all 64 from 65,536 ranges on."""
+    range meets in slices, which take less memory than smaller ranges and name a class once
+    for all of them. A token has the bits of its range and 48 more, all 64 from 65,536 ranges on."""
     if bits is None:
         size = df.agg(F.sum(F.octet_length(text))).head()[0] or 0
         bits = max(4, int(size // RANGE_BYTES).bit_length())
@@ -110,8 +112,8 @@ def shared_shingles(df: DataFrame, text: str, shingle: int = SHINGLE, bits: int
                 begin = np.concatenate([[0], np.flatnonzero(np.diff(own)) + 1])
                 runs = np.diff(np.append(begin, b - a)).astype(np.int32)
                 at = own[begin]
-                for column, x in zip(rows, (int(part[a]), classes[at].tobytes(), sizes[at].astype(np.int32).tobytes(),
-                                            runs.tobytes(), low[a:b].tobytes()), strict=True):
+                for column, x in zip(rows, (int(part[a]), classes[at].tobytes(), ts.planes(sizes[at].astype(np.int32)),
+                                            ts.planes(runs), low[a:b].tobytes()), strict=True):
                     column.append(x)
             held.clear()
             return pa.RecordBatch.from_arrays(
@@ -130,28 +132,38 @@ def shared_shingles(df: DataFrame, text: str, shingle: int = SHINGLE, bits: int
             yield flush()
 
     def meet(table: pa.Table) -> pa.Table:
-        def joined(name, kind):
-            return np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in table.column(name)])
-
-        part = table.column("part")[0].as_py()
-        names, at, inverse = np.unique(joined("classes", np.int64), return_index=True, return_inverse=True)
-        sizes = joined("sizes", np.int32)[at]
-        sent = joined("hashes", np.uint8).reshape(-1, LOW_BYTES)
-        low = np.zeros((len(sent), 8), np.uint8)
-        low[:, :LOW_BYTES] = sent
-        del sent
-        token, who = low.view("<u8").ravel(), np.repeat(inverse.astype(np.int32), joined("runs", np.int32))
-        order = np.lexsort((who, token))
-        token, who = token[order], who[order]
-        new = np.append(True, (token[1:] != token[:-1]) | (who[1:] != who[:-1]))
-        token, who = token[new].astype(np.int64), who[new]
-        begin = np.concatenate([[0], np.flatnonzero(np.diff(token)) + 1])
-        count = np.diff(np.append(begin, len(token)))
-        df_ = np.repeat(count, count)
-        keep = df_ > 1
-        who, high = who[keep], np.array(part << low_bits, np.uint64).view(np.int64)
-        return pa.table({"class": names[who], "n": sizes[who].astype(np.int64),
-                         "token": token[keep] | high, "df": df_[keep].astype(np.int64)})
+        def buffers(name):
+            return [x.as_buffer() for x in table.column(name)]
+
+        def numbers(name):
+            return np.concatenate([ts.unplaned(x, np.int32) for x in buffers(name)])
+
+        high = np.array(table.column("part")[0].as_py() << low_bits, np.uint64).view(np.int64)
+        names, at, inverse = np.unique(np.concatenate([np.frombuffer(x, np.int64) for x in buffers("classes")]),
+                                       return_index=True, return_inverse=True)
+        sizes, owner = numbers("sizes")[at], np.repeat(inverse.astype(np.int32), numbers("runs"))
+        sent = np.concatenate([np.frombuffer(x, np.uint8) for x in buffers("hashes")]).reshape(-1, LOW_BYTES)
+        slices = sent[:, 0] % SLICES
+        found = []
+        for k in range(SLICES):
+            place = np.flatnonzero(slices == k)
+            low = np.zeros((len(place), 8), np.uint8)
+            low[:, :LOW_BYTES] = sent[place]
+            token, who = low.view("<u8").ravel(), owner[place]
+            order = np.lexsort((who, token))
+            token, who = token[order], who[order]
+            del place, low, order
+            new = np.ones(len(token), bool)
+            new[1:] = (token[1:] != token[:-1]) | (who[1:] != who[:-1])
+            token, who = token[new].astype(np.int64), who[new]
+            begin = np.flatnonzero(np.append(True, token[1:] != token[:-1])[:len(token)])
+            count = np.diff(np.append(begin, len(token)))
+            df_ = np.repeat(count, count)
+            keep = df_ > 1
+            found.append((who[keep], token[keep] | high, df_[keep]))
+        who, token, df_ = (np.concatenate(x) for x in zip(*found, strict=True))
+        return pa.table({"class": names[who], "n": sizes[who].astype(np.int64), "token": token,
+                         "df": df_.astype(np.int64)})
 
     let_workers_import(df.sparkSession)
     sent = df.select(F.col(text).alias("_text")).mapInArrow(
@@ -273,7 +285,8 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text",
     100 * intersection >= percent * union of their sets of ``shingle``-word shingles."""
     rows = written(signatures(df, key, text, shingle), "signatures")
     need = _need("n", percent)
-    sets = shared_shingles(df, text, shingle).groupBy("class", "n").agg(
+    # dealt first: rows take a quarter of the room of partial lists
+    sets = shared_shingles(df, text, shingle).repartition("class").groupBy("class", "n").agg(
         F.sort_array(F.collect_list(F.struct("df", "token"))).alias("shared"))
     sets = sets.filter(f"size(shared) >= {need}").withColumn(
         "first", F.expr(f"CAST(size(shared) - {need} + 1 AS INT)"))

@@ -65,6 +65,16 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return spans(~SPACE[data], offsets)
 
 
+def planes(values: np.ndarray) -> bytes:
+    """Numbers byte by byte, the first bytes of all first, as like bytes compress well."""
+    return np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T.tobytes()
+
+
+def unplaned(raw, kind) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).reshape(-1).view(kind)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Spread the bits of 64-bit integers (a bijection)."""
     x = x ^ (x >> U64(30))
