@@ -285,7 +285,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text",
     100 * intersection >= percent * union of their sets of ``shingle``-word shingles."""
     rows = written(signatures(df, key, text, shingle), "signatures")
     need = _need("n", percent)
-    # dealt first: rows take a quarter of the room of partial lists
+    # dealt as rows, whose room does not rise as partial lists would get shorter with more tasks
     sets = shared_shingles(df, text, shingle).repartition("class").groupBy("class", "n").agg(
         F.sort_array(F.collect_list(F.struct("df", "token"))).alias("shared"))
     sets = sets.filter(f"size(shared) >= {need}").withColumn(

@@ -120,7 +120,7 @@ def test_ranges_do_not_change_what_is_shared(spark, bits):
 
 
 def test_shared_shingles_are_dealt_as_plain_rows(docs, monkeypatch):
-    """Lists of a class begun before the exchange took four times the disk of its rows."""
+    """Lists begun before the exchange get shorter, and so larger by row, with more tasks."""
     plans = {}
 
     def recorded(df, name):
