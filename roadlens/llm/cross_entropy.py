@@ -8,7 +8,9 @@ the lower, the more it is like the target.
 
 The vocabulary takes every word seen twice (the rest are one unknown word), the models every
 bigram seen twice; others back off to the word. Neither has a largest size. Words and bigrams
-are counted over all documents; tasks send their counts packed by ranges of hashes. A loss
+are counted over all documents; tasks send their counts packed by ranges of hashes. That
+takes as many passes over the texts as there are ``SLICES`` of the hashes, so that on disk lies what
+one of them sends; what a step has sent or written goes when no later step reads it. A loss
 -log((c + K p(b)) / (h(a) + K)) is the sum of a part of b, one of a and, where the bigram is
 kept, one of it. So the models are a table of terms by the hash of a word or bigram, and a
 document's loss is the sum of the terms of what it holds. A word seen once has one place, so
@@ -26,6 +28,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,11 +36,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roadlens.llm import textscan as ts
-from roadlens.llm.storage import let_workers_import, written
+from roadlens.llm.storage import let_workers_import, written_alone
+from roadlens.session import forget
 
 VOCABULARY, BIGRAMS = 1 << 16, 1 << 19
 PRIOR_BIGRAM, PRIOR_WORD = 40.0, 100.0
 FLUSH = 2_000_000
+SLICES = 2
 RANGE_BYTES = 24 << 20
 # stand for the hashes of a text's beginning and end and of the unknown word
 BEGIN, END, UNKNOWN = 0x1F3D5B79, 0x2E4C6A88, 0x3D5B7997
@@ -85,20 +90,27 @@ def _ranges(keys: np.ndarray, bits: int) -> Iterator[tuple[int, slice]]:
             yield int(part[lo]), slice(lo, hi)
 
 
-def _counted(df: DataFrame, bits: int) -> DataFrame:
-    """Known words, kept bigrams and words seen once with their neighbours, from all rows."""
+def _counted(df: DataFrame, bits: int, which: int) -> DataFrame:
+    """Known words, kept bigrams and words seen once with their neighbours, from all rows:
+    those whose hash is in slice ``which``."""
 
-    def packed(hashes, before, after, good) -> pa.RecordBatch:
+    def mine(keys, *columns):
+        of = np.flatnonzero(keys % ts.U64(slices) == which)
+        return [c[of] for c in (keys, *columns)]
+
+    def packed(*places) -> pa.RecordBatch:
         rows = []
-        both = np.stack([np.ones(len(good), np.uint32), good])
-        keys, at, counts = _distinct(hashes, both)
+        hashes, before, after, good = mine(*places)
+        keys, at, counts = _distinct(hashes, np.stack([np.ones(len(good), np.uint32), good]))
         lone = counts[0] == 1
         for kind, of in ((WORD, ~lone), (LONE, lone)):
             k, c, b, a = keys[of], counts[:, of], before[at[of]], after[at[of]]
             for part, g in _ranges(k, bits):
                 around = np.concatenate([b[g], a[g]]).tobytes() if kind == LONE else b""
                 rows.append((2 * part, kind, ts.planes(k[g]), around, *map(ts.planes, c[:, g].astype(np.uint32))))
-        keys, at, counts = _distinct(paired(before, hashes), both)
+        hashes, before, _, good = places
+        keys, before, hashes, good = mine(paired(before, hashes), before, hashes, good)
+        keys, at, counts = _distinct(keys, np.stack([np.ones(len(good), np.uint32), good]))
         for part, g in _ranges(keys, bits):
             order = np.argsort(before[at[g]])
             a, b, c = before[at[g]][order], hashes[at[g]][order], counts[:, g][:, order]
@@ -141,6 +153,7 @@ def _counted(df: DataFrame, bits: int) -> DataFrame:
         return pa.table({"kind": kind, "key": key.view(np.int64), "a": a.view(np.int64), "b": b.view(np.int64),
                          **dict(zip(SIDES, counts, strict=True))})
 
+    slices = SLICES
     sent = pa.schema([("part", pa.int64()), ("kind", pa.int32()), ("left", pa.binary()), ("right", pa.binary()),
                       *((n, pa.binary()) for n in SIDES)])
     let_workers_import(df.sparkSession)
@@ -175,9 +188,12 @@ class Models:
 
 def train(df: DataFrame, good: str, text: str = "text") -> Models:
     """Both models from all rows of ``df``; rows with ``good`` count for the target as well."""
-    size = df.agg(F.sum(F.octet_length(text))).head()[0] or 0
+    texts = written_alone(df.select(text, good), "texts", compression="zstd")
+    size = texts.agg(F.sum(F.octet_length(text))).head()[0] or 0
     bits = max(3, int(size // RANGE_BYTES).bit_length()) + 1
-    counted = written(_counted(df.select(text, good), bits), "counts")
+    slices = [written_alone(_counted(texts, bits, i), "counts") for i in range(SLICES)]
+    forget(texts)
+    counted = reduce(DataFrame.unionByName, slices)
     words, pairs, lone = (counted.filter(F.col("kind") == k) for k in (WORD, PAIR, LONE))
 
     sums = {r.kind: r for r in counted.groupBy("kind").agg(
@@ -200,20 +216,20 @@ def train(df: DataFrame, good: str, text: str = "text") -> Models:
     # bigrams with the unknown word: neighbours that were seen once themselves are it as well
     once = lone.select(F.col("key").alias("a"), F.lit(True).alias("a_lone"))
     lone = lone.join(once, "a", "left").join(once.toDF("b", "b_lone"), "b", "left")
-    lone = written(lone.select("key", "b", "target", F.when(F.col("a_lone"), F.lit(UNKNOWN)).otherwise(
+    lone = written_alone(lone.select("key", "b", "target", F.when(F.col("a_lone"), F.lit(UNKNOWN)).otherwise(
         F.col("a")).alias("a"), (F.col("b_lone").isNull() & (F.col("b") != END)).alias("b_known")), "lone")
     each = [F.count("*").alias("c0"), F.sum("target").alias("c1")]
     second = words.select(F.col("key").alias("b"), *(chance(F.col(n), i).alias(f"p{i}") for i, n in enumerate(SIDES)))
     # written, so that the joins below can split a frequent neighbour's rows
-    to_unknown = written(lone.groupBy("a").agg(*each).filter("c0 > 1"), "to_unknown")
-    from_unknown = written(lone.filter("b_known").groupBy("b").agg(*each).filter("c0 > 1").join(second, "b"),
-                           "from_unknown")
+    to_unknown = written_alone(lone.groupBy("a").agg(*each).filter("c0 > 1"), "to_unknown")
+    from_unknown = written_alone(
+        lone.filter("b_known").groupBy("b").agg(*each).filter("c0 > 1").join(second, "b"), "from_unknown")
     kept = [F.col("background").alias("c0"), F.col("target").alias("c1")]
     # unknown to unknown is in the first only
     history = pairs.select("a", *kept).unionByName(to_unknown).unionByName(
         from_unknown.select(F.lit(UNKNOWN).cast("long").alias("a"), "c0", "c1")
     ).groupBy("a").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
-    history = written(history, "history")
+    history = written_alone(history, "history")
     special = {r.a: r for r in history.filter(F.col("a").isin(BEGIN, UNKNOWN)).collect()}
     base = {a: np.log([(special[a][f"c{i}"] if a in special else 0) * scale[i] + PRIOR_BIGRAM for i in (0, 1)])
             for a in (BEGIN, UNKNOWN)}
@@ -238,7 +254,9 @@ def train(df: DataFrame, good: str, text: str = "text") -> Models:
          - F.when(F.col("p0").isNotNull(), gain(F.col(f"f{i}"), F.col(f"p{i}"), i)).otherwise(F.lit(0.0))
          - F.when(F.col("b") == END, F.lit(float(base[UNKNOWN][i]))).otherwise(F.lit(0.0))).alias(f"v{i}")
         for i in (0, 1)))
-    terms = written(of_words.unionByName(of_ends).unionByName(of_pairs).unionByName(of_lone), "terms")
+    terms = written_alone(of_words.unionByName(of_ends).unionByName(of_pairs).unionByName(of_lone), "terms")
+    for step in (*slices, lone, to_unknown, from_unknown, history):
+        forget(step)
 
     names = ["key", "v0", "v1"]
     first = [_most(terms.filter(F.col("kind") == k), n).select(*names).toArrow()

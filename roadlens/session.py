@@ -45,12 +45,13 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def stored(df: DataFrame, name: str = "rows") -> DataFrame:
+def stored(df: DataFrame, name: str = "rows", **options) -> DataFrame:
     """``df`` written once as Parquet to the shared folder and read back, column metadata
-    included. That cuts the lineage, outlives lost executors and still prunes columns."""
+    included. That cuts the lineage, outlives lost executors and still prunes columns.
+    ``options`` are those of the writer."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.mode("append").parquet(path)
+    df.write.options(**options).mode("append").parquet(path)
     # Parquet keeps columns' metadata, which a given schema cannot always carry
     plain = not any(field.metadata for field in df.schema)
     kept = (spark.read.schema(df.schema) if plain else spark.read).parquet(path)

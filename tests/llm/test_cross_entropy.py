@@ -2,12 +2,17 @@ from __future__ import annotations
 
 import math
 import re
+import time
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from roadlens import session
 from roadlens.llm import cross_entropy as ce
+from roadlens.llm import storage
 
 
 @pytest.fixture(scope="module")
@@ -93,3 +98,38 @@ def test_broadcast_terms_do_not_change_scores(docs, monkeypatch, spark):
         assert other.keys() == found[0].keys()
         for k, row in found[0].items():
             assert other[k] == pytest.approx(row, abs=1e-9)
+
+
+def test_only_the_terms_stay(docs, spark):
+    """What a step has written goes when no later step reads it."""
+    session.clean(spark)
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    models = ce.train(ce.good_rows(docs.select("doc_id", "text"), labels), "good")
+    kept, = session._WRITTEN[spark.sparkContext.applicationId]
+    assert "/terms-" in kept and models.terms.count() > 0
+
+
+def test_slices_share_out_the_counts(docs, monkeypatch):
+    """Each pass sends its part of the words and bigrams, and together they are all of them."""
+    rows = docs.select("text", (F.col("doc_id") % 3 == 0).alias("good"))
+    found = []
+    for n in (1, 3):
+        monkeypatch.setattr(ce, "SLICES", n)
+        found.append([sorted(map(tuple, ce._counted(rows, 4, i).collect())) for i in range(n)])
+    whole, parts = found[0][0], found[1]
+    assert sorted(r for part in parts for r in part) == whole
+    assert all(0.25 * len(whole) < len(part) < 0.42 * len(whole) for part in parts)
+
+
+def test_shuffle_files_go_when_written(spark):
+    def shuffled():
+        manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+        return {f.name for d in manager.localDirs() for f in Path(d.getPath()).rglob("shuffle_*")}
+
+    before, setting = shuffled(), spark.conf.get(storage.CLEANUP, "false")
+    kept = storage.written_alone(spark.range(1000).repartition(3, "id"), "numbers")
+    until = time.time() + 20
+    while shuffled() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not shuffled() - before
+    assert kept.count() == 1000 and spark.conf.get(storage.CLEANUP, "false") == setting
