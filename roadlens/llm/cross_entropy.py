@@ -277,6 +277,30 @@ def _found(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return hit, at[hit]
 
 
+def _bins(keys: np.ndarray) -> tuple[np.ndarray, np.uint64]:
+    """Where the sorted keys with the same first bits begin, and by how much to shift for those bits."""
+    bits = len(keys).bit_length() + 1
+    shift = ts.U64(64 - bits)
+    sizes = np.bincount((keys >> shift).astype(np.int64), minlength=1 << bits)
+    return np.append(0, np.cumsum(sizes)).astype(np.int32), shift
+
+
+def _found_by_bins(keys: np.ndarray, bins: tuple, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As ``_found``, for unsorted ``wanted``: a bin has one key or two, where a search would jump about all keys."""
+    first, shift = bins
+    part = (wanted >> shift).astype(np.int32)
+    at, end = first[part], first[part + 1]
+    hit = np.zeros(len(wanted), bool)
+    open_ = np.flatnonzero(at < end)
+    while len(open_):
+        same = keys[at[open_]] == wanted[open_]
+        hit[open_[same]] = True
+        open_ = open_[~same]
+        at[open_] += 1
+        open_ = open_[at[open_] < end[open_]]
+    return hit, at[hit]
+
+
 def scored(df: DataFrame, models: Models, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Key, tokens, mean losses and their difference of every row."""
     spark, bits, begin = df.sparkSession, models.bits, models.begin
@@ -303,6 +327,7 @@ def scored(df: DataFrame, models: Models, key: str = "doc_id", text: str = "text
         from pyspark import TaskContext
 
         near, values = shared.value
+        bins = _bins(near)
         flush = TaskContext.get().partitionId() << 32
         held, docs, rows, waiting = [], [], 0, 0
         for batch in batches:
@@ -312,7 +337,7 @@ def scored(df: DataFrame, models: Models, key: str = "doc_id", text: str = "text
                 keys = np.concatenate([hashes, paired(before, hashes), paired(hashes[last], after[last])])
                 place = np.concatenate([texts, texts, texts[last]])
                 count = np.bincount(texts, minlength=hi - lo)
-                hit, at = _found(near, keys)
+                hit, at = _found_by_bins(near, bins, keys)
                 loss = np.stack([np.bincount(place[hit], v[at], hi - lo) for v in values]).astype(float)
                 loss += np.where(count > 0, begin[:, None], 0.0)
                 held.append((keys[~hit], (place[~hit] + rows).astype(np.uint32)))

@@ -133,3 +133,17 @@ def test_shuffle_files_go_when_written(spark):
         time.sleep(0.2)
     assert not shuffled() - before
     assert kept.count() == 1000 and spark.conf.get(storage.CLEANUP, "false") == setting
+
+
+@pytest.mark.parametrize("n", [0, 1, 5, 3000])
+def test_bins_find_what_a_search_finds(n):
+    """Also with many keys in one bin, and keys at both ends."""
+    random = np.random.default_rng(n)
+    near = random.integers(0, 200, n, dtype=np.uint64)
+    keys = np.unique(np.concatenate([random.integers(0, (1 << 64) - 1, n, dtype=np.uint64), near]))
+    if n > 1:
+        keys = np.unique(np.append(keys, [np.uint64(0), np.uint64((1 << 64) - 1)]))
+    wanted = np.concatenate([random.permutation(keys), random.integers(0, 300, 500, dtype=np.uint64), keys[:3] + np.uint64(1)])
+    hit, at = ce._found_by_bins(keys, ce._bins(keys), wanted)
+    expected, places = ce._found(keys, wanted)
+    assert hit.tolist() == expected.tolist() and at.tolist() == places.tolist()
