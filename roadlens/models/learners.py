@@ -8,15 +8,13 @@ from collections.abc import Mapping, Sequence
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import ChiSqSelector
-from pyspark.ml.regression import (
-    DecisionTreeRegressor, GBTRegressor, GeneralizedLinearRegression, LinearRegression,
-    RandomForestRegressor,
-)
+from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression, LinearRegression
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roadlens.functions.columns import hash_number
+from roadlens.models.depths import ForestRegressor, TreeRegressor
 from roadlens.models.features import assembler
 
 # fixed values of the parameter grids and learners
@@ -43,14 +41,14 @@ def _glm(family: str, link: str, label: str, weight: str | None) -> GeneralizedL
     return glm if weight is None else glm.setWeightCol(weight)
 
 
-def forest(label: str, trees: int, features: str = "features") -> RandomForestRegressor:
-    return RandomForestRegressor(
+def forest(label: str, trees: int, features: str = "features") -> ForestRegressor:
+    return ForestRegressor(
         featuresCol=features, labelCol=label, numTrees=trees, seed=SEED
     )
 
 
-def tree(label: str, features: str = "features") -> DecisionTreeRegressor:
-    return DecisionTreeRegressor(featuresCol=features, labelCol=label, seed=SEED)
+def tree(label: str, features: str = "features") -> TreeRegressor:
+    return TreeRegressor(featuresCol=features, labelCol=label, seed=SEED)
 
 
 def boosted(label: str, features: str = "features") -> GBTRegressor:
@@ -70,20 +68,28 @@ def cross_validate(
     parallelism: int = 4,
 ) -> CrossValidatorModel:
     """Grid search. A row's fold comes from the hash of its keys, so the folds do not
-    depend on partitioning."""
+    depend on partitioning. Of trees and forests, a fold's grid points that differ in depth
+    alone share one fit (``DepthsInOneFit``). Vectors and folds are made once, and only the
+    columns that the estimator reads are kept for the folds."""
     builder = ParamGridBuilder()
     for name, values in grid.items():
         builder = builder.addGrid(estimator.getParam(name), list(values))
-    folded = df.withColumn("_fold", F.pmod(hash_number(SEED, *keys), F.lit(folds)).cast("int"))
-    return CrossValidator(
-        estimator=estimator,
-        estimatorParamMaps=builder.build(),
-        evaluator=RegressionEvaluator(labelCol=label, metricName=metric),
-        numFolds=folds,
-        foldCol="_fold",
-        parallelism=parallelism,
-        seed=SEED,
-    ).fit(folded)
+    read = {v for p, v in estimator.extractParamMap().items() if p.name.endswith("Col")} | {label}
+    columns = [c for c in df.columns if c in read or not estimator.hasParam("featuresCol")]
+    fold = F.pmod(hash_number(SEED, *keys), F.lit(folds)).cast("int").alias("_fold")
+    folded = df.select(*columns, fold).cache()
+    try:
+        return CrossValidator(
+            estimator=estimator,
+            estimatorParamMaps=builder.build(),
+            evaluator=RegressionEvaluator(labelCol=label, metricName=metric),
+            numFolds=folds,
+            foldCol="_fold",
+            parallelism=parallelism,
+            seed=SEED,
+        ).fit(folded)
+    finally:
+        folded.unpersist()
 
 
 def grid_scores(model: CrossValidatorModel) -> list[tuple[dict, float]]:

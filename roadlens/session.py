@@ -64,14 +64,18 @@ def materialize(df: DataFrame) -> DataFrame:
     return stored(df)
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove what was written to a ``fresh_path``."""
+    files, place = _place(spark, path)
+    files.delete(place, True)
+    _WRITTEN[spark.sparkContext.applicationId].remove(path)
+
+
 def forget(df: DataFrame) -> None:
     """Remove what ``stored`` wrote for this frame, which nothing may read any more."""
     path = _PLACES.pop(df, None)
     if path is not None:
-        spark = df.sparkSession
-        files, place = _place(spark, path)
-        files.delete(place, True)
-        _WRITTEN[spark.sparkContext.applicationId].remove(path)
+        discard(df.sparkSession, path)
 
 
 def clean(spark: SparkSession) -> None:
