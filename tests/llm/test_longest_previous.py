@@ -126,3 +126,55 @@ def test_odd_rows(odd, empty, clashing):
     assert out.count() == odd.count() and "rank" in out.columns
     kept = lp.without_repeats(odd, as_text=True)
     assert kept.filter("kept IS NULL").count() == 0
+
+
+def test_ranges_are_no_more_than_twice_the_blocks(spark, monkeypatch):
+    # every block sends a row to every range, so with many small ranges most of the time goes into rows
+    text = "".join(random.Random(5).choices("abcdefgh ", k=64 * 90))
+    df = spark.createDataFrame([(i, text[90 * i:90 * i + 90]) for i in range(64)], "doc_id long, text string")
+    seen, anchors = [], lp._anchors
+    monkeypatch.setattr(lp, "BLOCK_BYTES", 90)
+    monkeypatch.setattr(lp, "_anchors", lambda bits, span: seen.append(bits) or anchors(bits, span))
+    lp.without_repeats(df)
+    assert [65 <= 2 ** bits <= 130 for bits in seen] == [True]
+
+
+@pytest.mark.parametrize("chunk,hot", [(1, 4096), (40, 2), (1 << 20, 4096)])
+def test_ranges_in_slices(spark, monkeypatch, chunk, hot):
+    """A range is looked at a slice at a time, of about as many strings as the limit says."""
+    sizes, stretches = [], lp._stretches
+    monkeypatch.setattr(lp, "CHUNK", chunk)
+    monkeypatch.setattr(lp, "HOT", hot)
+    monkeypatch.setattr(lp, "_stretches", lambda data, count, *rest: sizes.append(count.sum()) or stretches(data, count, *rest))
+    local(spark.createDataFrame(passages(random.Random(9)), "doc_id long, text string"), 50)
+    assert len(sizes) <= 16 if chunk == 1 << 20 else len(sizes) > 100
+
+
+def test_order_of_equal_and_nearly_equal_strings():
+    rng = np.random.default_rng(8)
+    for span in (32, 40, 50, 64):
+        data = np.tile(rng.integers(0, 256, 97).astype(np.uint8), 6)
+        data[rng.integers(0, len(data), 12)] += 1
+        starts = rng.permutation(len(data) - span + 1)
+        order, common = lp.suffix_order(data, starts, span)
+        strings = [bytes(data[s:s + span]) for s in starts[order]]
+        assert strings == sorted(strings)
+        for i in range(1, len(strings)):
+            n = 0
+            while n < span and strings[i][n] == strings[i - 1][n]:
+                n += 1
+            assert common[i] == n
+
+
+def test_owners_of_an_anchor_count_once():
+    import pyarrow as pa
+
+    text = "".join(random.Random(6).choices("abcdefgh ", k=80))
+    table = pa.table({"block": [7] * 4, "id": pa.array([3, 3, 5, 5], pa.int64()), "text": [text, text, text + text, "b" * 49]})
+    sent = lp._anchors(4, 50)(table)
+    assert sent.column("block").to_pylist() == [7] * sent.num_rows
+    counts = np.concatenate([np.frombuffer(x, np.uint16) for x in sent.column("counts").to_pylist()])
+    assert sorted(set(counts.tolist())) == [1, 2]
+    said = lp._common(sent)
+    shared = sum(len(x) // 4 for x in said.column("shared").to_pylist())
+    assert shared == (counts == 2).sum() and all(said.column("shared").to_pylist())
